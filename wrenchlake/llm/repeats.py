@@ -85,10 +85,11 @@ def find_anchors(docs: DataFrame, unit: str, length: int, gram: int) -> DataFram
 def marked_documents(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
     """Documents that hold an anchor whose gram repeats: k1, k2, text and marks (pos * 4 + SETTLED and COMPARE bits)."""
     anchors = find_anchors(docs, unit, length, gram)
-    again = anchors.groupBy("cls").count().where("count > 1").select("cls")
+    again = stored(anchors.groupBy("cls").count().where("count > 1").select("cls"), "again")
     alike = stored(anchors.join(again, "cls"), "anchors")
-    contexts = alike.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep"))
-    kinds = contexts.groupBy("cls").agg(F.count("*").alias("kinds"))
+    # Stored, so that each join below has a plain shuffle on either side, which adaptive execution splits where a key is hot.
+    contexts = stored(alike.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep")), "contexts")
+    kinds = stored(contexts.groupBy("cls").agg(F.count("*").alias("kinds")), "kinds")
     roles = (
         alike.join(contexts, ["cls", "ctx"])
         .join(kinds, "cls")
@@ -133,7 +134,7 @@ def compared_windows(marked: DataFrame, unit: str, length: int, gram: int) -> Da
 
 def repeated_by_count(windows: DataFrame) -> DataFrame:
     """(k1, k2, start) of the windows whose hash is counted twice or more."""
-    again = windows.groupBy("hash").count().where("count > 1").select("hash")
+    again = stored(windows.groupBy("hash").count().where("count > 1").select("hash"), "again")
     return windows.join(again, "hash").select(*KEYS, "start")
 
 
