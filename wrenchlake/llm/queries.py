@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op2_bpe_round_trip
+from .quality_gam import op7_quality_classifier
+from .quality_rules import op1_quality_rules
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {}
