@@ -23,6 +23,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,5 +260,22 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", kernel)
 
 
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the SHA-256 of the text decoded from the ids."""
+    cell: list = []
+
+    def kernel(batch, texts):
+        bpe = held(cell, path)
+        parts = [bpe.digest_parts(t) for t in texts]
+        return {
+            "doc_id": column(batch, "doc_id"),
+            "ids": [np.fromiter(map(int, ids.split()), dtype=np.int32) for _, ids, _ in parts],
+            "n_tokens": [n for n, _, _ in parts],
+            "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, _, text in parts],
+        }
+
+    return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string", kernel)
+
+
 def op2_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), default_vocabulary())

@@ -26,6 +26,7 @@ from .text import Block, byte_tables, column, mix, scan, windows
 FEATURES = ["log_words", "mean_word_bytes", "symbols", "upper", "exclamations", "digits", "repeated_words", "distinct_words", "short_words", "stops", "non_ascii", "longest_word", "log_line_words", "doubled_symbols"]
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
+SCORE = "_quality_score"
 PAIR_BINS = 8
 
 
@@ -219,13 +220,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 
 def score(docs: DataFrame, model: Gam) -> DataFrame:
-    """``docs`` with a column ``score``; it goes through Arrow with all columns, so clashing names must be dropped first."""
+    """``docs`` with its score in the column SCORE; only the text passes through Python's features, all columns are kept."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def kernel(batch, texts):
-        return {**{n: batch.column(i) for i, n in enumerate(batch.schema.names)}, "score": model.score(features(texts))}
+        return {**{n: batch.column(i) for i, n in enumerate(batch.schema.names)}, SCORE: model.score(features(texts))}
 
-    return scan(docs, f"{fields}, score double", kernel)
+    return scan(docs, f"{fields}, {SCORE} double", kernel)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe_round_trip
+from .decontamination import op9_benchmark_decontamination
+from .lm_score import op4_lm_scoring
+from .near_dedup import op6_minhash_near_dedup
 from .quality_gam import op7_quality_classifier
 from .quality_rules import op1_quality_rules
+from .sharding import op10_stratified_sharding
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
+from .url_filter import op8_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_filters": op8_url_filters,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_stratified_sharding": op10_stratified_sharding,
 }
 
 ORACLE: dict[str, str] = {}
