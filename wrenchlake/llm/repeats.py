@@ -133,9 +133,9 @@ def compared_windows(marked: DataFrame, unit: str, length: int, gram: int) -> Da
 
 
 def repeated_by_count(windows: DataFrame) -> DataFrame:
-    """(k1, k2, start) of the windows whose hash is counted twice or more."""
+    """(k1, k2, start) of the windows whose hash is counted twice or more; rows without k1 count, but get no answer."""
     again = stored(windows.groupBy("hash").count().where("count > 1").select("hash"), "again")
-    return windows.join(again, "hash").select(*KEYS, "start")
+    return windows.where("k1 IS NOT NULL").join(again, "hash").select(*KEYS, "start")
 
 
 def covered(batch, units: Units, length: int, gram: int) -> np.ndarray:

@@ -109,7 +109,7 @@ def resolve_bucket(table: pa.Table, length: int) -> tuple[dict, dict]:
     p = np.cumprod(np.full(left.shape[1] + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
     before = np.zeros((n, left.shape[1] + 1), dtype=np.uint64)
     np.cumsum(byte_tables()["value"][left] * p[:-1], axis=1, out=before[:, 1:])
-    found: list[tuple[np.ndarray, int]] = []
+    repeats = np.zeros((n, int(dmax.max(initial=-1)) + 1), dtype=bool)
     for d in range(int(dmax.max(initial=-1)) + 1):
         has = np.flatnonzero((dmin <= d) & (d <= dmax))
         if len(has) < 2:
@@ -121,22 +121,30 @@ def resolve_bucket(table: pa.Table, length: int) -> tuple[dict, dict]:
         twice = np.zeros(len(has), dtype=bool)
         twice[by[1:]] |= same
         twice[by[:-1]] |= same
-        found.append((has[twice], d))
-    at = np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)])
-    d = np.concatenate([np.full(len(x), y, dtype=np.int64) for x, y in found] or [np.empty(0, np.int64)])
+        repeats[has[twice], d] = True
+    at, d = np.nonzero(repeats)
     inner = {"k1": k1[at], "k2": k2[at], "start": (pos[at] - d).astype(np.int32)}
-    # The classes with the least and greatest range key may go on in the next bucket.
+    # The classes with the least and greatest range key may go on in the next bucket.  Windows that repeat here only need to be
+    # known there, once; the others also wait for an answer.
     keys = list(zip(lead, table.column("cls").to_pylist(), strict=True))
-    edge = np.flatnonzero(np.isin(cls, [min(keys)[1], max(keys)[1]]))
-    hashes, who, starts = [], [], []
-    for i in edge:
+    hashes, known, who, starts = [], [], [], []
+    for i in np.flatnonzero(np.isin(cls, [min(keys)[1], max(keys)[1]])):
         text = Block([left[i][: dmax[i]][::-1].tobytes() + rows[i, : sizes[i]].tobytes()])
-        lo = np.arange(int(dmax[i]) - int(dmin[i]) + 1)
-        hashes.append(range_hash(byte_tables()["value"][text.bytes], lo, lo + length))
-        who.append(np.full(len(lo), i))
-        starts.append(pos[i] - dmax[i] + lo)
-    who = np.concatenate(who or [np.empty(0, np.int64)])
-    outer = {"hash": np.concatenate(hashes or [np.empty(0, np.uint64)]).view(np.int64), "k1": k1[who], "k2": k2[who], "start": np.concatenate(starts or [np.empty(0)]).astype(np.int32)}
+        d = np.arange(int(dmax[i]), int(dmin[i]) - 1, -1)
+        hashes.append(range_hash(byte_tables()["value"][text.bytes], dmax[i] - d, dmax[i] - d + length))
+        known.append(repeats[i, d])
+        who.append(np.full(len(d), i))
+        starts.append(pos[i] - d)
+    hashes, known, who, starts = (np.concatenate(x) for x in (hashes, known, who, starts))
+    said = np.unique(hashes[known])
+    open_ = who[~known]
+    mute = pa.nulls(len(said), pa.int64())
+    outer = {
+        "hash": np.concatenate((hashes[~known], said)).view(np.int64),
+        "k1": pa.concat_arrays([pa.array(k1[open_]), mute]),
+        "k2": pa.concat_arrays([pa.array(k2[open_]), mute]),
+        "start": np.concatenate((starts[~known], np.full(len(said), -1))).astype(np.int32),
+    }
     return inner, outer
 
 
