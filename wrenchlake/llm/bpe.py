@@ -60,20 +60,6 @@ def sufficient_lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int
     return most
 
 
-class Words(dict):
-    """A bounded cache: what is missing is made by ``make``; a full cache starts anew."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Bpe:
     """Normaliser, word splitter, transducer and decoder of one vocabulary file."""
 
@@ -97,11 +83,18 @@ class Bpe:
         self.size = {i: len(t) - len(self.suffix) if self.suffix and t.endswith(self.suffix) else len(t) for t, i in vocab.items()}
         self.lookahead = sufficient_lookahead(merges, self.suffix)
         self.window = max(window or 0, 2 * self.lookahead + 64)
-        self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
+        pattern = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+        self.split = regex.compile(pattern).findall
+        self.split_lines = regex.compile(pattern + "|\n").findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.shown = {i: str(i) for i in self.token}
-        self.word = Words(self._word)
-        self.chunk = Words(self._chunk)
+        self.pairs = np.array(sorted(self.rank), dtype=np.int64)
+        self.pair_rank = np.array([self.rank[k] for k in sorted(self.rank)], dtype=np.int64)
+        self.made_array = np.array([*self.made, 0], dtype=np.int64)
+        self.inner_array, self.last_array = np.array(self.inner), np.array(self.last)
+        self.shown = [str(i) for i in range(max(self.token) + 1)]
+        self.words: dict[str, tuple[str, str]] = {}
+        self.ids_of_chunk: dict[bytes, str] = {}
+        self.text_of_chunk: dict[bytes, str] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the merges to a short list of symbols, lowest rank first, leftmost first."""
@@ -146,22 +139,99 @@ class Bpe:
         clean = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
         out: list[int] = []
         for w in self.split(clean):
-            out += self.word[w] if len(w) < 64 else self.transduce(w.encode())
+            out += self.transduce(w.encode())
         return out
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word that the transducer's window holds whole: it then merges once, at the end."""
-        b = word.encode()
-        inner = self.inner
-        return self.merge([*[inner[x] for x in b[:-1]], self.last[b[-1]]]) if len(b) < self.window else list(self.transduce(b))
+    def flush_all(self, words: list[bytes]) -> list[list[int]]:
+        """What the transducer holds at the end of each of many words shorter than its window, merged all at once: a row of
+        symbols for each word, and in each round the leftmost pair of lowest rank of every row."""
+        n, size = len(words), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        if not n:
+            return []
+        width = int(size.max())
+        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+        place = np.arange(width)
+        ids = np.full((n, width + 1), -1, dtype=np.int64)
+        ids[:, :width][place < size[:, None]] = self.inner_array[flat]
+        ids[np.arange(n), size - 1] = self.last_array[flat[np.cumsum(size) - 1]]
+        none = len(self.made)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            key = (left << 20) | right
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            return np.where((self.pairs[at] == key) & (right >= 0), self.pair_rank[at], none)
+
+        rank = ranks(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(n)
+        columns = np.arange(width + 1)
+        while True:
+            least = rank[rows].min(axis=1)
+            rows, least = rows[least < none], least[least < none]
+            if not len(rows):
+                break
+            at = rank[rows].argmin(axis=1)
+            ids[rows, at] = self.made_array[least]
+            source = np.minimum(columns + (columns > at[:, None]), width)
+            shifted = np.take_along_axis(ids[rows], source, axis=1)
+            shifted[:, -1] = -1
+            ids[rows] = shifted
+            moved = np.take_along_axis(rank[rows], np.minimum(source[:, :width], width - 1), axis=1)
+            moved[:, -1] = none
+            each = np.arange(len(rows))
+            moved[each, at] = ranks(shifted[each, at], shifted[each, np.minimum(at + 1, width)])
+            before = np.flatnonzero(at > 0)
+            moved[before, at[before] - 1] = ranks(shifted[before, at[before] - 1], shifted[before, at[before]])
+            rank[rows] = moved
+        used = (ids >= 0).sum(axis=1)
+        flat_ids = ids[ids >= 0].tolist()
+        cut = np.concatenate(([0], np.cumsum(used))).tolist()
+        return [flat_ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    def prepare(self, texts: list[bytes]) -> None:
+        """Fills the caches for all chunks (runs without ASCII white space) of a block of texts; they hold CACHED_WORDS
+        entries and what the block itself needs, whatever the corpus."""
+        if len(self.ids_of_chunk) > CACHED_WORDS:
+            self.ids_of_chunk.clear()
+            self.text_of_chunk.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        new = [c for c in set(b" ".join(texts).split()) if c not in self.ids_of_chunk]
+        special = [c for c in new if b"<|" in c] if self.special else []
+        for c in special:
+            self.keep(c, self.encode_chunk(c))
+        if special:
+            new = [c for c in new if c not in self.ids_of_chunk]
+        if not new:
+            return
+        joined = b"\n".join(new).decode("utf-8", "replace")
+        clean = joined.lower() if joined.isascii() else unicodedata.normalize("NFC", joined).replace("Σ", "σ").lower()
+        found = self.split_lines(clean)
+        words = self.words
+        words["\n"] = ("\n", "\n")
+        unseen = [w for w in set(found) if w not in words]
+        short = [w for w in unseen if len(w) <= 24]
+        for w, ids in zip(short, self.flush_all([w.encode() for w in short]), strict=True):
+            words[w] = self.shown_pair(ids)
+        for w in unseen:
+            if len(w) > 24:
+                words[w] = self.shown_pair(list(self.transduce(w.encode())))
+        for cache, part in ((self.ids_of_chunk, 0), (self.text_of_chunk, 1)):
+            cache.update(zip(new, [x.strip(" ") for x in " ".join([words[w][part] for w in found]).split("\n")], strict=True))
+
+    def shown_pair(self, ids: list[int]) -> tuple[str, str]:
+        shown, token = self.shown, self.token
+        return " ".join([shown[i] for i in ids]), "".join(self.decode_stream(ids)) if self.has_decoder else " ".join([token[i] for i in ids])
+
+    def keep(self, chunk: bytes, ids: list[int]) -> None:
+        self.ids_of_chunk[chunk], self.text_of_chunk[chunk] = self.shown_pair(ids)
 
     def encode(self, text: bytes) -> list[int]:
         out: list[int] = []
         for chunk in text.split():
-            out += self.ids_of(chunk)
+            out += self.encode_chunk(chunk)
         return out
 
-    def ids_of(self, chunk: bytes) -> list[int]:
+    def encode_chunk(self, chunk: bytes) -> list[int]:
         """Ids of a run of bytes without ASCII white space, at which no token, normal form or special token can cross."""
         text = chunk.decode("utf-8", "replace")
         if self.specials is None or "<" not in text:
@@ -171,16 +241,12 @@ class Bpe:
             out += [self.special[part]] if part in self.special else self.encode_piece(part) if part else []
         return out
 
-    def _chunk(self, chunk: bytes) -> tuple[int, str, str]:
-        ids = self.ids_of(chunk)
-        shown = self.shown
-        return len(ids), " ".join([shown[i] for i in ids]), "".join(self.decode_stream(ids)) if self.has_decoder else " ".join([self.token[i] for i in ids])
-
     def digest_parts(self, text: bytes) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal one space apart, and the decoded text."""
-        cache, join = self.chunk, " " if not self.has_decoder else ""
-        parts = [p for p in ((cache[c] if len(c) < 64 else self._chunk(c)) for c in text.split()) if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), join.join([p[2] for p in parts])
+        """Number of ids, the ids in decimal one space apart, and the decoded text, of a text of a prepared block."""
+        chunks = text.split()
+        ids = " ".join(filter(None, map(self.ids_of_chunk.__getitem__, chunks)))
+        decoded = ("" if self.has_decoder else " ").join(filter(None, map(self.text_of_chunk.__getitem__, chunks)))
+        return ids.count(" ") + 1 if ids else 0, ids, decoded
 
     def decode_stream(self, ids, as_tokens: bool | None = None):
         """Text of each id in turn.  Files without a decoder give the tokens, one space apart; with ``as_tokens=False`` the
@@ -249,6 +315,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def kernel(batch, texts):
         bpe = held(cell, path)
+        bpe.prepare(texts)
         n, ids, decoded = [], [], []
         for t in texts:
             count, a, b = bpe.digest_parts(t)
@@ -266,6 +333,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
     def kernel(batch, texts):
         bpe = held(cell, path)
+        bpe.prepare(texts)
         parts = [bpe.digest_parts(t) for t in texts]
         return {
             "doc_id": column(batch, "doc_id"),
