@@ -6,9 +6,10 @@ pigeonhole, a chunk with one error or none; so each chunk is filed four times, e
 pair meets in one bucket at least.  All pairs under that distance are found; a pair at 85 % misses it with a chance of about
 1e-9.  Links are confirmed on the full sets.
 
-Equal sets are one node.  Within a bucket each node is compared with the bucket's smallest node; what that leaves in
-different components of one bucket is then compared completely, so no link is lost, and groups of near copies never meet all
-against all.  Components come from alternating star steps.
+Equal sets are one node.  Within a bucket each node is compared with the bucket's smallest node and then with its most typical
+one (the one with the smallest share of shingles that no other node has).  What that leaves in different components of one
+bucket is compared pair by pair, unless the shingles that only one of the two has already rule the link out; so no link is
+lost, and members of a group that are linked already do not meet.  Components come from alternating star steps.
 
 Defined results: A-Z is lower-cased; fewer than ``k`` words make one shingle; null, empty and blank texts have no shingle, link
 with nothing and are kept; rows with null doc_id have component null and are kept; equal rows share their component, and
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import components, stored
-from .text import Block, column, mix, range_hash, scan, windows
+from .text import Block, column, mix, range_hash, scan, unused, windows
 
 CHUNKS = 12
 ENTRIES = 4 * CHUNKS
@@ -134,6 +135,46 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> D
     return stored(sets.join(own, ["node", "g1", "g2"], "left_semi").dropDuplicates(["node"]), "sets")
 
 
+def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, node, part) of the buckets that hold more than one component; part: a node's component."""
+    placed = shared.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = stored(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "mixed")
+    return stored(placed.join(mixed, "key"), "open")
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many of its shingles no other of these nodes has; of 32 bits each, so rather too few than too many."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            parts = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in column(batch, "shingles")]
+            node = np.repeat(column(batch, "node").to_numpy(), [len(p) for p in parts])
+            yield pa.RecordBatch.from_pydict({"node": node, "h": (np.concatenate(parts or [np.empty(0, np.uint64)]) >> np.uint64(32)).astype(np.uint32).view(np.int32)})
+
+    each = sets.select("node", "shingles").mapInArrow(run, "node long, h int")
+    return each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def linkable(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can overlap enough, given that neither shares its own shingles with any other."""
+    most = F.least(F.col(f"{a}.n_shingles") - F.col(f"{a}.own"), F.col(f"{b}.n_shingles") - F.col(f"{b}.own"))
+    return (100 + percent) * most >= percent * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+
+
+def joined(links: DataFrame, more: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components after further links, which join whole components: only those go through the rounds again."""
+    if more.isEmpty():
+        return links, groups
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    upper = stored(components(between).select(F.col("node").alias("component"), F.col("component").alias("top")), "upper")
+    lower = groups.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    fresh = upper.select(F.col("component").alias("node"), F.col("top").alias("component")).join(groups.select("node"), "node", "left_anti")
+    return links.union(more), stored(lower.union(fresh), "groups")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     signed = stored(signatures(docs, k), "signatures")
@@ -146,9 +187,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     shared = stored(filed.join(buckets, "key"), "filed")
     facts = nodes.select("node", "n_shingles", *SIGNATURE)
 
-    def near(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame, also: Column | None = None) -> DataFrame:
         x, y = facts.alias("x"), facts.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & close("x", "y", percent)).select("a", "b")
+        fits = close("x", "y", percent) if also is None else close("x", "y", percent) & also
+        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & fits).select("a", "b")
 
     stars = stored(near(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "stars")
     wanted = shared.select("node").distinct()
@@ -156,17 +198,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     links = stored(confirmed(stars, sets, percent), "confirmed")
     groups = stored(components(links), "groups")
 
-    # Nodes of one bucket that the stars left in different components.
-    placed = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = stored(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "mixed")
-    open_ = stored(placed.join(mixed, "key").join(facts, "node"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = stored(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = stored(confirmed(rest, sets, percent), "confirmed")
-        if not more.isEmpty():
-            groups = stored(components(links.union(more)), "groups")
+    # Nodes of one bucket that the stars left in different components: first a second star around the bucket's most typical
+    # node, then every remaining pair that can still be linked.
+    open_ = still_open(shared, groups)
+    if not open_.isEmpty():
+        facts = stored(open_.select("node").distinct().join(facts, "node").join(own_shingles(sets.join(open_.select("node").distinct(), "node", "left_semi")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
+        typical = stored(open_.join(facts.select("node", "own", "n_shingles"), "node").groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n_shingles"), "node"))["node"].alias("first")), "typical")
+        second = near(open_.join(typical, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), linkable("x", "y", percent))
+        more = stored(confirmed(stored(second, "stars"), sets, percent), "confirmed")
+        links, groups = joined(links, more, groups)
+        open_ = still_open(shared, groups)
+        full = stored(open_.join(facts, "node"), "open")
+        x, y = full.alias("x"), full.alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & linkable("x", "y", percent) & close("x", "y", percent)
+        rest = stored(x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "rest")
+        links, groups = joined(links, stored(confirmed(rest, sets, percent), "confirmed"), groups)
 
     placed = stored(nodes.select("h1", "h2", "node").join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "placed")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
@@ -176,8 +222,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """``docs`` with one row of each group of near copies."""
-    keep = near_duplicates(docs, percent, k).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    name = unused(docs, "keep")
+    keep = stored(near_duplicates(docs, percent, k).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "keep")
+    named = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id IS NULL"))
 
 
