@@ -7,7 +7,6 @@ the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wrenchlake.llm import bpe, decontamination, near_dedup, quality_gam, substring_dedup
 from wrenchlake.llm.store import stored
@@ -16,7 +15,7 @@ from wrenchlake.llm.store import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the model learns from the labelled rows of ``docs``."""
     model = quality_gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_gam.score(docs, model).where(F.col(quality_gam.SCORE) >= quality_gam.THRESHOLD).select(*docs.columns)
+    return quality_gam.keep_good(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .repeats import KEYS
 from .store import stored
-from .text import Block, column, mix, scan
+from .text import Block, column, mix, scan, unused
 
 #: Which words of a span count: fixed masks.
 MASKS = ("111011", "1101011", "10111")
@@ -157,8 +157,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the rows that overlap a benchmark item."""
-    found = stored(overlaps(docs, benchmark, min_words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_k1")) & (F.xxhash64("text") == F.col("_k2"))
+    a, b = unused(docs, "k1"), unused(docs, "k2")
+    found = stored(overlaps(docs, benchmark, min_words).select(*KEYS).distinct(), "contaminated").toDF(a, b)
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(a)) & (F.xxhash64("text") == F.col(b))
     return docs.join(found, same, "left_anti")
 
 

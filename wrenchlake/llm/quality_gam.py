@@ -18,15 +18,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Block, byte_tables, column, mix, scan, windows
+from .text import Block, blocks, byte_tables, column, mix, scan, windows
 
 FEATURES = ["log_words", "mean_word_bytes", "symbols", "upper", "exclamations", "digits", "repeated_words", "distinct_words", "short_words", "stops", "non_ascii", "longest_word", "log_line_words", "doubled_symbols"]
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.7
-SCORE = "_quality_score"
 PAIR_BINS = 8
 
 
@@ -208,7 +209,8 @@ def sample_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Gam:
     """Trains on at most ``max_rows`` labelled rows; the sample has that bound, so it is broadcast to the documents' scan."""
     chosen = F.broadcast(sample_labels(labels, label, max_rows))
-    rows = docs.join(chosen, docs["doc_id"] == F.col("_id")).select("_id", "_y", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(chosen, "_id").select("_id", "_y", "text")
 
     def kernel(batch, texts):
         return {"id": column(batch, "_id"), "y": column(batch, "_y"), "x": list(features(texts))}
@@ -219,14 +221,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return train(x, got.column("y").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Gam) -> DataFrame:
-    """``docs`` with its score in the column SCORE; only the text passes through Python's features, all columns are kept."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def keep_good(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``threshold``; only texts pass through Python."""
 
-    def kernel(batch, texts):
-        return {**{n: batch.column(i) for i, n in enumerate(batch.schema.names)}, SCORE: model.score(features(texts))}
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})
+        return pd.Series(np.concatenate([model.score(features(part)) for _, part in blocks([batch])] or [np.empty(0)]))
 
-    return scan(docs, f"{fields}, {SCORE} double", kernel)
+    return docs.where(score(F.col("text").cast("string")) >= threshold)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -119,7 +119,8 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> NgramModel:
     chosen = F.broadcast(sample_labels(labels, label, max_rows))
-    rows = docs.join(chosen, docs["doc_id"] == F.col("_id")).select("_id", "_y", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(chosen, "_id").select("_id", "_y", "text")
 
     def kernel(batch, texts):
         block = Block(texts)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
-from .text import Block, byte_tables, column, mix, range_hash, ranges, scan, window_minima
+from .text import Block, byte_tables, column, mix, range_hash, ranges, scan, unused, window_minima
 
 KEYS = ["k1", "k2"]
 SETTLED, COMPARE = 1, 2
@@ -155,3 +155,11 @@ def covered(batch, units: Units, length: int, gram: int) -> np.ndarray:
 def with_starts(marked: DataFrame, starts: DataFrame) -> DataFrame:
     found = starts.groupBy(*KEYS).agg(F.collect_set("start").alias("starts"))
     return marked.join(found, KEYS, "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+
+
+def replace_texts(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``docs`` with the texts of ``changed`` (k1, k2, text) in place of their own."""
+    a, b, new = (unused(docs, n) for n in ("k1", "k2", "new_text"))
+    own = docs.withColumns({a: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), b: F.xxhash64("text")})
+    out = own.join(changed.toDF(a, b, new), [a, b], "left").withColumn("text", F.coalesce(new, "text"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

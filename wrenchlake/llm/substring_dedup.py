@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import KEYS, Units, compared_windows, covered, keyed, marked_documents, repeated_by_count, with_starts
+from .repeats import KEYS, Units, compared_windows, covered, keyed, marked_documents, repeated_by_count, replace_texts, with_starts
 from .text import column, scan
 
 GRAM = 10
@@ -44,10 +44,8 @@ def kept_words(docs: DataFrame, length: int = 35) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
     """The same rows and columns; texts that hold a repeated passage become their remaining words, joined by one space."""
-    kept = kept_words(docs, length).where("n_removed > 0").dropDuplicates(KEYS).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").cast("string").alias("_kept"))
-    own = docs.withColumns({"_d1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_d2": F.xxhash64("text")})
-    out = own.join(kept, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")), "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    kept = kept_words(docs, length).where("n_removed > 0").dropDuplicates(KEYS)
+    return replace_texts(docs, kept.select(*KEYS, F.col("kept").cast("string")))
 
 
 def word_digests(docs: DataFrame) -> DataFrame:

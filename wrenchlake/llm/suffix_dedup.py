@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import COMPARE, KEYS, Units, covered, keyed, marked_documents, marked_windows, repeated_by_count, with_starts
+from .repeats import COMPARE, KEYS, Units, covered, keyed, marked_documents, marked_windows, repeated_by_count, replace_texts, with_starts
 from .store import stored
 from .text import Block, byte_tables, column, mix, range_hash, scan
 
@@ -191,12 +191,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     kept = kept_bytes(docs, length).where("n_removed > 0").dropDuplicates(KEYS)
 
     def kernel(batch, texts):
-        return {"_k1": column(batch, "k1"), "_k2": column(batch, "k2"), "_kept": [t.decode("utf-8", "ignore") for t in texts]}
+        return {"k1": column(batch, "k1"), "k2": column(batch, "k2"), "text": [t.decode("utf-8", "ignore") for t in texts]}
 
-    clean = scan(kept, "_k1 long, _k2 long, _kept string", kernel, text="kept")
-    own = docs.withColumns({"_d1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_d2": F.xxhash64("text")})
-    out = own.join(clean, (F.col("_d1") == F.col("_k1")) & (F.col("_d2") == F.col("_k2")), "left")
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    return replace_texts(docs, scan(kept, "k1 long, k2 long, text string", kernel, text="kept"))
 
 
 def op3_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

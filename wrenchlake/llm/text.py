@@ -142,6 +142,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             yield batch.slice(at), texts[at:]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
