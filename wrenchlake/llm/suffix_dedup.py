@@ -105,17 +105,17 @@ def resolve_bucket(table: pa.Table, length: int) -> tuple[dict, dict]:
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
     common = np.minimum(common, np.minimum(sizes[1:], sizes[:-1]))
-    # Hash of the d bytes before each anchor, for d = 0, 1, ...
-    p = np.cumprod(np.full(left.shape[1] + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
-    before = np.zeros((n, left.shape[1] + 1), dtype=np.uint64)
-    np.cumsum(byte_tables()["value"][left] * p[:-1], axis=1, out=before[:, 1:])
+    before, factor = np.zeros(n, dtype=np.uint64), np.uint64(1)  # hash of the d bytes before each anchor
     repeats = np.zeros((n, int(dmax.max(initial=-1)) + 1), dtype=bool)
     for d in range(int(dmax.max(initial=-1)) + 1):
+        if d:
+            before += byte_tables()["value"][left[:, d - 1]] * factor
+            factor = np.uint64(int(factor) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         has = np.flatnonzero((dmin <= d) & (d <= dmax))
         if len(has) < 2:
             continue
         run = np.concatenate(([0], np.cumsum(common < length - d))).astype(np.uint64)
-        key = mix(before[has, d] + mix(run[has] + np.uint64(1)))
+        key = mix(before[has] + mix(run[has] + np.uint64(1)))
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
         twice = np.zeros(len(has), dtype=bool)
