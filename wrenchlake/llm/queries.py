@@ -27,3 +27,38 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _form(url: str) -> str:
+    rest = f"substr({url}, instr({url}, '://') + 3)"
+    host = f"regexp_replace(translate(regexp_extract({rest}, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '^((www|m)\\.)+', '')"
+    path = f"regexp_replace(regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1), '(\\.html?|/)+$', '')"
+    return f"CASE WHEN instr({url}, '://') > 0 THEN {host} || {path} END"
+
+
+ORACLE["op8_url_filters"] = f"""
+WITH RECURSIVE p AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, {_form('url')} AS form FROM pages),
+h AS (SELECT page_id, form, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' END AS rule FROM h),
+j AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruling FROM r),
+tags AS (SELECT form, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE form IS NOT NULL),
+targets AS (SELECT form AS a, regexp_extract(tag, '(?is)(?:href|content)\\s*=\\s*["'']?[^"''>]*?(https?://[^"''>\\s]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?is)rel\\s*=\\s*["'']?canonical|http-equiv\\s*=\\s*["'']?refresh|property\\s*=\\s*["'']?og:url')),
+edges AS (SELECT a, {_form('t')} AS b FROM targets WHERE t <> ''),
+both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+reach AS (SELECT DISTINCT form AS a, form AS b FROM h WHERE form IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+found AS (SELECT reach.a AS form, min(CASE WHEN j.ruling = 'allow' THEN 0 ELSE 1 END) AS least FROM reach JOIN j ON j.form = reach.b AND j.ruling IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN least = 1 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN found USING (form)
+"""
+
+#: CRC-32 by its table: each entry is eight steps of the reflected polynomial.
+ORACLE["op10_stratified_sharding"] = """
+WITH table_ AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+bytes AS (SELECT doc_id, source, text, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (SELECT doc_id, source, x, octet_length(encode(x)) + 1 AS size, xor(list_reduce(list_concat([4294967295], list_transform(range(0, CAST(length(h) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) AS text_crc32 FROM bytes, table_),
+digests AS (SELECT *, sha256('shards-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(x)) AS digest FROM sums),
+ranks AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY digest, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM digests),
+places AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, digest, doc_id) - 1 AS at_, count(*) OVER () AS total FROM ranks)
+SELECT doc_id, size, text_crc32, 'rows' AS law, at_ * 8 // total AS shard, at_ - CAST(ceil((at_ * 8 // total) * total / 8.0) AS BIGINT) AS slot, NULL AS grown_shard, source FROM places
+"""
