@@ -19,6 +19,8 @@ give empty tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,15 +80,29 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return scan(rows, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SIGNATURE), kernel)
 
 
-def distance(a: str, b: str) -> Column:
-    """Number of entries in which two signatures differ: of each chunk's XOR, the 16-bit lanes that are not zero."""
-    total = F.lit(0)
+def differing(a: str, b: str) -> list[Column]:
+    """For each chunk of two signatures, a long whose bits 0, 16, 32 and 48 tell which entries differ."""
+    out = []
     for c in SIGNATURE:
         x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
         for shift in (8, 4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+        out.append(x.bitwiseAND(F.lit(0x0001000100010001)))
+    return out
+
+
+def distance(a: str, b: str) -> Column:
+    """Number of entries in which two signatures differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(x) for x in differing(a, b)])
+
+
+def first_slot(a: str, b: str) -> Column:
+    """The first slot under which both signatures are filed alike, so that a pair counts in one of its buckets only."""
+    slot = F.lit(-1)
+    for i, x in reversed(list(enumerate(differing(a, b)))):
+        lane = reduce(lambda rest, m: F.when(x == (1 << 16 * m), m).otherwise(rest), (1, 2, 3), F.lit(0))
+        slot = F.when(F.bit_count(x) <= 1, 4 * i + lane).otherwise(slot)
+    return slot
 
 
 def bucket_keys() -> Column:
@@ -136,8 +152,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> D
 
 
 def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, node, part) of the buckets that hold more than one component; part: a node's component."""
-    placed = shared.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    """(key, slot, node, part) of the buckets that hold more than one component; part: a node's component."""
+    placed = shared.select("key", "slot", "node").join(groups, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("part"))
     mixed = stored(placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"), "mixed")
     return stored(placed.join(mixed, "key"), "open")
 
@@ -182,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("n_shingles", *SIGNATURE)]),
         "nodes",
     )
-    filed = nodes.select("node", F.explode(bucket_keys()).alias("key"))
+    filed = nodes.select("node", F.posexplode(bucket_keys()).alias("slot", "key"))
     buckets = stored(filed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "buckets")
     shared = stored(filed.join(buckets, "key"), "filed")
     facts = nodes.select("node", "n_shingles", *SIGNATURE)
@@ -210,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
         open_ = still_open(shared, groups)
         full = stored(open_.join(facts, "node"), "open")
         x, y = full.alias("x"), full.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & linkable("x", "y", percent) & close("x", "y", percent)
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & linkable("x", "y", percent) & close("x", "y", percent) & (F.col("x.slot") == first_slot("x", "y"))
         rest = stored(x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "rest")
         links, groups = joined(links, stored(confirmed(rest, sets, percent), "confirmed"), groups)
 
