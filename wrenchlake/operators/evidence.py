@@ -10,6 +10,7 @@ from ..functions.text import named_brands, text
 from .jobs import ordered_join
 
 FIRST, MERGED = 1800, 2500
+SYSTEM = "the library"
 
 
 def hits(ranking: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -50,20 +51,20 @@ def context_block(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(ordered_join("rank", part, "\n\n").alias("context"))
 
 
-def no_match(model: Column, symptom: Column, lexicon: Lexicon = DEFAULT) -> Column:
+def no_match(model: Column, symptom: Column, lexicon: Lexicon = DEFAULT, system: str = SYSTEM) -> Column:
     asked = named_brands(model, symptom, lexicon=lexicon)
     brand = F.when(
         F.size(asked) > 0,
         F.concat(F.lit("- Named brand/model: "), F.array_join(asked, ", "), F.lit(". Nothing in the library for that brand in this category.\n- Do not use another brand's voltages, ohms, or pin names.\n")),
     ).otherwise(F.lit(""))
     advice = "- Check category selection\n- Try different keywords / model number\n- Ask a manager to upload/index the service manual\n- Scanned PDFs with no text cannot be searched until OCR is added"
-    return F.concat(F.lit("No matching manual text was found in TechTrack.\n\n"), brand, F.lit(advice))
+    return F.concat(F.lit(f"No matching manual text was found in {system}.\n\n"), brand, F.lit(advice))
 
 
-def offline_plan(queries: DataFrame, rows: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+def offline_plan(queries: DataFrame, rows: DataFrame, lexicon: Lexicon = DEFAULT, system: str = SYSTEM) -> DataFrame:
     """query_id and plan: header, sources and the first eight excerpts, or the message that nothing matched.
 
-    ``queries``: query_id, category_name, model_text, symptom.
+    ``queries``: query_id, category_name, model_text, symptom.  ``system``: what the shop calls its library.
     """
     kind = F.when(F.col("is_index"), "INDEX").otherwise("PROC")
     cut = F.concat(F.left("chunk_text", F.lit(700)), F.when(F.length("chunk_text") > 700, "...").otherwise(""))
@@ -74,9 +75,9 @@ def offline_plan(queries: DataFrame, rows: DataFrame, lexicon: Lexicon = DEFAULT
     head = F.concat_ws(
         "\n", F.lit("**Guided Diagnostics (AI offline — matching manual excerpts)**"), F.lit(""), F.concat(F.lit("**Category:** "), text("category_name")),
         F.concat(F.lit("**Model/System:** "), model), F.concat(F.lit("**Symptom:** "), text("symptom")), F.lit(""), F.lit("**Sources:**"), F.col("sources"), F.lit(""), F.col("body"),
-        F.lit("\nOpen the **Source pages** panel in TechTrack to view/download the actual manual pages (figures, diagrams, LCD layouts)."),
+        F.lit(f"\nOpen the **Source pages** panel in {system} to view/download the actual manual pages (figures, diagrams, LCD layouts)."),
     )
-    plan = F.when(F.col("body").isNull(), no_match(F.col("model_text"), F.col("symptom"), lexicon)).otherwise(head)
+    plan = F.when(F.col("body").isNull(), no_match(F.col("model_text"), F.col("symptom"), lexicon, system)).otherwise(head)
     return queries.join(lines, "query_id", "left").join(body, "query_id", "left").select("query_id", plan.alias("plan"))
 
 
