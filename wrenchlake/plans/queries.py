@@ -444,11 +444,9 @@ def _(v):
     return jobs.coach_head(v.messages)
 
 
-@query("sorted_listing", "SELECT id, title, row_number() OVER (ORDER BY title NULLS FIRST, id) AS place FROM {library}")
+@query("sorted_listing", "SELECT id, title FROM {library} ORDER BY title NULLS FIRST, id")
 def _(v):
-    from pyspark.sql import Window
-
-    return v.library.select("id", "title", F.row_number().over(Window.orderBy(F.asc_nulls_first("title"), "id")).alias("place"))
+    return v.library.select("id", "title").orderBy(F.asc_nulls_first("title"), "id")
 
 
 @query("head", "SELECT id, full_name FROM {users} ORDER BY full_name, id LIMIT 25")
