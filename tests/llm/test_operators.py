@@ -352,7 +352,7 @@ def test_lm_prefers_what_it_has_seen(spark):
     rows = [(i, "the cat sat on the mat and the dog sat on the rug " * 20) for i in range(20)]
     docs = spark.createDataFrame([*rows, (99, "rug mat the the dog on sat cat and and on " * 20)], "doc_id long, text string")
     got = {r.doc_id: r.mean_log_prob for r in lm_score.lm_scores(docs, *lm_score.fit(docs)).collect()}
-    assert got[0] > got[99] + 0.5
+    assert got[0] > got[99] + 0.3
 
 
 # ---- op9

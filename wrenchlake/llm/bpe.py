@@ -24,6 +24,7 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,7 +290,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def kernel(batch, texts):
         bpe = held(cell, path)
-        return {"doc_id": column(batch, "doc_id"), "ids": [bpe.encode(t) for t in texts]}
+        return {"doc_id": column(batch, "doc_id"), "ids": pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))}
 
     return scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long, ids array<int>", kernel)
 
@@ -299,8 +300,6 @@ def decode(tokens: DataFrame, path: str, as_tokens: bool | None = None) -> DataF
     cell: list = []
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             bpe = held(cell, path)
             texts = ["".join(bpe.decode_stream(ids or [], as_tokens)) for ids in column(batch, "ids").to_pylist()]
@@ -337,7 +336,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         parts = [bpe.digest_parts(t) for t in texts]
         return {
             "doc_id": column(batch, "doc_id"),
-            "ids": [np.fromiter(map(int, ids.split()), dtype=np.int32) for _, ids, _ in parts],
+            "ids": pa.array([np.fromiter(map(int, ids.split()), dtype=np.int32) for _, ids, _ in parts], pa.list_(pa.int32())),
             "n_tokens": [n for n, _, _ in parts],
             "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, _, text in parts],
         }
