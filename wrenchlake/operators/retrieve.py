@@ -159,7 +159,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 14, lexicon: Lexico
     ``queries`` and ``chunks`` carry their features.  Seeds are the best by score; charts and neighbours among them add
     pages; of what remains after removing repeats, manuals with a leading seed's title gain 3, and one chart at most stays.
     """
-    seeds = seed_topk(score_candidates(queries, chunks), k)
+    seeds = seed_topk(score_candidates(queries, chunks), k).persist()  # few rows a question, read four times below
     more = expand_pages(queries, chunks, seeds, lexicon)
     first = seeds.where("NOT fallback").select("query_id", "id", "document_id", "page", "is_index", "score", F.col("rank").cast("long").alias("ordinal"))
     later = more.select("query_id", "id", "document_id", "page", "is_index", "score", (F.col("id") + F.lit(1_000_000_000)).alias("ordinal"))
