@@ -355,6 +355,50 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert got[0] > got[99] + 0.3
 
 
+def test_lm_scores_every_word_by_its_own_counts(spark, docs, empty):
+    common, logp = lm_score.fit(docs)
+    network = {r.doc_id: r for r in lm_score.lm_scores(docs, common, logp).where("doc_id IS NOT NULL").collect()}
+    places, near, distinct = [], [collections.Counter(), collections.Counter()], np.zeros(lm_score.SHAPES, dtype=int)
+    counts = lm_score.word_counts(docs).collect()
+    for r in counts:
+        distinct[r.shape] += np.uint64(r.word % (1 << 64)) not in common
+    buckets = 1 << int(np.ceil(np.log2(16 * np.sqrt(distinct.sum()))))
+    for i, t in ROWS:
+        block, ids, hashes = lm_score.hashed_tokens([(t or "").encode()], common)
+        left, right = lm_score.beside(block, hashes, buckets)
+        places += [(i, int(c) - lm_score.COMMON, int(h), int(a), int(b)) for c, h, a, b in zip(ids, hashes, left, right) if c >= lm_score.COMMON]
+    n, total = collections.Counter((c, h) for _, c, h, _, _ in places), collections.Counter(c for _, c, *_ in places)
+    both = [collections.Counter((p[1], p[2], p[3 + side]) for p in places) for side in (0, 1)]
+    near = [collections.Counter((p[1], p[3 + side]) for p in places) for side in (0, 1)]
+    want, times = collections.Counter(), collections.Counter(i for i, _ in ROWS)
+    for i, c, h, *sides in places:
+        alone = (n[c, h] - 1 + lm_score.PRIOR) / (total[c] - 1 + lm_score.PRIOR * distinct[c])
+        beside = [(both[s][c, h, b] - 1) / (near[s][c, b] - 1) if near[s][c, b] > 1 else alone for s, b in enumerate(sides)]
+        want[i] += np.log((1 - lm_score.NEAR) * alone + lm_score.NEAR / 2 * sum(beside)) / times[i]
+    rows = lm_score.scores(docs).collect()
+    assert collections.Counter(r.doc_id for r in rows) == times
+    assert all(abs(r.log_likelihood - network[r.doc_id].log_likelihood - want[r.doc_id]) < 1e-2 for r in rows if r.doc_id is not None)
+    assert all(r.mean_log_prob is None and r.log_likelihood == 0 for r in rows if r.doc_id in (0, 1, 2))
+    assert lm_score.scores(empty).count() == 0
+
+
+def test_lm_tells_garbled_and_shuffled_rare_words(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(600)]
+    sentences = [[r.choice(words) for _ in range(8)] for _ in range(150)]
+    rows = [(i, " ".join(w for _ in range(30) for w in r.choice(sentences))) for i in range(40)]
+    first = rows[0][1].split()
+    known = {w for w, _ in collections.Counter(w for _, t in rows for w in t.split()).most_common(200)}
+    garbled = " ".join(w if w in known else "".join(r.choice("klmnopqrst") for _ in w) for w in first)
+    shuffled = [w for w in first if w not in known]
+    r.shuffle(shuffled)
+    shuffled = " ".join(w if w in known else shuffled.pop() for w in first)
+    docs = spark.createDataFrame([*rows, (98, shuffled), (99, garbled)], "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_prob for r in lm_score.scores(docs).collect()}
+    assert got[0] > got[98] + 0.3 and got[98] > got[99] + 0.3
+    assert max(got.values()) < 0
+
+
 # ---- op9
 
 
