@@ -426,6 +426,38 @@ def test_masks_hit_every_overlap_with_two_substitutions():
         assert any(all(s + i not in errors for i, c in enumerate(m) if c == "1") for m in decontamination.MASKS for s in range(n - len(m) + 1))
 
 
+def overlaps_of(item, said, min_words=decontamination.MIN_WORDS):
+    found = decontamination.Seeds([(7, " ".join(item).encode())])
+    block = text.Block([" ".join(said).encode()], lower=True)
+    doc = block.words()[2]
+    return found.overlaps(block.word_hashes(), doc, np.array([0]), np.array([len(doc)]), min_words)
+
+
+@pytest.mark.parametrize("size,errors", [(7, 1), (10, 1), (12, 1), (13, 1), (13, 2), (14, 1), (14, 2), (15, 2), (17, 1), (20, 2)])
+def test_overlaps_with_substitutions_anywhere(size, errors):
+    import itertools
+
+    item = [f"i{j}" for j in range(size)]
+    for wrong in itertools.combinations(range(size), errors):
+        said = [f"a{j}" for j in range(30)] + [f"x{j}" if j in wrong else w for j, w in enumerate(item)] + [f"b{j}" for j in range(30)]
+        right = [30 + j for j in range(size) if j not in wrong]
+        assert overlaps_of(item, said) == [(0, 7, right[0], right[-1] + 1)], wrong
+
+
+def test_overlaps_on_one_diagonal_and_at_a_rate():
+    item = [f"i{j}" for j in range(60)]
+    said = [f"x{j}" if 15 <= j < 40 else w for j, w in enumerate(item)]
+    assert overlaps_of(item, said) == [(0, 7, 0, 15), (0, 7, 40, 60)]
+    for size in range(14, 51):
+        said = [f"x{j}" if j % 5 == 4 else w for j, w in enumerate(item[:size])]
+        found = overlaps_of(item[:size], said)
+        assert found and found[0][2] == 0 and found[0][3] >= 13
+    said = [f"x{j}" if j in (2, 6, 10) else w for j, w in enumerate(item[:13])]
+    assert overlaps_of(item[:13], said) == []
+    for wrong in range(6):
+        assert overlaps_of(item[:6], [f"x{j}" if j == wrong else w for j, w in enumerate(item[:6])]) == []
+
+
 # ---- op8
 
 

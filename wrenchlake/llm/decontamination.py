@@ -2,9 +2,10 @@
 
 Method: fixed masks pick some words of a short span and ignore the others; the hashes of what they pick are joined between
 benchmark items and documents.  Around each hit the words on the same diagonal (document place less item place) are
-compared one by one, and the best segment there - a match counts 1, a substitution costs ``PENALTY`` - is an overlap if it has
-``min_words`` words (all words of a shorter item).  With the default masks every 13-word overlap with two substitutions at
-most is hit.
+compared one by one.  A stretch of ``min_words`` words (all words of a shorter item) with at most ``SUBSTITUTIONS``
+substitutions, wherever they are, belongs to an overlap; stretches that touch are one overlap, which is reported without
+substitutions at its ends.  A stretch under 13 words may have fewer substitutions in proportion: one from 7 words on, none
+below.  With the default masks every such stretch is hit.
 
 The join runs inside the documents' scan, so no document hash is shuffled.  The benchmark's seeds are sent to executors in
 blocks of at most ``BLOCK_WORDS`` words of items (bounded whatever the benchmark's size; a longer item is cut into
@@ -27,7 +28,7 @@ from .text import Block, column, mix, scan, unused
 #: Which words of a span count: fixed masks.
 MASKS = ("111011", "1101011", "10111")
 MIN_WORDS = 13
-PENALTY = 4
+SUBSTITUTIONS = 2
 BLOCK_WORDS = 200_000
 FILTER_BITS = 22
 
@@ -92,12 +93,14 @@ class Seeds:
             lo, hi = max(start, first[d]), min(start + self.last[item] - self.first[item], last[d])
             offset = self.first[item] - start
             same = words[lo:hi] == self.words[lo + offset : hi + offset]
-            total = np.concatenate(([0], np.cumsum(np.where(same, 1, -PENALTY))))
-            gain = total - np.minimum.accumulate(total)
-            end = int(gain.argmax())
-            begin = int(total[: end + 1].argmin())
-            if end - begin >= min(min_words, self.last[item] - self.first[item]) and end > begin:
-                out.append((int(d), int(self.ids[item]), int(lo - first[d]) + begin, int(lo - first[d]) + end))
+            size = min(min_words, self.last[item] - self.first[item])
+            if len(same) < size:
+                continue
+            missed = np.concatenate(([0], np.cumsum(~same)))
+            near = np.flatnonzero(missed[size:] - missed[:-size] <= min(SUBSTITUTIONS, SUBSTITUTIONS * size // MIN_WORDS))
+            for run in np.split(near, np.flatnonzero(np.diff(near) > size) + 1) if len(near) else ():
+                kept = run[0] + np.flatnonzero(same[run[0] : run[-1] + size])
+                out.append((int(d), int(self.ids[item]), int(lo - first[d] + kept[0]), int(lo - first[d] + kept[-1]) + 1))
         return out
 
 
