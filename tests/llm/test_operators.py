@@ -458,6 +458,16 @@ def test_overlaps_on_one_diagonal_and_at_a_rate():
         assert overlaps_of(item[:6], [f"x{j}" if j == wrong else w for j, w in enumerate(item[:6])]) == []
 
 
+def test_last_piece_of_a_long_item_is_no_short_item(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 6000)
+    for size in (1501, 2500, 2501, 3001):
+        item = [f"i{j}" for j in range(size)]
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        docs = spark.createDataFrame([(1, f"a {item[-1]} b"), (2, " ".join(item[-13:])), (3, " ".join(item[1490:1510][:13])), (4, " ".join(item[:13]))], "doc_id long, text string")
+        got = {r.doc_id: r.contaminated for r in decontamination.contamination(docs, bench).collect()}
+        assert got == {1: False, 2: True, 3: len(item[1490:1510]) >= 13, 4: True}, size
+
+
 # ---- op8
 
 

@@ -105,11 +105,11 @@ class Seeds:
 
 
 def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark in blocks of bounded size; items over BLOCK_WORDS words become overlapping pieces."""
+    """The benchmark in blocks of bounded size; items over a quarter of BLOCK_WORDS become overlapping pieces of over 1,000 words."""
     words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.alias("w")).where("size(w) > 0")
     step = BLOCK_WORDS // 4
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / step).cast("int")), lambda i: F.array_join(F.slice(F.col("w"), i * step + 1, step + 1000), " "))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - 1001, F.lit(0)) / step).cast("int")), lambda i: F.array_join(F.slice(F.col("w"), i * step + 1, step + 1000), " "))
     items = stored(sized.select("item_id", F.explode(pieces).alias("text")).withColumn("n", F.size(F.split("text", " "))), "items")
     total = items.agg(F.sum("n")).first()[0] or 0
     n_blocks = -(-2 * total // BLOCK_WORDS)
