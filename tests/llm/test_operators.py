@@ -427,10 +427,10 @@ def test_masks_hit_every_overlap_with_two_substitutions():
 
 
 def overlaps_of(item, said, min_words=decontamination.MIN_WORDS):
-    found = decontamination.Seeds([(7, " ".join(item).encode())])
+    found = decontamination.Seeds([(7, 0, len(item), " ".join(item).encode())])
     block = text.Block([" ".join(said).encode()], lower=True)
     doc = block.words()[2]
-    return found.overlaps(block.word_hashes(), doc, np.array([0]), np.array([len(doc)]), min_words)
+    return [(d, i, a, b) for d, i, _, a, b in found.overlaps(block.word_hashes(), doc, np.array([0]), np.array([len(doc)]), min_words)]
 
 
 @pytest.mark.parametrize("size,errors", [(7, 1), (10, 1), (12, 1), (13, 1), (13, 2), (14, 1), (14, 2), (15, 2), (17, 1), (20, 2)])
@@ -458,14 +458,80 @@ def test_overlaps_on_one_diagonal_and_at_a_rate():
         assert overlaps_of(item[:6], [f"x{j}" if j == wrong else w for j, w in enumerate(item[:6])]) == []
 
 
-def test_last_piece_of_a_long_item_is_no_short_item(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 6000)
-    for size in (1501, 2500, 2501, 3001):
-        item = [f"i{j}" for j in range(size)]
-        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-        docs = spark.createDataFrame([(1, f"a {item[-1]} b"), (2, " ".join(item[-13:])), (3, " ".join(item[1490:1510][:13])), (4, " ".join(item[:13]))], "doc_id long, text string")
-        got = {r.doc_id: r.contaminated for r in decontamination.contamination(docs, bench).collect()}
-        assert got == {1: False, 2: True, 3: len(item[1490:1510]) >= 13, 4: True}, size
+def all_overlaps(said, item, min_words=decontamination.MIN_WORDS):
+    """Every overlap of two lists of words, from all places on all diagonals."""
+    size, out = min(min_words, len(item)), []
+    most = min(2, 2 * size // 13)
+    for diagonal in range(-len(item) + 1, len(said)):
+        lo, hi = max(0, diagonal), min(len(said), diagonal + len(item))
+        same = [said[i] == item[i - diagonal] for i in range(lo, hi)]
+        good = [i for i in range(len(same) - size + 1) if size - sum(same[i : i + size]) <= most]
+        runs = []
+        for i in good:
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + size
+            else:
+                runs.append([i, i + size])
+        for a, b in runs:
+            right = [i for i in range(a, b) if same[i]]
+            out.append((lo + right[0], lo + right[-1] + 1))
+    return out
+
+
+def contaminated(rows, items):
+    low = lambda t: (t or "").encode().translate(LOWER).split()
+    names = {}
+    for i, t in items:
+        if low(t):
+            names[tuple(low(t))] = min([x for x in (i, names.get(tuple(low(t)))) if x is not None], default=None)
+    out = []
+    for d, t in rows:
+        found = [(i, all_overlaps(low(t), list(w))) for w, i in names.items()]
+        spans = [y - x for _, v in found for x, y in v]
+        out.append((d, bool(spans), tuple(sorted({i for i, v in found if v and i is not None})), max(spans, default=0)))
+    return collections.Counter(out)
+
+
+def test_decontamination_equals_search_at_all_places(spark):
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(12)]
+    said = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, said(n)) for i, n in enumerate([1, 2, 4, 5, 6, 7, 9, 12, 13, 14, 20, 40])] + [(50, None), (51, " "), (0, said(30)), (None, said(25))]
+    items += [(60, items[10][1].upper()), (None, items[9][1]), (9, said(16))]
+    rows = [(None, None), (0, ""), (1, "  "), (2, "w1"), (2, "w1"), (None, said(30)), (3, said(3)), (4, said(200)), (5, ("w1 w2 " * 60).strip()), (5, said(13))]
+    for i, (_, t) in enumerate(items):
+        for j, n in enumerate((0, 1, 2, 3)):
+            w = (t or "").split() or ["w0"]
+            for _ in range(n):
+                w[r.randrange(len(w))] = "other"
+            rows.append((100 + 10 * i + j, f"{said(r.randrange(20))} {' '.join(w)} {said(r.randrange(20))}"))
+    items, rows = [(i, t) for i, t in items if not t or len(t.split()) > 3], rows + rows[40:44]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(docs, bench).collect()
+    assert collections.Counter((x.doc_id, x.contaminated, tuple(x.item_ids), x.longest) for x in got) == contaminated(rows, items)
+
+
+def test_long_items_count_as_wholes(spark):
+    long_ = {n: [f"i{n}_{j}" for j in range(n)] for n in (50_000, 50_001, 200_000)}
+    bench = spark.createDataFrame([(n, " ".join([*w, "the"])) for n, w in long_.items()], "item_id long, text string")
+    rows = [(1, "see the cat"), (2, " ".join(long_[200_000][45_000:160_000])), (3, " ".join(long_[50_001][-13:])), (4, " ".join(long_[50_001][-10:]))]
+    got = {x.doc_id: (list(x.item_ids), x.longest) for x in decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: ([], 0), 2: ([200_000], 115_000), 3: ([50_001], 13), 4: ([], 0)}
+
+
+def test_blocks_of_the_benchmark_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 3000)
+    monkeypatch.setattr(decontamination, "PIECE", 600)
+    monkeypatch.setattr(decontamination, "SHARED", 100)
+    items = [(i, prose(1000, 900)) for i in range(2000)] + [(3000 + i, prose(400 + i, 1000 + i)) for i in range(40)] + [(5000, prose(2500, 998))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names, blocks = decontamination.item_blocks(bench)
+    sizes = [sum(len(x.text.split()) for x in b.collect()) for b in blocks]
+    assert names.count() == 42 and max(sizes) <= 3000 and len(blocks) > 5
+    assert decontamination.item_classes(bench).where("same_as = 0").count() == 2000
+    rows = [(1, prose(2500, 998)), (2, prose(1000, 900)[40:]), (3, prose(410, 1010)), (4, prose(90, 2))]
+    got = {x.doc_id: (list(x.item_ids), x.longest) for x in decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got[1] == ([5000], 2500) and got[2][0] == [0] and got[3] == ([3010], 410) and got[4] == ([], 0)
 
 
 # ---- op8

@@ -7,18 +7,21 @@ substitutions, wherever they are, belongs to an overlap; stretches that touch ar
 substitutions at its ends.  A stretch under 13 words may have fewer substitutions in proportion: one from 7 words on, none
 below.  With the default masks every such stretch is hit.
 
-The join runs inside the documents' scan, so no document hash is shuffled.  The benchmark's seeds are sent to executors in
-blocks of at most ``BLOCK_WORDS`` words of items (bounded whatever the benchmark's size; a longer item is cut into
-overlapping pieces), one scan of the documents for each block.
-
-Defined results: A-Z is lower-cased; null or blank items match nothing; null text counts as empty; repeated items and rows are
-reported alike; rows with null doc_id are reported with null doc_id; an empty benchmark contaminates nothing.
+The join runs inside the documents' scan, so no document hash is shuffled.  Items of the same words are one item, named by
+their smallest item_id.  An item over ``PIECE`` words is cut into pieces that share ``SHARED`` words; each piece knows its
+place in the item and the item's whole length, so thresholds are the item's and overlaps of neighbouring pieces become one.
+Pieces are dealt to blocks by running sums, at most ``BLOCK_WORDS`` words a block whatever the benchmark's size; the documents
+are scanned once for each block.
+
+Defined results: A-Z is lower-cased; null or blank items match nothing; null text counts as empty; repeated items are reported
+by their smallest item_id (null if none has one; ``item_classes`` tells who is who), repeated rows alike; rows with null
+doc_id are reported with null doc_id; an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import KEYS
@@ -29,8 +32,9 @@ from .text import Block, column, mix, scan, unused
 MASKS = ("111011", "1101011", "10111")
 MIN_WORDS = 13
 SUBSTITUTIONS = 2
-BLOCK_WORDS = 200_000
-FILTER_BITS = 22
+BLOCK_WORDS = 1_000_000
+PIECE = 50_000
+SHARED = 1_000
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -44,25 +48,27 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Seeds:
-    """A block of benchmark items: their words' hashes, and the sorted seeds with the places they come from."""
+    """A block of pieces of benchmark items (item, first word in the item, words of the whole item, text): their words' hashes,
+    and the sorted seeds with the places they come from."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        block = Block([t for _, t in items], lower=True)
+    def __init__(self, pieces: list[tuple[int, int, int, bytes]]):
+        block = Block([t for *_, t in pieces], lower=True)
         doc = block.words()[2]
         self.words = block.word_hashes()
-        self.ids = np.array([i for i, _ in items], dtype=np.int64)
+        self.items, self.offsets, self.whole = (np.array([p[i] for p in pieces], dtype=np.int64) for i in range(3))
         self.first = np.searchsorted(doc, np.arange(block.n))
         self.last = np.searchsorted(doc, np.arange(block.n), side="right")
         self.doc = doc
+        self.bits = min(24, 5 + len(self.words).bit_length())
         self.tables = []
-        for mask in self.masks(np.unique(self.last - self.first)):
+        for mask in self.masks(np.unique(self.whole)):
             h = seed_hashes(self.words, mask)
             at = np.flatnonzero(doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]) if len(h) else np.empty(0, np.int64)
             if "0" not in mask and mask not in MASKS:  # an item too short for the masks, as a whole
-                at = at[(self.first[doc[at]] == at) & (self.last[doc[at]] - at == len(mask))]
+                at = at[(self.first[doc[at]] == at) & (self.whole[doc[at]] == len(mask))]
             order = at[np.argsort(h[at], kind="stable")]
-            held = np.zeros(1 << FILTER_BITS, dtype=bool)
-            held[(h[order] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            held = np.zeros(1 << self.bits, dtype=bool)
+            held[(h[order] >> np.uint64(64 - self.bits)).astype(np.int64)] = True
             self.tables.append((mask, h[order], order, held))
 
     @staticmethod
@@ -71,13 +77,13 @@ class Seeds:
         return [*MASKS, *("1" * int(n) for n in sizes if 0 < n < longest and "1" * int(n) not in MASKS)]
 
     def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (diagonal start in the block's words, item) of all seeds that documents and items share."""
+        """Distinct (diagonal start in the block's words, piece, document) of all seeds that documents and pieces share."""
         pairs = []
         for mask, seeds, places, held in self.tables:
             h = seed_hashes(words, mask)
             if not len(h) or not len(seeds):
                 continue
-            at = np.flatnonzero(held[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] & (doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]))
+            at = np.flatnonzero(held[(h >> np.uint64(64 - self.bits)).astype(np.int64)] & (doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]))
             lo, hi = np.searchsorted(seeds, h[at]), np.searchsorted(seeds, h[at], side="right")
             n = hi - lo
             which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -86,46 +92,82 @@ class Seeds:
         found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 3), np.int64)
         return found
 
-    def overlaps(self, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> list[tuple[int, int, int, int]]:
-        """(document, item_id, first and last + 1 word in the document) of each overlap."""
+    def overlaps(self, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, diagonal, first and last + 1 word in the document) of each overlap.  The diagonal is the document
+        word that faces the item's first word, so it is the same for all pieces of an item."""
         out = []
-        for start, item, d in self.hits(words, doc):
-            lo, hi = max(start, first[d]), min(start + self.last[item] - self.first[item], last[d])
-            offset = self.first[item] - start
+        for start, piece, d in self.hits(words, doc):
+            lo, hi = max(start, first[d]), min(start + self.last[piece] - self.first[piece], last[d])
+            offset = self.first[piece] - start
             same = words[lo:hi] == self.words[lo + offset : hi + offset]
-            size = min(min_words, self.last[item] - self.first[item])
+            size = min(min_words, self.whole[piece])
             if len(same) < size:
                 continue
             missed = np.concatenate(([0], np.cumsum(~same)))
-            near = np.flatnonzero(missed[size:] - missed[:-size] <= min(SUBSTITUTIONS, SUBSTITUTIONS * size // MIN_WORDS))
+            near = np.flatnonzero(missed[size:] - missed[:-size] <= allowed(size))
             for run in np.split(near, np.flatnonzero(np.diff(near) > size) + 1) if len(near) else ():
                 kept = run[0] + np.flatnonzero(same[run[0] : run[-1] + size])
-                out.append((int(d), int(self.ids[item]), int(lo - first[d] + kept[0]), int(lo - first[d] + kept[-1]) + 1))
+                diagonal = start - first[d] - self.offsets[piece]
+                out.append((int(d), int(self.items[piece]), int(diagonal), int(lo - first[d] + kept[0]), int(lo - first[d] + kept[-1]) + 1))
         return out
 
 
-def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark in blocks of bounded size; items over a quarter of BLOCK_WORDS become overlapping pieces of over 1,000 words."""
-    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words.alias("w")).where("size(w) > 0")
-    step = BLOCK_WORDS // 4
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - 1001, F.lit(0)) / step).cast("int")), lambda i: F.array_join(F.slice(F.col("w"), i * step + 1, step + 1000), " "))
-    items = stored(sized.select("item_id", F.explode(pieces).alias("text")).withColumn("n", F.size(F.split("text", " "))), "items")
-    total = items.agg(F.sum("n")).first()[0] or 0
-    n_blocks = -(-2 * total // BLOCK_WORDS)
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == i).select("item_id", "text") for i in range(n_blocks)]
+def allowed(size: int) -> int:
+    """Substitutions in a stretch of ``size`` words."""
+    return min(SUBSTITUTIONS, SUBSTITUTIONS * size // MIN_WORDS)
+
+
+def benchmark_words(benchmark: DataFrame) -> DataFrame:
+    """item_id, w (words, A-Z lower-cased) and the item's key of each item with a word; items of the same words share a key."""
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.regexp_extract_all(low, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    return words.where("size(w) > 0").withColumn("item", F.xxhash64("w"))
+
+
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """item_id and same_as, the smallest item_id with the same words, of each item with a word."""
+    rows = benchmark_words(benchmark).select("item_id", "item")
+    return rows.join(rows.groupBy("item").agg(F.min("item_id").alias("same_as")), "item").select("item_id", "same_as")
+
+
+def item_blocks(benchmark: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(item, item_id) of the distinct items, and their pieces (item, at, whole, text) in blocks of BLOCK_WORDS words at most."""
+    distinct = benchmark_words(benchmark).groupBy("item").agg(F.min("item_id").alias("item_id"), F.first("w").alias("w"))
+    at = F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - SHARED - 1, F.lit(0)) / PIECE).cast("int"))
+    cut = distinct.select("item", "item_id", "w", F.explode(at).alias("i")).withColumn("part", F.slice("w", F.col("i") * PIECE + 1, PIECE + SHARED))
+    pieces = stored(cut.select("item", "item_id", (F.col("i") * PIECE).alias("at"), F.size("w").alias("whole"), F.size("part").alias("n"), F.array_join("part", " ").alias("text")), "items")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    # Buckets of about half a block, by a hash of distinct pieces; what a bucket holds beyond a block opens further ones.
+    bucket = F.pmod(F.xxhash64("item", "at"), F.lit(max(1, -(-2 * total // BLOCK_WORDS)))).cast("int")
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("item", "at")) - F.col("n")
+    dealt = stored(pieces.withColumn("bucket", bucket).withColumn("slot", F.floor(before / (BLOCK_WORDS - PIECE - SHARED)).cast("int")), "blocks")
+    blocks = sorted(tuple(r) for r in dealt.select("bucket", "slot").distinct().collect())
+    return dealt.where("at = 0").select("item", "item_id"), [dealt.where((F.col("bucket") == b) & (F.col("slot") == s)).select("item", "at", "whole", "text") for b, s in blocks]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, item_id, first, last) of each overlap: a row's keys, the item, and the words it covers (last excluded)."""
+    if not 0 < min_words <= SHARED:
+        raise ValueError(f"min_words must be from 1 to {SHARED}")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), F.col("text").cast("string").alias("text"))
-    schema = "k1 long, k2 long, item_id long, first int, last int"
-    out = rows.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(benchmark):
-        got = block.orderBy("item_id", "text").toArrow()
-        seeds = rows.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in zip(got.column("item_id").to_pylist(), got.column("text").to_pylist(), strict=True)])
-        out = out.union(scan(rows, schema, overlap_kernel(seeds, min_words)))
-    return out
+    context = rows.sparkSession.sparkContext
+    found = rows.sparkSession.createDataFrame([], OVERLAPS)
+    names, blocks = item_blocks(benchmark)
+    for block in blocks:
+        got = block.orderBy("item", "at").toArrow()
+        texts = [t.encode() for t in got.column("text").to_pylist()]
+        pieces = list(zip(got.column("item").to_pylist(), got.column("at").to_pylist(), got.column("whole").to_pylist(), texts, strict=True))
+        found = found.union(scan(rows, OVERLAPS, overlap_kernel(context.broadcast(pieces), min_words)))
+    # Overlaps that touch on one diagonal are one: those of neighbouring pieces of a long item, and those of equal rows.
+    diagonal = Window.partitionBy(*KEYS, "item", "diagonal").orderBy("first", "last")
+    reach = F.max("last").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("first") <= reach, 0).otherwise(1)
+    each = stored(found.distinct(), "found").withColumn("opens", opens).withColumn("run", F.sum("opens").over(diagonal))
+    merged = each.groupBy(*KEYS, "item", "diagonal", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.join(names, "item").select(*KEYS, "item_id", "first", "last")
+
+
+OVERLAPS = "k1 long, k2 long, item long, diagonal int, first int, last int"
 
 
 def overlap_kernel(seeds, min_words: int):
@@ -137,14 +179,14 @@ def overlap_kernel(seeds, min_words: int):
         block = Block(texts, lower=True)
         doc = block.words()[2]
         first, last = np.searchsorted(doc, np.arange(block.n)), np.searchsorted(doc, np.arange(block.n), side="right")
-        found = cell[0].overlaps(block.word_hashes(), doc, first, last, min_words)
-        at = np.array([f[0] for f in found], dtype=np.int64)
+        found = np.array(cell[0].overlaps(block.word_hashes(), doc, first, last, min_words), dtype=np.int64).reshape(-1, 5)
         return {
-            "k1": column(batch, "k1").to_numpy()[at],
-            "k2": column(batch, "k2").to_numpy()[at],
-            "item_id": np.array([f[1] for f in found], dtype=np.int64),
-            "first": np.array([f[2] for f in found], dtype=np.int32),
-            "last": np.array([f[3] for f in found], dtype=np.int32),
+            "k1": column(batch, "k1").to_numpy()[found[:, 0]],
+            "k2": column(batch, "k2").to_numpy()[found[:, 0]],
+            "item": found[:, 1],
+            "diagonal": found[:, 2].astype(np.int32),
+            "first": found[:, 3].astype(np.int32),
+            "last": found[:, 4].astype(np.int32),
         }
 
     return kernel
