@@ -148,6 +148,16 @@ def test_suffix_dedup_across_bucket_boundaries(spark, tmp_path):
     assert got == collections.Counter(removed_bytes(rows, 400))
 
 
+@pytest.mark.parametrize("bucket,edges", [(1, 1), (7, 3), (64, 1024)])
+def test_suffix_dedup_in_small_buckets(spark, docs, tmp_path, monkeypatch, bucket, edges):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "EDGE_ROWS", edges)
+    rows = [x for x in ROWS if len(x[1] or "") < 20000] + [(700 + i, f"{prose(30, 2900 + i)} {PASSAGE[i * 7 : 400 + i * 11]} {prose(20, 3900 + i)}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = counted(suffix_dedup.op3_suffix_array_dedup(spark, str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == collections.Counter(removed_bytes(rows, 400))
+
+
 def test_multikey_sort():
     r = np.random.default_rng(2)
     rows = r.integers(97, 99, (300, 24)).astype(np.uint8)

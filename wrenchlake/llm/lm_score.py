@@ -35,7 +35,7 @@ EDGE = COMMON + SHAPES
 V = EDGE + 1
 HIDDEN = 48
 EPOCHS = 200
-HELD_BLOCKS = 16
+HELD_BLOCKS = 64
 #: Weight of a word's counts beside its neighbours, the count that every word has beforehand, and the unit of summed logarithms.
 NEAR = 0.5
 PRIOR = 0.5

@@ -25,6 +25,7 @@ from .text import Block, byte_tables, column, mix, range_hash, ranges, scan, unu
 
 KEYS = ["k1", "k2"]
 SETTLED, COMPARE = 1, 2
+RUN_BITS = 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -139,22 +140,24 @@ def repeated_by_count(windows: DataFrame) -> DataFrame:
 
 
 def covered(batch, units: Units, length: int, gram: int) -> np.ndarray:
-    """Which units of a block lie in a repeated window, from the rows' marks and the starts found by comparison."""
+    """Which units of a block lie in a repeated window, from the rows' marks and the runs found by comparison."""
     a, settled = marked_windows(batch, units, length, gram, SETTLED)
     change = np.zeros(len(units.values) + length + 1, dtype=np.int64)
     np.add.at(change, a["first"][settled], 1)
     np.add.at(change, a["last"][settled] + length, -1)
-    starts = column(batch, "starts")
-    flat = starts.flatten().to_numpy()
-    at = np.repeat(units.starts, np.diff(starts.offsets.to_numpy())) + flat
+    runs = column(batch, "runs")
+    flat = runs.flatten().to_numpy()
+    at = np.repeat(units.starts, np.diff(runs.offsets.to_numpy())) + (flat >> RUN_BITS)
     np.add.at(change, at, 1)
-    np.add.at(change, at + length, -1)
+    np.add.at(change, at + (flat & ((1 << RUN_BITS) - 1)) - 1 + length, -1)
     return np.cumsum(change)[: len(units.values)] > 0
 
 
-def with_starts(marked: DataFrame, starts: DataFrame) -> DataFrame:
-    found = starts.groupBy(*KEYS).agg(F.collect_set("start").alias("starts"))
-    return marked.join(found, KEYS, "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+def with_runs(marked: DataFrame, runs: DataFrame) -> DataFrame:
+    """Adds to documents the runs (k1, k2, start, n) of windows found by comparison, each as one long."""
+    packed = F.shiftleft(F.col("start").cast("long"), RUN_BITS) + F.col("n")
+    found = runs.groupBy(*KEYS).agg(F.collect_set(packed).alias("runs"))
+    return marked.join(found, KEYS, "left").withColumn("runs", F.coalesce("runs", F.array().cast("array<long>")))
 
 
 def replace_texts(docs: DataFrame, changed: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import KEYS, Units, compared_windows, covered, keyed, marked_documents, repeated_by_count, replace_texts, with_starts
+from .repeats import KEYS, Units, compared_windows, covered, keyed, marked_documents, repeated_by_count, replace_texts, with_runs
 from .text import column, scan
 
 GRAM = 10
@@ -26,7 +26,7 @@ def kept_words(docs: DataFrame, length: int = 35) -> DataFrame:
     """(k1, k2, n_removed, kept) of the documents that may lose words; kept: the remaining words joined by one space."""
     gram = min(GRAM, length)
     marked = marked_documents(keyed(docs), "word", length, gram)
-    starts = repeated_by_count(compared_windows(marked, "word", length, gram))
+    runs = repeated_by_count(compared_windows(marked, "word", length, gram)).withColumn("n", F.lit(1))
 
     def kernel(batch, texts):
         units = Units(texts, "word")
@@ -39,7 +39,7 @@ def kept_words(docs: DataFrame, length: int = 35) -> DataFrame:
             kept.append(b" ".join(w for w, g in zip(words, gone[lo:hi], strict=True) if not g) if n else b" ".join(words))
         return {"k1": column(batch, "k1"), "k2": column(batch, "k2"), "n_removed": removed.astype(np.int64), "kept": kept}
 
-    return scan(with_starts(marked, starts), "k1 long, k2 long, n_removed long, kept binary", kernel)
+    return scan(with_runs(marked, runs), "k1 long, k2 long, n_removed long, kept binary", kernel)
 
 
 def substring_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
