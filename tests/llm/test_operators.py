@@ -244,6 +244,32 @@ def test_bpe_equals_the_library(spark, library, docs, tmp_path):
     assert got == want
 
 
+def test_bpe_equals_the_library_on_every_character(library):
+    b = bpe.Bpe(bpe.default_vocabulary())
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b {chr(c)}{chr(c)}'s" for c in codes[i : i + 128]) for i in range(0, len(codes), 128)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 512):
+        ids, cuts = b.ids_of([t.encode() for t in texts[i : i + 512]])
+        for j, w in enumerate(want[i : i + 512]):
+            assert ids[cuts[j] : cuts[j + 1]].tolist() == w, texts[i + j]
+
+
+@pytest.mark.parametrize("size", [1, 5, 64])
+def test_bpe_of_texts_in_pieces(library, monkeypatch, size):
+    monkeypatch.setattr(bpe, "PIECE_BYTES", size)
+    b = bpe.Bpe(bpe.default_vocabulary())
+    texts = [(t or "")[:3000] for t in TEXTS] + ["  a<|endoftext|>b \n c ", "é" * 50 + " " + "日本" * 20]
+    for t, got in zip(texts, b.digests([t.encode() for t in texts]), strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert got.finish() == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))), t
+
+
+def test_bpe_of_no_rows(empty):
+    assert bpe.digests(empty, bpe.default_vocabulary()).count() == 0 and bpe.encode(empty, bpe.default_vocabulary()).count() == 0
+
+
 def test_bpe_streams_in_constant_memory():
     b = bpe.Bpe(bpe.default_vocabulary())
     whole = bpe.Bpe(bpe.default_vocabulary())
@@ -277,7 +303,12 @@ def test_bpe_decodes_text(spark):
     said = "hello world 日本 it 's "
     b = bpe.Bpe(bpe.default_vocabulary())
     ids = b.encode("Hello wörld 日本 it's".encode())
-    assert "".join(b.decode_stream(ids, as_tokens=False)) == said.replace("world", "wörld")
+    machine = bpe.Decoder(b, as_tokens=False)
+    assert "".join(machine.feed(np.array([i])) for i in ids) + machine.finish() == said.replace("world", "wörld")
+    cut_off = bpe.Decoder(b, as_tokens=False)
+    assert cut_off.feed(np.array([b.inner["日".encode()[0]]])) == "" and cut_off.finish() == "\ufffd"
+    joined = bpe.Decoder(b)
+    assert "".join(joined.feed(np.array([i])) for i in ids) + joined.finish() == " ".join(b.token[i] for i in ids)
     docs = spark.createDataFrame([(1, "Hello you"), (2, None)], "doc_id long, text string")
     tokens = bpe.encode(docs, bpe.default_vocabulary())
     assert {r.doc_id: r.text for r in bpe.decode(tokens, bpe.default_vocabulary(), as_tokens=False).collect()} == {1: "hello you ", 2: ""}
