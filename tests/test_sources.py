@@ -1,12 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from wrenchlake.operators import catalog, jobs
 from wrenchlake.operators.chunks import chunk_pages, with_document
 from wrenchlake.plans.queries import turns
 from wrenchlake.plans.testviews import Views
-from wrenchlake.sources import chunk_table, files, snapshot, tables
+from wrenchlake.sources import chunk_table, files, snapshot, steps, tables
 from wrenchlake.streaming import streams
 
 
@@ -44,10 +45,49 @@ def test_index_sink_replaces_whole_documents(spark, tmp_path):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "document_id long")
     chunk_table.write_chunks(spark, rows((1, 1, "a"), (2, 1, "b"), (3, 2, "c")), ids(1, 2), path)
     chunk_table.write_chunks(spark, rows((4, 1, "d")), ids(1), path)
-    assert {(r.id, r.chunk_text) for r in spark.read.parquet(path).collect()} == {(3, "c"), (4, "d")}
+    assert {(r.id, r.chunk_text) for r in chunk_table.read_chunks(spark, path).collect()} == {(3, "c"), (4, "d")}
     empty = spark.createDataFrame([], "id long, document_id long, chunk_text string")
     chunk_table.write_chunks(spark, empty, ids(2), path)
-    assert {r.id for r in spark.read.parquet(path).collect()} == {4}
+    assert {r.id for r in chunk_table.read_chunks(spark, path).collect()} == {4}
+    chunk_table.write_chunks(spark, empty, ids(1), path)
+    assert chunk_table.read_chunks(spark, path).count() == 0
+    chunk_table.write_chunks(spark, rows((5, 9, "e")), ids(9), path)
+    assert {r.id for r in chunk_table.read_chunks(spark, path).collect()} == {5}
+
+
+def test_chunk_table_grows_its_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunk_table, "ROWS_PER_BUCKET", 100)
+    monkeypatch.setattr(chunk_table, "ROWS_PER_FILE", 30)
+    path = str(tmp_path / "chunks")
+    made = lambda lo, hi: spark.range(lo, hi).select(F.col("id"), (F.col("id") / 5).cast("long").alias("document_id"), F.lit("t").alias("chunk_text"))
+    ids = lambda df: df.select("document_id").distinct()
+    chunk_table.write_chunks(spark, made(0, 150), ids(made(0, 150)), path)
+    assert chunk_table.generations(spark, path) == [2]
+    for lo in (100, 400, 900):
+        chunk_table.write_chunks(spark, made(lo, lo + 600), ids(made(lo, lo + 600)), path)
+    assert chunk_table.generations(spark, path) == [16] or chunk_table.generations(spark, path) == [8]
+    out = chunk_table.read_chunks(spark, path)
+    assert sorted(r.id for r in out.select("id").collect()) == list(range(1500))
+    files = out.select(F.input_file_name().alias("f"), "bucket").groupBy("bucket").agg(F.countDistinct("f").alias("n"))
+    assert files.agg(F.max("n")).first()[0] > 1
+
+
+def test_stored_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://head:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        steps.shared_folder(Session())
 
 
 def test_catalog_file_keeps_nulls(spark, tmp_path, small):
@@ -68,15 +108,33 @@ def test_streams_equal_batch(spark, tmp_path, small):
     said = turns(v)
     streams.stream_chat_state(as_stream(spark, said, f"{tmp_path}/in"), f"{tmp_path}/out").awaitTermination()
     order = ["chat_id", "user_id", "category_name", "model_text", "updated_date", "messages", "title"]
-    got = streams.latest(spark, f"{tmp_path}/out/chats").select(order)
+    got = streams.latest(spark, f"{tmp_path}/out/chats", "chat_id").select(order)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.chat_state(said).select(order).collect()))
 
 
 def test_job_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, 1, "a", "Pass", "", None, "in_progress"), (1, 2, 2, "b", "Fail", "n", "f", "complete"), (2, 3, 1, None, None, None, None, "in_progress")], "job_id long, id long, at long, test string, result string, notes string, findings string, status string")
     streams.stream_job_progress(as_stream(spark, events, f"{tmp_path}/in"), f"{tmp_path}/out").awaitTermination()
-    got = sorted(map(tuple, streams.latest(spark, f"{tmp_path}/out/jobs").collect()))
-    assert got == sorted(map(tuple, jobs.job_progress(events).collect())) and got[0][1] == 2
+    want = jobs.job_progress(events)
+    got = sorted(map(tuple, streams.latest(spark, f"{tmp_path}/out/jobs", "job_id").select(want.columns).collect()))
+    assert got == sorted(map(tuple, want.collect())) and got[0][1] == 2
+
+
+def test_state_holds_changed_keys_and_merges_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "VERSIONS", 3)
+    schema = "chat_id long, id long, user_id long, role string, content string, category_name string, model_text string, at long"
+    turn = lambda chat, i: (chat, i, 7, "user", f"said {i}", "", None, i)
+    rows = [[turn(c, 1) for c in range(50)]] + [[turn(n, n + 2)] for n in range(6)]
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        streams.stream_chat_state(spark.readStream.schema(schema).parquet(str(source)), root).awaitTermination()
+    want = jobs.chat_state(spark.createDataFrame([r for part in rows for r in part], schema))
+    got = streams.latest(spark, f"{root}/chats", "chat_id").select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    kept = snapshot.versions(spark, f"{root}/chats")
+    assert len(kept) <= 4
+    assert spark.read.parquet(f"{root}/chats").where(F.col("v") == kept[-1]).count() <= 50 and len(kept) < len(rows)
 
 
 def test_index_stream_equals_batch(spark, tmp_path, small):
@@ -86,5 +144,5 @@ def test_index_stream_equals_batch(spark, tmp_path, small):
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     streams.stream_index(stream, v.library, f"{tmp_path}/chunks", f"{tmp_path}/cp").awaitTermination()
     want = with_document(chunk_pages(v.lib_pages), v.library)
-    got = spark.read.parquet(f"{tmp_path}/chunks").select(want.columns)
+    got = chunk_table.read_chunks(spark, f"{tmp_path}/chunks").select(want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

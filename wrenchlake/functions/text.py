@@ -5,6 +5,7 @@ All of them are built-in expressions; nulls count as empty text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,17 +84,25 @@ def symptom_intents(symptom: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in flags.items()], both.alias("both_modes"))
 
 
-def last_position(t: Column, markers) -> Column:
-    """Place of the last occurrence of any marker (from 0), or -1."""
-    at = lambda m: F.when(F.instr(t, m) == 0, -1).otherwise(F.length(t) - (F.locate(m[::-1], F.reverse(t)) - 1) - len(m))
-    return F.greatest(*[at(m) for m in markers], F.lit(-1))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def last_position(backward: Column, markers) -> Column:
+    """Place of the last occurrence of any marker (from 0), or -1, in a text given backwards."""
+    at = lambda m: F.length(backward) - (F.locate(m[::-1], backward) - 1) - len(m)
+    return F.greatest(*[F.when(F.contains(backward, F.lit(m[::-1])), at(m)).otherwise(-1) for m in markers], F.lit(-1))
 
 
 def is_open_status(c: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """Whether the latest status wording says that work is still open."""
-    t = F.lower(text(c))
-    left, done = last_position(t, lexicon.open_markers), last_position(t, lexicon.done_markers)
-    return (done <= left) & (left >= 0)
+
+    def last(backward: Column) -> Column:
+        return F.struct(last_position(backward, lexicon.open_markers).alias("left"), last_position(backward, lexicon.done_markers).alias("done"))
+
+    at = bound(F.reverse(F.lower(text(c))), last)
+    return bound(at, lambda x: (x["done"] <= x["left"]) & (x["left"] >= 0))
 
 
 def chunk_texts(c: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_texts, strip, text
@@ -21,11 +21,17 @@ def chunk_pages(pages: DataFrame) -> DataFrame:
     return pages.select("document_id", "page", F.posexplode(chunk_texts(F.col("text"))).alias("chunk_no", "chunk_text"))
 
 
+def chunk_id() -> Column:
+    """A chunk's key: document, page and number, padded with zeros, so that keys are unique whatever their size and, for ids from
+    0 on, in the order of the library."""
+    part = lambda name, width: F.when(F.length(F.col(name).cast("string")) > width, F.col(name).cast("string")).otherwise(F.lpad(F.col(name).cast("string"), width, "0"))
+    return F.concat_ws("-", part("document_id", 19), part("page", 10), part("chunk_no", 10))
+
+
 def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks as stored: the document's title, keywords and category beside each chunk."""
     facts = documents.select(F.col("id").alias("document_id"), "category_id", "title", text("keywords").alias("keywords"))
-    chunk_id = F.col("document_id") * 100_000_000 + F.col("page") * 10_000 + F.col("chunk_no")
-    return chunks.join(facts, "document_id").select(chunk_id.alias("id"), "document_id", "category_id", "title", "page", "chunk_text", "keywords")
+    return chunks.join(facts, "document_id").select(chunk_id().alias("id"), "document_id", "category_id", "title", "page", "chunk_text", "keywords")
 
 
 def propagate_metadata(chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import named_brands, text
+from ..functions.text import named_brands, strip, text
 from .jobs import ordered_join
 
 FIRST, MERGED = 1800, 2500
 SYSTEM = "the library"
+# The texts of replies and plans below are fixed values: results must hold them word for word.
 
 
 def hits(ranking: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -87,5 +88,5 @@ def offline_chat_reply(turns: DataFrame, rows: DataFrame) -> DataFrame:
     body = rows.where("rank <= 6").groupBy("query_id").agg(ordered_join("rank", part, "\n").alias("body"))
     none = "No matching manual text found. Check category / try different wording, or ask a manager to index the manual."
     reply = F.concat_ws("\n", F.lit("AI is offline (Groq not configured). Matching manual excerpts:"), F.lit(""), F.coalesce("body", F.lit(none)))
-    blank = F.trim(text("message")) == ""
+    blank = strip(text("message")) == ""
     return turns.join(body, "query_id", "left").select("query_id", F.when(blank, "Type a symptom or question first.").otherwise(reply).alias("reply"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..functions.text import chat_title, is_open_status, strip, text
+from ..functions.text import bound, chat_title, is_open_status, strip, text
 
 STEP = "array<struct<test:string,result:string,notes:string,at:string>>"
 SOURCE = "array<struct<document_id:bigint,title:string,page:int,file_path:string,file_type:string,excerpt:string>>"
@@ -153,7 +153,7 @@ def screen_steps(json: Column) -> Column:
 
 def labelled(label: str, value: Column, length: int | None = None) -> Column:
     """label + value, or null for a blank value, so that concat_ws leaves it out."""
-    return F.when(text(value) != "", F.concat(F.lit(label), F.left(value, F.lit(length)) if length else value))
+    return bound(value, lambda v: F.when(text(v) != "", F.concat(F.lit(label), F.left(v, F.lit(length)) if length else v)))
 
 
 def job_notes() -> Column:
@@ -181,10 +181,18 @@ def chat_notes(chats: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.select("chat_id", text("concern").alias("concern"), told.alias("tech"), notes.alias("notes"))
 
 
-def offline_story(concern: Column, notes: Column, status_text: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """The deterministic write-up: a handoff while the status wording is open, else a closed story."""
-    concern, notes = strip(text(concern)), strip(text(notes))
-    or_ = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+def offline_story(concern: Column, notes: Column, status_text: Column | None = None, lexicon: Lexicon = DEFAULT) -> Column:
+    """The deterministic write-up: a handoff while the status wording (the notes', unless other text is given) is open, else a
+    closed story."""
+    if status_text is None:
+        return bound(notes, lambda n: offline_story(concern, n, n, lexicon))
+    both = F.struct(strip(text(concern)).alias("concern"), strip(text(notes)).alias("notes"), is_open_status(status_text, lexicon).alias("open"))
+    return bound(both, lambda x: story_text(x["concern"], x["notes"], x["open"]))
+
+
+def story_text(concern: Column, notes: Column, still_open: Column) -> Column:
+    """The write-up's text; its wording is fixed."""
+    or_ = lambda c, default: F.when(c == "", F.lit(default)).otherwise(c)
     seen = or_(notes, "See technician notes.")
     handoff = F.concat(
         F.lit("**CONCERN**\n"), or_(concern, "Customer reported an issue requiring diagnosis."), F.lit("\n\n**TESTING PERFORMED**\n"), seen,
@@ -195,4 +203,4 @@ def offline_story(concern: Column, notes: Column, status_text: Column, lexicon:
         F.lit("\n\n**CAUSE**\nOnly as stated in the technician notes. If no root cause was recorded, leave unknown.\n\n"),
         F.lit("**CORRECTION**\nOnly repairs the technician recorded. If none were recorded, none were performed."),
     )
-    return F.when(is_open_status(status_text, lexicon), handoff).otherwise(closed)
+    return F.when(still_open, handoff).otherwise(closed)

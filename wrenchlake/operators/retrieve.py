@@ -1,8 +1,9 @@
 """Retrieval: for each question, the chunks that answer it best.
 
-A table of questions (query_id, category_id, model_text, symptom) is answered in one plan.  Everything that depends on a chunk
-alone is computed once (``chunk_features``), everything that depends on a question alone likewise (``query_features``); a
-candidate pair then costs one narrow expression.  Long texts stay out of the shuffles: ranking moves ids and scores only.
+A table of questions (query_id, category_id, model_text, symptom) is answered in one go.  Everything that depends on a chunk
+alone is computed once (``chunk_features``) and kept as a table, everything that depends on a question alone likewise
+(``query_features``); a candidate pair then costs one narrow expression.  Long texts stay out of the shuffles: ranking moves
+ids and scores only.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, SHARED_CATEGORY, Lexicon
 from ..functions.text import any_of, expand_terms, is_index_chart, named_brands, page_refs, strip, symptom_intents, text, tokenize
+from ..sources.steps import stored
 
 
 def chunk_features(chunks: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Adds what scoring needs to chunks: hay, title_kw, signals, is_index, brands."""
+    """Adds what scoring needs to chunks: hay, title_kw, signals, is_index, brands.
+
+    Store the result (``sources.steps.stored``): otherwise each step of a retrieval computes it anew for each pair."""
     title_kw = F.lower(F.concat_ws(" ", text("title"), text("keywords")))
     hay = F.lower(F.concat_ws(" ", text("title"), text("keywords"), text("chunk_text")))
     rows = chunks.withColumns({"hay": hay, "title_kw": title_kw, "is_index": is_index_chart(F.col("chunk_text")), "brands": named_brands(F.col("title"), F.col("keywords"), lexicon=lexicon)})
@@ -42,12 +46,16 @@ def query_features(queries: DataFrame, categories: DataFrame, lexicon: Lexicon =
     ).drop("shared")
 
 
-def in_scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs of question and chunk: an equi-join for questions with a category; the others read every chunk, as they ask."""
+def scoped(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of question and chunk by the question's categories, for questions that have any: an equi-join."""
     named = queries.where("cat_ids IS NOT NULL").withColumn("_cat", F.explode("cat_ids"))
-    some = named.join(chunks.withColumnRenamed("category_id", "chunk_category"), F.col("_cat") == F.col("chunk_category")).drop("_cat")
+    return named.join(chunks.withColumnRenamed("category_id", "chunk_category"), F.col("_cat") == F.col("chunk_category")).drop("_cat")
+
+
+def in_scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of question and chunk by category alone; questions without a category pair with every chunk, as they ask."""
     every = queries.where("cat_ids IS NULL").crossJoin(chunks.withColumnRenamed("category_id", "chunk_category"))
-    return some.unionByName(every)
+    return scoped(queries, chunks).unionByName(every)
 
 
 def brand_lock() -> Column:
@@ -55,6 +63,21 @@ def brand_lock() -> Column:
     return (F.size("asked") == 0) | F.arrays_overlap("asked", "brands")
 
 
+def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of question and chunk by category and brand.
+
+    Questions with a category, or else with a brand, find their chunks by an equi-join.  Those with neither are asked of the
+    whole library: they are few and sent to it, and each task keeps only its best (``seed_topk``).
+    """
+    free = queries.where("cat_ids IS NULL")
+    shared = F.array_intersect("asked", "brands")
+    owned = chunks.where("size(brands) > 0").withColumnRenamed("category_id", "chunk_category").withColumn("_own", F.explode("brands"))
+    by_brand = free.where("size(asked) > 0").withColumn("_brand", F.explode("asked")).join(owned, F.col("_brand") == F.col("_own"))
+    by_brand = by_brand.where(F.get(shared, F.lit(0)) == F.col("_brand")).drop("_brand", "_own")  # a pair counts under its first brand
+    every = free.where("size(asked) = 0").crossJoin(chunks.withColumnRenamed("category_id", "chunk_category"))
+    return scoped(queries, chunks).where(brand_lock()).unionByName(by_brand).unionByName(every)
+
+
 def chunk_score() -> Column:
     """Score of a pair from its features; 1 for a question without terms."""
     count = lambda t: (F.length("hay") - F.length(F.replace("hay", t, F.lit("")))) / F.length(t)
@@ -66,7 +89,7 @@ def chunk_score() -> Column:
 
 def score_candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, id, document_id, page, is_index and score of every chunk in a question's scope and brand."""
-    return in_scope(queries, chunks).where(brand_lock()).select("query_id", "id", "document_id", "page", "is_index", chunk_score().alias("score"))
+    return candidates(queries, chunks).select("query_id", "id", "document_id", "page", "is_index", chunk_score().alias("score"))
 
 
 def ranked(order: list[Column], keys=("query_id",)) -> Column:
@@ -131,17 +154,23 @@ def chart_pages(charts: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     return pages.where("size(pages) > 0").withColumn("pages", F.array_distinct(F.concat("pages", early)))
 
 
-def expand_pages(queries: DataFrame, chunks: DataFrame, seeds: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Chunks of the leading seeds' documents on the pages that charts name, or next to the leading hits.
-
-    Documents and pages are sets of their own: a page found in one manual also selects that page of the others.
-    """
+def target_pages(queries: DataFrame, chunks: DataFrame, seeds: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(query_id, target_pages): pages that the charts among the leading seeds name, their own, and those next to the leading hits."""
     lead = seeds.where("rank <= 5 AND NOT fallback")
     charts = lead.where("is_index").join(chunks.select("id", "chunk_text"), "id").join(queries.select("query_id", "intents", "symptom_tokens"), "query_id")
     named = chart_pages(charts, lexicon).select("query_id", F.explode("pages").alias("page"))
     own = lead.where("is_index AND page <> 0").select("query_id", "page")
     near = lead.where("NOT is_index AND rank <= 3 AND page <> 0").select("query_id", F.explode(F.array(F.greatest(F.lit(1), F.col("page") - 1), "page", F.col("page") + 1)).alias("page"))
-    pages = named.union(own).union(near).groupBy("query_id").agg(F.collect_set("page").alias("target_pages"))
+    return named.union(own).union(near).groupBy("query_id").agg(F.collect_set("page").alias("target_pages"))
+
+
+def expand_pages(queries: DataFrame, chunks: DataFrame, seeds: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """Chunks of the leading seeds' documents on the target pages.
+
+    Documents and pages are sets of their own: a page found in one manual also selects that page of the others.
+    """
+    lead = seeds.where("rank <= 5 AND NOT fallback")
+    pages = target_pages(queries, chunks, seeds, lexicon)
     docs = lead.select("query_id", "document_id").distinct().join(pages, "query_id").join(queries, "query_id").withColumnRenamed("document_id", "target")
     found = docs.join(chunks.withColumnRenamed("category_id", "chunk_category"), F.col("target") == F.col("document_id"))
     scope = F.col("cat_ids").isNull() | F.array_contains("cat_ids", F.col("chunk_category"))
@@ -159,10 +188,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 14, lexicon: Lexico
     ``queries`` and ``chunks`` carry their features.  Seeds are the best by score; charts and neighbours among them add
     pages; of what remains after removing repeats, manuals with a leading seed's title gain 3, and one chart at most stays.
     """
-    seeds = seed_topk(score_candidates(queries, chunks), k).persist()  # few rows a question, read four times below
+    queries = stored(queries, "questions")
+    seeds = stored(seed_topk(score_candidates(queries, chunks), k), "seeds")  # few rows a question, read four times below
     more = expand_pages(queries, chunks, seeds, lexicon)
-    first = seeds.where("NOT fallback").select("query_id", "id", "document_id", "page", "is_index", "score", F.col("rank").cast("long").alias("ordinal"))
-    later = more.select("query_id", "id", "document_id", "page", "is_index", "score", (F.col("id") + F.lit(1_000_000_000)).alias("ordinal"))
+    ordinal = lambda later, rank, at: F.struct(F.lit(later).alias("later"), rank.cast("int").alias("rank"), at.alias("at"))
+    first = seeds.where("NOT fallback").select("query_id", "id", "document_id", "page", "is_index", "score", ordinal(0, F.col("rank"), F.lit("")).alias("ordinal"))
+    later = more.select("query_id", "id", "document_id", "page", "is_index", "score", ordinal(1, F.lit(0), F.col("id").cast("string")).alias("ordinal"))
     facts = chunks.select("id", F.lower(text("title")).alias("title"), F.left(text("chunk_text"), F.lit(60)).alias("head"))
     merged = dedup_chunks(first.union(later).join(facts, "id"))
     lead = seeds.where("rank <= 3 AND NOT fallback").join(facts, "id")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lexicon import DEFAULT, Lexicon
 from ..operators import catalog, chunks, compliance, evidence, jobs, retrieve
 from ..sources import chunk_table, files, snapshot, tables
+from ..sources.steps import new_path, stored
 from .testviews import WORDS, Views, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,16 +44,16 @@ def any_sql(column: str, values) -> str:
     return "(" + " OR ".join("contains({}, '{}')".format(column, v.replace("'", "''")) for v in values) + ")"
 
 
-def terms_sql() -> str:
+def terms_sql(words: Lexicon = WORDS) -> str:
     low = "lower(coalesce(symptom, ''))"
     parts = [TOKENS.format("concat_ws(' ', coalesce(model_text, ''), coalesce(symptom, ''))")]
-    parts += [f"CASE WHEN {any_sql(low, ts)} THEN {listed(ts)} ELSE [] END" for ts in map(T.plain_tokens, WORDS.topics) if ts]
-    parts += [f"CASE WHEN {any_sql(low, WORDS.core_triggers)} THEN {listed(WORDS.core_terms)} ELSE [] END"]
+    parts += [f"CASE WHEN {any_sql(low, ts)} THEN {listed(ts)} ELSE [] END" for ts in map(T.plain_tokens, words.topics) if ts]
+    parts += [f"CASE WHEN {any_sql(low, words.core_triggers)} THEN {listed(words.core_terms)} ELSE [] END"]
     return f"list_distinct(flatten([{', '.join(parts)}]))"
 
 
-def brands_sql(blob: str) -> str:
-    return f"list_filter({listed(WORDS.brands)}, lambda b: contains({blob}, b) AND (b <> 'pd' OR {any_sql(blob, WORDS.short_brand_needs)}))"
+def brands_sql(blob: str, words: Lexicon = WORDS) -> str:
+    return f"list_filter({listed(words.brands)}, lambda b: contains({blob}, b) AND (b <> 'pd' OR {any_sql(blob, words.short_brand_needs)}))"
 
 
 def last_sql(markers) -> str:
@@ -60,32 +61,68 @@ def last_sql(markers) -> str:
     return f"greatest(-1, {', '.join(at.format(m) for m in markers)})"
 
 
-#: Common tables of the retrieval queries; the prose holds no index charts.
+def open_sql(words: Lexicon = WORDS) -> str:
+    return f"CASE WHEN {last_sql(words.done_markers)} > {last_sql(words.open_markers)} THEN false ELSE {last_sql(words.open_markers)} >= 0 END"
+
+
+def signals_sql(hay: str, words: Lexicon = WORDS) -> str:
+    return " + ".join("CAST(contains({}, '{}') AS INT)".format(hay, s) for s in words.signals)
+
+
+CHART = "length({{0}}) >= 80 AND (contains({{0}}, 'section & page') OR contains({{0}}, 'section and page') OR (contains({{0}}, 'symptom') AND contains({{0}}, 'cause') AND {{1}} >= 2) OR ({{1}} >= 4 AND {0}))".format(any_sql("{0}", T.CHART_CUES))
+REFERENCES = "len(regexp_extract_all({0}, '(?i)page\\s*0*(\\d+)'))"
+INTENTS = ", ".join(f"{any_sql('t', w)} AS \"{k}\"" for k, w in T.INTENTS.items())
+BOTH = "(gas AND ac) OR (contains(t, 'gas') AND contains(t, 'electric')) OR contains(t, 'neither') OR contains(t, 'all mode') AS both_modes"
+
+#: Score of a question (terms, model) and a chunk (hay, title_kw, signals, is_index).
+SCORE = "CASE WHEN len(terms) = 0 THEN 1 ELSE coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(hay, t) THEN (CASE WHEN contains(title_kw, t) THEN 4 ELSE 1 END) + least((length(hay) - length(replace(hay, t, ''))) // length(t), 3) ELSE 0 END)), 0) + CASE WHEN model <> '' AND contains(hay, model) THEN 8 ELSE 0 END + signals - CASE WHEN is_index THEN 3 ELSE 0 END END"
+
+#: Common tables of the retrieval queries.
 SQL_VIEWS = {
-    "cf": f"SELECT *, lower(concat_ws(' ', title, keywords, chunk_text)) AS hay, lower(concat_ws(' ', title, keywords)) AS title_kw, {brands_sql("lower(concat_ws(' ', title, keywords))")} AS brands, {' + '.join(f"CAST(contains(lower(concat_ws(' ', title, keywords, chunk_text)), '{s}') AS INT)" for s in WORDS.signals)} AS signals FROM {{chunks}}",
+    "cf": f"SELECT *, lower(concat_ws(' ', title, keywords, chunk_text)) AS hay, lower(concat_ws(' ', title, keywords)) AS title_kw, {brands_sql("lower(concat_ws(' ', title, keywords))")} AS brands, {signals_sql("lower(concat_ws(' ', title, keywords, chunk_text))")} AS signals, {CHART.format('lower(chunk_text)', REFERENCES.format('chunk_text'))} AS is_index FROM {{chunks}}",
     "qf": f"SELECT *, {terms_sql()} AS terms, lower({STRIP.format("coalesce(model_text, '')")}) AS model, {brands_sql("lower(concat_ws(' ', coalesce(model_text, ''), coalesce(symptom, '')))")} AS asked FROM {{questions}}",
-    "scored": """SELECT q.query_id, c.id, c.document_id, c.page, CASE WHEN len(q.terms) = 0 THEN 1 ELSE coalesce(list_sum(list_transform(q.terms, lambda t: CASE WHEN contains(c.hay, t) THEN (CASE WHEN contains(c.title_kw, t) THEN 4 ELSE 1 END) + least((length(c.hay) - length(replace(c.hay, t, ''))) // length(t), 3) ELSE 0 END)), 0) + CASE WHEN q.model <> '' AND contains(c.hay, q.model) THEN 8 ELSE 0 END + c.signals END AS score
-        FROM {qf} q JOIN {cf} c ON (q.category_id IS NULL OR c.category_id IN (q.category_id, 1000)) WHERE len(q.asked) = 0 OR list_has_any(q.asked, c.brands)""",
-    "seeds": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {{scored}} WHERE score > 0) WHERE rank <= {K}",
-    "best": f"""SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ordinal) AS rank FROM (
-        SELECT m.query_id, m.id, m.ordinal, m.score + CASE WHEN EXISTS (SELECT 1 FROM {{seeds}} s JOIN {{chunks}} t USING (id) WHERE s.query_id = m.query_id AND s.rank <= 3 AND lower(t.title) = lower(c.title) AND (s.rank = 1 OR t.title <> '')) THEN 3 ELSE 0 END AS score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page, head ORDER BY ordinal) AS n FROM (SELECT u.*, left(x.chunk_text, 60) AS head FROM (
-            SELECT query_id, id, document_id, page, score, rank AS ordinal FROM {{seeds}}
-            UNION ALL SELECT s.query_id, s.id, s.document_id, s.page, s.score, s.id + 1000000000 FROM {{scored}} s
-            WHERE s.document_id IN (SELECT d.document_id FROM {{seeds}} d WHERE d.query_id = s.query_id AND d.rank <= 5)
-            AND EXISTS (SELECT 1 FROM {{seeds}} p WHERE p.query_id = s.query_id AND p.rank <= 3 AND s.page BETWEEN greatest(1, p.page - 1) AND p.page + 1)) u JOIN {{chunks}} x USING (id))) m JOIN {{chunks}} c USING (id) WHERE m.n = 1)) WHERE rank <= {K}""",
+    "scored": f"SELECT q.query_id, c.id, c.document_id, c.page, c.is_index, {SCORE} AS score FROM {{qf}} q JOIN {{cf}} c ON (q.category_id IS NULL OR c.category_id IN (q.category_id, 1000)) WHERE len(q.asked) = 0 OR list_has_any(q.asked, c.brands)",
+    "seeds": f"SELECT *, best <= 0 AS fallback FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN score > 0 THEN score END DESC NULLS LAST, id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM {{scored}}) WHERE rank <= {K} AND (score > 0 OR best <= 0)",
+    # Lines of the charts in a question's scope: score (null if a line does not count), pages and whether it may step in.
+    "chart_lines": f"""SELECT query_id, id, pages, {any_sql('lower(line)', ('insufficient cooling', 'no operation', 'no gas', 'no ac'))} AS spare, CASE WHEN length(l) >= 8 AND len(pages) > 0 THEN
+    CASE WHEN "freeze" AND contains(l, 'freeze') THEN 10 ELSE 0 END
+    + CASE WHEN cool AND contains(l, 'insufficient cooling') THEN CASE WHEN both_modes AND contains(l, 'all mode') THEN 12 WHEN ac AND NOT gas AND {any_sql('l', ('on ac', 'ac -', 'ac mode'))} THEN 10 WHEN gas AND NOT ac AND {any_sql('l', ('on gas', 'gas -', 'gas mode'))} THEN 10 WHEN contains(l, 'all mode') THEN 9 ELSE 6 END ELSE 0 END
+    + CASE WHEN dead OR lights_off THEN CASE WHEN contains(l, 'no operation') AND contains(l, 'no panel') THEN 10 WHEN contains(l, 'no operation') AND contains(l, 'has panel') THEN CASE WHEN lights_on THEN 8 ELSE 6 END ELSE 0 END ELSE 0 END
+    + CASE WHEN lights_on AND contains(l, 'has panel') THEN 5 ELSE 0 END
+    + CASE WHEN ac AND NOT both_modes AND {any_sql('l', ('no ac', 'operates on gas'))} THEN 8 ELSE 0 END
+    + CASE WHEN gas AND NOT both_modes AND {any_sql('l', ('no gas', 'operates on ac'))} THEN 8 ELSE 0 END
+    + least(2, len(list_filter(toks, lambda k: contains(l, k) AND k NOT IN ('the', 'and', 'for'))))
+    - CASE WHEN cool AND NOT "freeze" AND contains(l, 'freeze') AND NOT contains(l, 'insufficient') THEN 6 ELSE 0 END
+    - CASE WHEN lights_on AND contains(l, 'no panel') THEN 4 ELSE 0 END END AS score
+    FROM (SELECT query_id, id, gas, ac, cool, dead, lights_off, lights_on, "freeze", both_modes, toks, line, lower({STRIP.format('line')}) AS l, list_sort(list_distinct(list_transform(regexp_extract_all(line, '(?i)page\\s*0*(\\d+)', 1), lambda p: CAST(p AS INT)))) AS pages
+        FROM (SELECT *, {BOTH} FROM (SELECT s.query_id, s.id, {INTENTS}, toks, t, unnest(string_split(regexp_replace(chunk_text, '(\\d+\\.\\s)', chr(10) || '\\1', 'g'), chr(10))) AS line FROM (SELECT query_id, lower(symptom) AS t, list_distinct({TOKENS.format('symptom')}) AS toks FROM {{questions}}) q JOIN {{scored}} s USING (query_id) JOIN {{chunks}} c ON c.id = s.id WHERE s.is_index)))""",
+    "chart_named": "SELECT query_id, id, list_concat(pages, [6, 7, 9, 10]) AS pages FROM (SELECT query_id, id, flatten(list(pages)) AS pages FROM (SELECT *, max(CASE WHEN score >= 6 THEN score END) OVER (PARTITION BY query_id, id) AS best FROM {chart_lines}) WHERE CASE WHEN best IS NULL THEN spare ELSE score >= 6 AND score >= best - 2 END GROUP BY 1, 2) WHERE len(pages) > 0",
+    "lead": "SELECT * FROM {seeds} WHERE rank <= 5 AND NOT fallback",
+    "targets": "SELECT query_id, unnest(pages) AS page FROM {lead} JOIN {chart_named} USING (query_id, id) UNION SELECT query_id, page FROM {lead} WHERE is_index AND page <> 0 UNION SELECT query_id, unnest([greatest(1, page - 1), page, page + 1]) FROM {lead} WHERE NOT is_index AND rank <= 3 AND page <> 0",
+    "expanded": "SELECT s.* FROM {scored} s WHERE s.page <> 0 AND (s.query_id, s.document_id) IN (SELECT (query_id, document_id) FROM {lead}) AND (s.query_id, s.page) IN (SELECT (query_id, page) FROM {targets})",
+    "best": f"""SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, is_index, phase, seed, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, is_index ORDER BY score DESC, phase, seed, id) AS chart FROM (
+        SELECT m.query_id, m.id, m.is_index, m.phase, m.seed, m.score + CASE WHEN EXISTS (SELECT 1 FROM {{lead}} s JOIN {{chunks}} t USING (id) WHERE s.query_id = m.query_id AND s.rank <= 3 AND lower(t.title) = lower(c.title) AND (s.rank = 1 OR t.title <> '')) THEN 3 ELSE 0 END AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page, head ORDER BY phase, seed, id) AS n FROM (SELECT u.*, left(x.chunk_text, 60) AS head FROM (
+            SELECT query_id, id, document_id, page, is_index, score, 0 AS phase, rank AS seed FROM {{seeds}} WHERE NOT fallback
+            UNION ALL SELECT query_id, id, document_id, page, is_index, score, 1, 0 FROM {{expanded}}) u JOIN {{chunks}} x USING (id))) m JOIN {{chunks}} c USING (id) WHERE m.n = 1)) WHERE NOT is_index OR chart = 1) WHERE rank <= {K}
+        UNION ALL SELECT query_id, rank, id, score FROM {{seeds}} WHERE fallback""",
+    "hits": "SELECT b.query_id, b.rank, b.id, c.document_id, c.title, c.page, c.chunk_text, c.is_index, l.file_path, coalesce(nullif(l.file_type, ''), 'pdf') AS file_type FROM {best} b JOIN {cf} c USING (id) LEFT JOIN {library} l ON l.id = c.document_id",
+    "excerpts": "SELECT query_id, min(rank) AS rank, document_id, page, arg_min(title, rank) AS title, arg_min(file_path, rank) AS file_path, arg_min(file_type, rank) AS file_type, list_reduce(list_prepend(left(arg_min(chunk_text, rank), 1800), list(chunk_text ORDER BY rank)), lambda acc, x: CASE WHEN x = '' OR contains(acc, x) THEN acc ELSE left(concat(acc, chr(10), chr(10), x), 2500) END) AS excerpt FROM {hits} GROUP BY query_id, document_id, page",
     "tokenized": "SELECT doc_id, " + TOKENS.format("text") + " AS terms FROM {documents}",
-    "symptoms": "SELECT * FROM (VALUES (1, 'not cooling on gas and electric'), (2, 'display is on but no power'), (3, 'too cold, freezing food'), (4, 'no flame on propane'), (5, 'warm on shore power'), (6, 'squeaks')) s(query_id, symptom)",
+    "step_rows": "SELECT *, from_json(CASE WHEN step_log LIKE '[%' THEN step_log ELSE '[]' END, '[{{\"test\":\"VARCHAR\",\"result\":\"VARCHAR\",\"notes\":\"VARCHAR\"}}]') AS steps FROM {jobs}",
 }
 
 
 class RetrievalViews:
-    """Features, scores and ranking over the test words."""
+    """Features, scores and ranking over the test words; features of chunks are computed once and kept."""
 
     def __init__(self, v: Views):
         self.v = v
         self.q = retrieve.query_features(v.questions, v.categories, WORDS)
-        self.c = retrieve.chunk_features(v.chunks, WORDS)
+
+    @cached_property
+    def c(self) -> DataFrame:
+        return stored(retrieve.chunk_features(self.v.chunks, WORDS), "features")
 
     def scored(self) -> DataFrame:
         return retrieve.score_candidates(self.q, self.c)
@@ -100,9 +137,41 @@ class RetrievalViews:
 # ---- sources and sinks
 
 
-@query("load_tables", "SELECT conv_id, turn, role, text FROM conversations")
+#: The view that stands in for each of the engine's tables.
+TABLES = {
+    "users": "users", "categories": "categories", "documents": "library", "doc_chunks": "chunks", "certificates": "certificates", "safety_documents": "safety_docs",
+    "safety_meetings": "meetings", "safety_acknowledgements": "acks", "diagnostic_jobs": "jobs", "ask_chats": "chats", "ask_messages": "messages",
+}
+HELD = {
+    "users": "id username full_name role is_active", "categories": "id name", "documents": "id category_id title file_path file_type uploaded_by keywords indexed index_note",
+    "doc_chunks": "id document_id category_id title page chunk_text keywords", "certificates": "id user_id title issuer file_path", "safety_documents": "id title file_path file_type",
+    "safety_meetings": "id title", "safety_acknowledgements": "id meeting_id user_id signed_at",
+    "diagnostic_jobs": "id wo_number user_id category_name model_text concern plan_text findings step_log status created_date updated_date",
+    "ask_chats": "id user_id category_name model_text title created_date updated_date", "ask_messages": "id chat_id role content",
+}
+
+
+def loaded_sql() -> str:
+    """Of each column of each table: values that are not null, and the characters of them all."""
+    out = []
+    for name, view in TABLES.items():
+        columns = [c.split()[0] for c in tables.SCHEMAS[name].split(", ")]
+        counts = [f"count({c}) AS {c}_n, sum(length(CAST({c} AS VARCHAR))) AS {c}_l" if c in HELD[name].split() else f"0 AS {c}_n, NULL AS {c}_l" for c in columns]
+        rows = " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{c}' AS column_name, CAST({c}_n AS BIGINT) AS n_values, CAST({c}_l AS BIGINT) AS characters FROM t" for c in columns)
+        out.append(f"SELECT * FROM (WITH t AS (SELECT {', '.join(counts)} FROM {{{view}}}) {rows})")
+    return " UNION ALL ".join(out)
+
+
+@query("load_tables", loaded_sql())
 def _(v):
-    return v.spark.read.schema("conv_id bigint, turn bigint, role string, text string").parquet(f"{v.sf_dir}/conversations.parquet")
+    def loaded(name: str) -> DataFrame:
+        path = new_path(v.spark, name)
+        getattr(v, TABLES[name]).select(*HELD[name].split()).write.parquet(path)
+        df = tables.load_table(v.spark, name, path)
+        counts = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n_values"), F.sum(F.length(F.col(c).cast("string"))).alias("characters")) for c in df.columns]
+        return df.agg(F.array(*counts).alias("c")).select(F.lit(name).alias("table_name"), F.inline("c"))
+
+    return reduce(DataFrame.union, [loaded(name) for name in TABLES])
 
 
 @query("list_files", "SELECT key FROM {file_keys} WHERE key LIKE 'documents/%' ORDER BY key LIMIT 300")
@@ -122,27 +191,30 @@ def _(v):
 
 @query("index_sink", "SELECT id, document_id, page, CASE WHEN document_id % 10 = 0 THEN concat('new ', chunk_text) ELSE chunk_text END AS chunk_text FROM {chunks} WHERE document_id % 10 <> 0 OR page = 1")
 def _(v):
+    path = new_path(v.spark, "chunk_table")
+    chunk_table.write_chunks(v.spark, v.chunks, v.library.select(F.col("id").alias("document_id")), path)
     again = v.chunks.where("document_id % 10 = 0")
     new = again.where("page = 1").withColumn("chunk_text", F.concat(F.lit("new "), "chunk_text"))
-    return chunk_table.replace_chunks(v.chunks, new, again.select("document_id")).select("id", "document_id", "page", "chunk_text")
+    chunk_table.write_chunks(v.spark, new, again.select("document_id"), path)
+    return chunk_table.read_chunks(v.spark, path).select("id", "document_id", "page", "chunk_text")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the machine's temporary folder where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-snapshot-")
-    return f"{root}/snapshots/{uuid.uuid4().hex}"
+@query("replaced_chunks", "SELECT id, document_id, page FROM {chunks} WHERE document_id % 10 <> 0 OR page = 1")
+def _(v):
+    again = v.chunks.where("document_id % 10 = 0")
+    return chunk_table.replace_chunks(v.chunks, again.where("page = 1"), again.select("document_id")).select("id", "document_id", "page")
 
 
 @query("publish_snapshot", "SELECT id, title FROM {library}")
 def _(v):
-    path = scratch(v.spark)
+    path = new_path(v.spark, "table")
     made = snapshot.publish_snapshot(v.library.select("id", "title"), path)
     return v.spark.read.schema("id bigint, title string").parquet(f"{path}/v={made}")
 
 
 @query("recover_snapshot", "SELECT id, title FROM {library}")
 def _(v):
-    path = scratch(v.spark)
+    path = new_path(v.spark, "table")
     whole = v.library.select("id", "title")
     snapshot.publish_snapshot(whole, path)
     return snapshot.recover_snapshot(whole.where("id < 0"), path)
@@ -165,7 +237,8 @@ def _(v):
 @query("brand_lock", "SELECT query_id, count(*) AS n, min(id) AS first_id FROM {scored} GROUP BY 1")
 def _(v):
     r = RetrievalViews(v)
-    return retrieve.in_scope(r.q, r.c).where(retrieve.brand_lock()).groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    owned = retrieve.chunk_features(v.chunks, WORDS).select("id", "category_id", "brands")
+    return retrieve.candidates(r.q.select("query_id", "cat_ids", "asked"), owned).groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 SEARCH = "SELECT id, title FROM {{library}} WHERE {0} contains(lower(concat_ws(' ', title, keywords)), 'lang-en') AND contains(lower(concat_ws(' ', title, keywords)), 'th')"
@@ -267,13 +340,10 @@ def _(v):
     return RetrievalViews(v).scored().select("query_id", "id", "score")
 
 
-@query(
-    "expand_pages",
-    "SELECT DISTINCT s.query_id, s.id, s.score FROM {scored} s WHERE s.document_id IN (SELECT d.document_id FROM {seeds} d WHERE d.query_id = s.query_id AND d.rank <= 5) AND EXISTS (SELECT 1 FROM {seeds} p WHERE p.query_id = s.query_id AND p.rank <= 3 AND s.page BETWEEN greatest(1, p.page - 1) AND p.page + 1)",
-)
+@query("expand_pages", "SELECT query_id, id, score FROM {expanded}")
 def _(v):
     r = RetrievalViews(v)
-    return retrieve.expand_pages(r.q, r.c, retrieve.seed_topk(r.scored(), K), WORDS).select("query_id", "id", "score")
+    return retrieve.expand_pages(r.q, r.c, stored(retrieve.seed_topk(r.scored(), K), "seeds"), WORDS).select("query_id", "id", "score")
 
 
 @query("propagate_metadata", "SELECT id, CASE WHEN document_id % 4 = 0 THEN title ELSE concat('new ', title) END AS title, CASE WHEN document_id % 4 = 0 THEN keywords ELSE 'new' END AS keywords, category_id FROM {chunks}")
@@ -372,7 +442,7 @@ def _(v):
     return jobs.blocked_candidates(new, v.jobs).select("user_id", "wo_number")
 
 
-@query("merge_excerpts")
+@query("merge_excerpts", "SELECT query_id, rank, document_id, page, title, file_path, file_type, excerpt FROM {excerpts}")
 def _(v):
     return evidence.merge_excerpts(RetrievalViews(v).hits())
 
@@ -408,9 +478,9 @@ def _(v):
     return jobs.recent_per_user(v.jobs, 5).select("user_id", "id")
 
 
-@query("seed_topk", "SELECT query_id, rank, id, score FROM {seeds}")
+@query("seed_topk", "SELECT query_id, rank, id, score, is_index FROM {seeds}")
 def _(v):
-    return retrieve.seed_topk(RetrievalViews(v).scored(), K).select("query_id", "rank", "id", "score")
+    return retrieve.seed_topk(RetrievalViews(v).scored(), K).select("query_id", "rank", "id", "score", "is_index")
 
 
 @query("rerank_topk", "SELECT query_id, rank, id, score FROM {best}")
@@ -424,7 +494,7 @@ def _(v):
     return retrieve.dedup_chunks(rows).select("document_id", "page", "head", "ordinal")
 
 
-@query("number_excerpts", "SELECT query_id, rank AS excerpt, id, 'PROCEDURE' AS label FROM {best}")
+@query("number_excerpts", "SELECT query_id, rank AS excerpt, id, CASE WHEN is_index THEN 'INDEX CHART' ELSE 'PROCEDURE' END AS label FROM {hits}")
 def _(v):
     return evidence.number_excerpts(RetrievalViews(v).hits())
 
@@ -464,11 +534,10 @@ def _(v):
     return RetrievalViews(v).q.select("query_id", F.array_join(F.array_sort("terms"), " ").alias("terms"))
 
 
-@query("page_union", "SELECT query_id, page FROM (SELECT DISTINCT query_id, unnest([greatest(1, page - 1), page, page + 1]) AS page FROM {seeds} WHERE rank <= 3)")
+@query("page_union", "SELECT query_id, page FROM {targets}")
 def _(v):
-    seeds = retrieve.seed_topk(RetrievalViews(v).scored(), K).where("rank <= 3")
-    near = seeds.select("query_id", F.array(F.greatest(F.lit(1), F.col("page") - 1), "page", F.col("page") + 1).alias("p"))
-    return near.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("p")).select("query_id", F.explode("p").alias("page"))
+    r = RetrievalViews(v)
+    return retrieve.target_pages(r.q, r.c, stored(retrieve.seed_topk(r.scored(), K), "seeds"), WORDS).select("query_id", F.explode("target_pages").alias("page"))
 
 
 # ---- scalar functions
@@ -484,13 +553,10 @@ def _(v):
     return v.chart_texts.select("id", F.array_join(F.array_sort(T.page_refs(F.col("chunk_text"))), ",").alias("pages"))
 
 
-CHART = "length(t) >= 80 AND (contains(t, 'section & page') OR contains(t, 'section and page') OR (contains(t, 'symptom') AND contains(t, 'cause') AND n >= 2) OR (n >= 4 AND {0}))".format(any_sql("t", T.CHART_CUES))
-
-
-@query("is_index_chart", f"SELECT id, {CHART} AS chart FROM (SELECT id, lower(chunk_text) AS t, len(regexp_extract_all(chunk_text, '(?i)page\\s*0*(\\d+)')) AS n FROM (SELECT id, chunk_text FROM {{chart_texts}} UNION ALL SELECT id, chunk_text FROM {{chunks}} UNION ALL SELECT -id, left(chunk_text, 60 + id) FROM {{chart_texts}}))")
+@query("is_index_chart", f"SELECT id, {CHART.format('t', 'n')} AS chart FROM (SELECT id, lower(chunk_text) AS t, {REFERENCES.format('chunk_text')} AS n FROM (SELECT CAST(id AS VARCHAR) AS id, chunk_text FROM {{chart_texts}} UNION ALL SELECT id, chunk_text FROM {{chunks}} UNION ALL SELECT CAST(-id AS VARCHAR), left(chunk_text, CAST(60 + id % 100 AS BIGINT)) FROM {{chart_texts}}))")
 def _(v):
-    both = v.chart_texts.select("id", "chunk_text").union(v.chunks.select("id", "chunk_text"))
-    cut = v.chart_texts.select(-F.col("id"), F.expr("left(chunk_text, 60 + id)"))
+    both = v.chart_texts.select(F.col("id").cast("string"), "chunk_text").union(v.chunks.select("id", "chunk_text"))
+    cut = v.chart_texts.select((-F.col("id")).cast("string"), F.expr("left(chunk_text, CAST(60 + id % 100 AS INT))"))
     return both.union(cut).select("id", T.is_index_chart(F.col("chunk_text")).alias("chart"))
 
 
@@ -510,49 +576,36 @@ def _(v):
     return v.questions.select("query_id", terms.alias("t")).select("query_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), " ").alias("terms"))
 
 
-INTENTS = ", ".join(f"{any_sql('t', w)} AS \"{k}\"" for k, w in T.INTENTS.items())
-BOTH = "(gas AND ac) OR (contains(t, 'gas') AND contains(t, 'electric')) OR contains(t, 'neither') OR contains(t, 'all mode') AS both_modes"
-
-
 @query("symptom_intents", f"SELECT p_partkey, gas, ac, cool, dead, lights_off, lights_on, \"freeze\", {BOTH} FROM (SELECT *, {INTENTS} FROM (SELECT p_partkey, lower(concat(p_name, ' ', CASE p_partkey % 5 WHEN 0 THEN 'Gas and ELECTRIC' WHEN 1 THEN 'no power' WHEN 2 THEN 'too cold' WHEN 3 THEN 'display on' ELSE '' END)) AS t FROM part))")
 def _(v):
     said = F.expr("concat(p_name, ' ', CASE p_partkey % 5 WHEN 0 THEN 'Gas and ELECTRIC' WHEN 1 THEN 'no power' WHEN 2 THEN 'too cold' WHEN 3 THEN 'display on' ELSE '' END)")
     return v.part.select("p_partkey", T.symptom_intents(said).alias("i")).select("p_partkey", "i.*")
 
 
-ROW_SCORE = f"""SELECT query_id, id, score, pages FROM (SELECT *, CASE WHEN length(l) >= 8 AND len(pages) > 0 THEN
-    CASE WHEN "freeze" AND contains(l, 'freeze') THEN 10 ELSE 0 END
-    + CASE WHEN cool AND contains(l, 'insufficient cooling') THEN CASE WHEN both_modes AND contains(l, 'all mode') THEN 12 WHEN ac AND NOT gas AND {any_sql('l', ('on ac', 'ac -', 'ac mode'))} THEN 10 WHEN gas AND NOT ac AND {any_sql('l', ('on gas', 'gas -', 'gas mode'))} THEN 10 WHEN contains(l, 'all mode') THEN 9 ELSE 6 END ELSE 0 END
-    + CASE WHEN dead OR lights_off THEN CASE WHEN contains(l, 'no operation') AND contains(l, 'no panel') THEN 10 WHEN contains(l, 'no operation') AND contains(l, 'has panel') THEN CASE WHEN lights_on THEN 8 ELSE 6 END ELSE 0 END ELSE 0 END
-    + CASE WHEN lights_on AND contains(l, 'has panel') THEN 5 ELSE 0 END
-    + CASE WHEN ac AND NOT both_modes AND {any_sql('l', ('no ac', 'operates on gas'))} THEN 8 ELSE 0 END
-    + CASE WHEN gas AND NOT both_modes AND {any_sql('l', ('no gas', 'operates on ac'))} THEN 8 ELSE 0 END
-    + least(2, len(list_filter(toks, lambda k: contains(l, k) AND k NOT IN ('the', 'and', 'for'))))
-    - CASE WHEN cool AND NOT "freeze" AND contains(l, 'freeze') AND NOT contains(l, 'insufficient') THEN 6 ELSE 0 END
-    - CASE WHEN lights_on AND contains(l, 'no panel') THEN 4 ELSE 0 END END AS score
-    FROM (SELECT query_id, id, gas, ac, cool, dead, lights_off, lights_on, "freeze", both_modes, toks, lower({STRIP.format('line')}) AS l, list_sort(list_distinct(list_transform(regexp_extract_all(line, '(?i)page\\s*0*(\\d+)', 1), lambda p: CAST(p AS INT)))) AS pages
-        FROM (SELECT *, {BOTH} FROM (SELECT query_id, id, {INTENTS}, toks, t, unnest(string_split(regexp_replace(chunk_text, '(\\d+\\.\\s)', chr(10) || '\\1', 'g'), chr(10))) AS line FROM (SELECT query_id, lower(symptom) AS t, list_distinct({TOKENS.format('symptom')}) AS toks FROM {{symptoms}}) CROSS JOIN {{chart_texts}})))) WHERE score IS NOT NULL"""
-
-
 def charts(v) -> DataFrame:
-    said = ["not cooling on gas and electric", "display is on but no power", "too cold, freezing food", "no flame on propane", "warm on shore power", "squeaks"]
-    q = v.spark.createDataFrame([(i + 1, s) for i, s in enumerate(said)], "query_id int, symptom string")
-    q = q.select("query_id", T.symptom_intents(F.col("symptom")).alias("intents"), F.array_distinct(T.tokenize(F.col("symptom"))).alias("symptom_tokens"))
-    return v.chart_texts.crossJoin(F.broadcast(q))
+    """The index charts in each question's scope, with what their lines are scored by."""
+    r = RetrievalViews(v)
+    found = r.scored().where("is_index").select("query_id", "id").join(r.c.select("id", "chunk_text"), "id")
+    return found.join(r.q.select("query_id", "intents", "symptom_tokens"), "query_id")
 
 
-@query("chart_row_score", f"SELECT query_id, id, score, array_to_string(pages, ',') AS pages FROM ({ROW_SCORE})")
+@query("chart_row_score", "SELECT query_id, id, score, array_to_string(pages, ',') AS pages FROM {chart_lines} WHERE score IS NOT NULL")
 def _(v):
     rows = retrieve.chart_rows(charts(v)).where("score IS NOT NULL")
     return rows.select("query_id", "id", "score", F.array_join(F.array_sort("pages"), ",").alias("pages"))
 
 
-@query("best_rows_band", f"SELECT query_id, id, score, array_to_string(pages, ',') AS pages FROM (SELECT *, max(score) OVER (PARTITION BY query_id, id) AS best FROM ({ROW_SCORE}) WHERE score >= 6) WHERE score >= best - 2")
+@query("best_rows_band", "SELECT query_id, id, score, array_to_string(pages, ',') AS pages FROM (SELECT *, max(score) OVER (PARTITION BY query_id, id) AS best FROM {chart_lines} WHERE score >= 6) WHERE score >= best - 2")
 def _(v):
     rows = retrieve.best_rows_band(retrieve.chart_rows(charts(v)))
     return rows.select("query_id", "id", "score", F.array_join(F.array_sort("pages"), ",").alias("pages"))
 
 
+@query("chart_pages", "SELECT query_id, id, array_to_string(list_sort(list_distinct(pages)), ',') AS pages FROM {chart_named}")
+def _(v):
+    return retrieve.chart_pages(charts(v), WORDS).select("query_id", "id", F.array_join(F.array_sort("pages"), ",").alias("pages"))
+
+
 @query("chunk_score", "SELECT query_id, sum(score) AS total, max(score) AS best, count(*) AS n FROM {scored} GROUP BY 1")
 def _(v):
     return RetrievalViews(v).scored().groupBy("query_id").agg(F.sum("score").alias("total"), F.max("score").alias("best"), F.count("*").alias("n"))
@@ -563,12 +616,39 @@ def _(v):
     return v.file_keys.select("key", T.guess_title(F.col("key")).alias("title"))
 
 
-STATUS = f"SELECT chat_id, id, CASE WHEN {last_sql(WORDS.done_markers)} > {last_sql(WORDS.open_markers)} THEN false ELSE {last_sql(WORDS.open_markers)} >= 0 END AS open FROM (SELECT chat_id, id, lower(content) AS t FROM {{messages}})"
+@query("status_from_notes", f"SELECT chat_id, id, {open_sql()} AS open FROM (SELECT chat_id, id, lower(content) AS t FROM {{messages}})")
+def _(v):
+    return v.messages.select("chat_id", "id", T.is_open_status(F.col("content"), WORDS).alias("open"))
+
+
+# The default words, over notes that name them.
 
 
-@query("status_from_notes", STATUS)
+@query("default_status", f"SELECT id, {open_sql(DEFAULT)} AS open FROM (SELECT id, lower(notes) AS t FROM {{service_notes}})")
 def _(v):
-    return v.messages.select("chat_id", "id", T.is_open_status(F.col("content"), WORDS).alias("open"))
+    return v.service_notes.select("id", T.is_open_status(F.col("notes")).alias("open"))
+
+
+@query("default_brands", f"SELECT id, array_to_string({brands_sql("lower(concat_ws(' ', model_text, symptom))", DEFAULT)}, ',') AS asked, array_to_string({brands_sql("lower(concat_ws(' ', title, keywords))", DEFAULT)}, ',') AS brands FROM {{service_notes}}")
+def _(v):
+    asked, own = T.named_brands(F.col("model_text"), F.col("symptom")), T.named_brands(F.col("title"), F.col("keywords"))
+    return v.service_notes.select("id", F.array_join(asked, ",").alias("asked"), F.array_join(own, ",").alias("brands"))
+
+
+@query("default_terms", f"SELECT id, array_to_string(list_sort({terms_sql(DEFAULT)}), ' ') AS terms FROM {{service_notes}}")
+def _(v):
+    return v.service_notes.select("id", F.array_join(F.array_sort(T.expand_terms(F.col("model_text"), F.col("symptom"))), " ").alias("terms"))
+
+
+@query(
+    "default_scores",
+    f"SELECT id, {SCORE} AS score FROM (SELECT *, {terms_sql(DEFAULT)} AS terms, lower({STRIP.format('model_text')}) AS model, {signals_sql('hay', DEFAULT)} AS signals, false AS is_index FROM (SELECT *, lower(concat_ws(' ', title, keywords, notes)) AS hay, lower(concat_ws(' ', title, keywords)) AS title_kw FROM {{service_notes}}))",
+)
+def _(v):
+    features = retrieve.chunk_features(v.service_notes.withColumnRenamed("notes", "chunk_text"))
+    asked = retrieve.query_features(v.service_notes.select(F.col("id").alias("query_id"), F.lit(None).cast("long").alias("category_id"), "model_text", "symptom"), v.categories)
+    pairs = stored(features.drop("model_text", "symptom"), "features").join(asked, F.col("id") == F.col("query_id"))
+    return pairs.select("id", retrieve.chunk_score().alias("score"))
 
 
 @query("chunk_text", "SELECT document_id, page, chunk_no, chunk_text FROM {page_chunks}")
@@ -586,37 +666,46 @@ def _(v):
     return jobs.transcript(v.messages)
 
 
-STEPS = "CASE WHEN step_log LIKE '[{{%' THEN concat('- ', regexp_extract(step_log, '\"test\":\"([^\"]*)\"', 1), ': ', regexp_extract(step_log, '\"result\":\"([^\"]*)\"', 1), CASE WHEN regexp_extract(step_log, '\"notes\":\"([^\"]*)\"', 1) <> '' THEN concat(' (', regexp_extract(step_log, '\"notes\":\"([^\"]*)\"', 1), ')') ELSE '' END) ELSE '' END"
+STEPS = "array_to_string(list_transform(steps, lambda s: concat('- ', s.test, ': ', s.result, CASE WHEN s.notes <> '' THEN concat(' (', s.notes, ')') ELSE '' END)), chr(10))"
 
 
-@query("parse_steps", f"SELECT id, {STEPS} AS lines FROM {{jobs}}")
+@query("parse_steps", f"SELECT id, coalesce({STEPS}, '') AS lines FROM {{step_rows}}")
 def _(v):
     return v.jobs.select("id", jobs.step_lines(F.col("step_log")).alias("lines"))
 
 
-@query("screen_steps", "SELECT id, CASE WHEN step_log LIKE '[{{%' THEN 1 ELSE 0 END AS n, CASE WHEN step_log LIKE '[{{%' THEN regexp_extract(step_log, '\"test\":\"([^\"]*)\"', 1) ELSE '' END AS tests FROM {jobs}")
+@query("screen_steps", "SELECT id, len(steps) AS n, coalesce(array_to_string(list_transform(steps, lambda s: s.test), ','), '') AS tests FROM {step_rows}")
 def _(v):
     steps = jobs.screen_steps(F.col("step_log"))
     return v.jobs.select("id", F.size(steps).alias("n"), F.array_join(F.transform(steps, lambda s: s["test"]), ",").alias("tests"))
 
 
-@query("parse_sources", "SELECT query_id, count(*) AS n, min(page) AS first_page FROM (SELECT DISTINCT b.query_id, c.document_id, c.page FROM {best} b JOIN {chunks} c USING (id)) GROUP BY 1")
+@query("parse_sources", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS pos, document_id, title, page, file_path, file_type, excerpt FROM {excerpts}")
 def _(v):
-    made = evidence.source_list(RetrievalViews(v).hits()).withColumn("s", jobs.parse_sources(F.col("sources_json")))
-    return made.select("query_id", F.size("s").cast("long").alias("n"), F.array_min(F.transform("s", lambda x: x["page"])).alias("first_page"))
+    made = evidence.source_list(RetrievalViews(v).hits())
+    return made.select("query_id", F.posexplode(jobs.parse_sources(F.col("sources_json"))).alias("pos", "s")).select("query_id", F.col("pos").cast("long").alias("pos"), "s.*")
 
 
-@query("context_block", "SELECT query_id, string_agg(concat('[EXCERPT ', rank, ' | PROCEDURE] Manual: ', title, ' | Page: ', page, chr(10), chunk_text), chr(10) || chr(10) ORDER BY rank) AS context FROM {best} JOIN {chunks} USING (id) GROUP BY 1")
+@query("context_block", "SELECT query_id, string_agg(concat('[EXCERPT ', rank, ' | ', CASE WHEN is_index THEN 'INDEX CHART' ELSE 'PROCEDURE' END, '] Manual: ', title, ' | Page: ', page, chr(10), chunk_text), chr(10) || chr(10) ORDER BY rank) AS context FROM {hits} GROUP BY 1")
 def _(v):
     return evidence.context_block(RetrievalViews(v).hits())
 
 
-@query("source_list", "SELECT query_id, string_agg(concat('- ', title, ' (page ', page, ')'), chr(10) ORDER BY rank) AS sources_text FROM {best} JOIN {chunks} USING (id) GROUP BY 1")
+@query("source_list", "SELECT query_id, string_agg(concat('- ', title, ' (page ', page, ')'), chr(10) ORDER BY rank) AS sources_text FROM {hits} GROUP BY 1")
 def _(v):
     return evidence.source_list(RetrievalViews(v).hits()).select("query_id", "sources_text")
 
 
-@query("offline_plan")
+NO_MATCH = """concat('No matching manual text was found in the library.', chr(10), chr(10), CASE WHEN len(asked) > 0 THEN concat('- Named brand/model: ', array_to_string(asked, ', '), '. Nothing in the library for that brand in this category.', chr(10), '- Do not use another brand''s voltages, ohms, or pin names.', chr(10)) ELSE '' END,
+    '- Check category selection', chr(10), '- Try different keywords / model number', chr(10), '- Ask a manager to upload/index the service manual', chr(10), '- Scanned PDFs with no text cannot be searched until OCR is added')"""
+PLAN = f"""SELECT q.query_id, CASE WHEN b.body IS NULL THEN {NO_MATCH} ELSE concat_ws(chr(10), '**Guided Diagnostics (AI offline — matching manual excerpts)**', '', concat('**Category:** ', coalesce(c.name, '')), concat('**Model/System:** ', coalesce(nullif(q.model_text, ''), '—')), concat('**Symptom:** ', coalesce(q.symptom, '')), '', '**Sources:**', s.sources, '', b.body,
+    concat(chr(10), 'Open the **Source pages** panel in the library to view/download the actual manual pages (figures, diagrams, LCD layouts).')) END AS plan
+    FROM {{qf}} q LEFT JOIN {{categories}} c ON c.id = q.category_id
+    LEFT JOIN (SELECT query_id, string_agg(concat('- ', title, ' (page ', page, ')'), chr(10) ORDER BY rank) AS sources FROM {{hits}} GROUP BY 1) s USING (query_id)
+    LEFT JOIN (SELECT query_id, string_agg(concat('**Excerpt ', rank, ' [', CASE WHEN is_index THEN 'INDEX' ELSE 'PROC' END, '] — ', title, ' p.', page, '**', chr(10), left(chunk_text, 700), CASE WHEN length(chunk_text) > 700 THEN '...' ELSE '' END, chr(10)), chr(10) ORDER BY rank) AS body FROM {{hits}} WHERE rank <= 8 GROUP BY 1) b USING (query_id)"""
+
+
+@query("offline_plan", PLAN)
 def _(v):
     names = v.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
     return evidence.offline_plan(v.questions.join(names, "category_id", "left"), RetrievalViews(v).hits(), WORDS)
@@ -627,7 +716,7 @@ CHAT_REPLY = "string_agg(concat('**', title, '** p.', page, chr(10), left(chunk_
 
 @query(
     "offline_chat_reply",
-    f"SELECT q.query_id, concat('AI is offline (Groq not configured). Matching manual excerpts:', chr(10), chr(10), coalesce(b.body, 'No matching manual text found. Check category / try different wording, or ask a manager to index the manual.')) AS reply FROM {{questions}} q LEFT JOIN (SELECT query_id, {CHAT_REPLY} AS body FROM {{best}} JOIN {{chunks}} USING (id) WHERE rank <= 6 GROUP BY 1) b USING (query_id)",
+    f"SELECT q.query_id, concat('AI is offline (Groq not configured). Matching manual excerpts:', chr(10), chr(10), coalesce(b.body, 'No matching manual text found. Check category / try different wording, or ask a manager to index the manual.')) AS reply FROM {{questions}} q LEFT JOIN (SELECT query_id, {CHAT_REPLY} AS body FROM {{hits}} WHERE rank <= 6 GROUP BY 1) b USING (query_id)",
 )
 def _(v):
     return evidence.offline_chat_reply(v.questions.select("query_id", F.col("symptom").alias("message")), RetrievalViews(v).hits())
@@ -637,18 +726,14 @@ PLAN_LABEL = "NOT PERFORMED unless also listed above — this was only the sugge
 JOB_NOTES = f"concat_ws(chr(10) || chr(10), CASE WHEN model_text <> '' THEN concat('Model/System: ', model_text) END, CASE WHEN category_name <> '' THEN concat('Category: ', category_name) END, concat('Technician findings and work performed:', chr(10), findings), CASE WHEN {STEPS} <> '' THEN concat('Diagnostic step log:', chr(10), {STEPS}) END, CASE WHEN plan_text <> '' THEN concat('{PLAN_LABEL}', chr(10), left(plan_text, 800)) END)"
 STORY = """CASE WHEN {0} THEN concat('**CONCERN**', chr(10), coalesce(nullif({1}, ''), 'Customer reported an issue requiring diagnosis.'), chr(10), chr(10), '**TESTING PERFORMED**', chr(10), coalesce(nullif({2}, ''), 'See technician notes.'), chr(10), chr(10), '**STATUS**', chr(10), 'Open. No repair completed. Next tech: resume from testing performed. Do not treat recommended checks as done.')
     ELSE concat('**CONCERN**', chr(10), coalesce(nullif({1}, ''), 'Customer reported an issue requiring diagnosis and repair.'), chr(10), chr(10), '**TESTING / FINDINGS**', chr(10), coalesce(nullif({2}, ''), 'See technician notes.'), chr(10), chr(10), '**CAUSE**', chr(10), 'Only as stated in the technician notes. If no root cause was recorded, leave unknown.', chr(10), chr(10), '**CORRECTION**', chr(10), 'Only repairs the technician recorded. If none were recorded, none were performed.') END"""
-OPEN = f"CASE WHEN {last_sql(WORDS.done_markers)} > {last_sql(WORDS.open_markers)} THEN false ELSE {last_sql(WORDS.open_markers)} >= 0 END"
-
-
-@query("job_notes", f"SELECT id, {JOB_NOTES} AS notes FROM {{jobs}}")
+@query("job_notes", f"SELECT id, {JOB_NOTES} AS notes FROM {{step_rows}}")
 def _(v):
     return v.jobs.select("id", jobs.job_notes().alias("notes"))
 
 
-@query("offline_story", f"SELECT id, {STORY.format(OPEN, 'concern', 'notes')} AS story FROM (SELECT id, concern, notes, lower(notes) AS t FROM (SELECT id, concern, {JOB_NOTES} AS notes FROM {{jobs}}))")
+@query("offline_story", f"SELECT id, {STORY.format(open_sql(), 'concern', 'notes')} AS story FROM (SELECT id, concern, notes, lower(notes) AS t FROM (SELECT id, concern, {JOB_NOTES} AS notes FROM {{step_rows}}))")
 def _(v):
-    notes = jobs.job_notes()
-    return v.jobs.select("id", jobs.offline_story(F.col("concern"), notes, notes, WORDS).alias("story"))
+    return v.jobs.select("id", jobs.offline_story(F.col("concern"), jobs.job_notes(), lexicon=WORDS).alias("story"))
 
 
 CHAT_NOTES = f"""SELECT c.id AS chat_id, coalesce(f.concern, '') AS concern, coalesce(t.tech, '(none)') AS tech, concat_ws(chr(10) || chr(10), CASE WHEN category_name <> '' THEN concat('Category: ', category_name) END, CASE WHEN model_text <> '' THEN concat('Model/System: ', model_text) END, concat('TECH REPORTED (only these are performed tests / readings / status):', chr(10), coalesce(t.tech, '(none)')), CASE WHEN h.coach <> '' THEN concat('COACH SUGGESTIONS (recommended only — do NOT treat as performed unless the tech later confirmed the result):', chr(10), h.coach) END) AS notes
@@ -662,7 +747,7 @@ def _(v):
     return jobs.chat_notes(v.chats, v.messages)
 
 
-@query("chat_story", f"SELECT chat_id, {STORY.format(OPEN, 'concern', STRIP.format('notes'))} AS story FROM (SELECT *, lower(tech) AS t FROM ({CHAT_NOTES}))")
+@query("chat_story", f"SELECT chat_id, {STORY.format(open_sql(), 'concern', STRIP.format('notes'))} AS story FROM (SELECT *, lower(tech) AS t FROM ({CHAT_NOTES}))")
 def _(v):
     rows = jobs.chat_notes(v.chats, v.messages)
     return rows.select("chat_id", jobs.offline_story(F.col("concern"), F.col("notes"), F.col("tech"), WORDS).alias("story"))
@@ -694,10 +779,10 @@ def _(v):
 
 @query("incremental_index", "SELECT id, document_id, title, page, chunk_text FROM {chunks} WHERE document_id % 10 <> 0 UNION ALL SELECT id, document_id, title, page, chunk_text FROM {chunks} WHERE document_id % 10 = 0")
 def _(v):
-    path = scratch(v.spark)
+    path = new_path(v.spark, "table")
     chunk_table.write_chunks(v.spark, v.chunks.where("document_id % 4 <> 0"), v.library.where("id % 4 <> 0").select(F.col("id").alias("document_id")), path)
     chunk_table.write_chunks(v.spark, v.chunks.where("document_id % 2 = 0"), v.library.where("id % 2 = 0").select(F.col("id").alias("document_id")), path)
-    return v.spark.read.parquet(path).select("id", "document_id", "title", "page", "chunk_text")
+    return chunk_table.read_chunks(v.spark, path).select("id", "document_id", "title", "page", "chunk_text")
 
 
 @query("job_progress", "SELECT l_orderkey AS job_id, count(*) AS steps, max({{'a': l_linenumber, 'b': l_partkey, 'c': concat('f', l_partkey)}}).c AS findings, max({{'a': l_linenumber, 'b': l_partkey, 'c': CASE WHEN l_linestatus = 'F' THEN 'complete' ELSE 'in_progress' END}}).c AS status, max(l_linenumber) AS updated_date FROM lineitem GROUP BY 1")

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import Lexicon
+from ..functions.lexicon import DEFAULT, Lexicon
 from ..operators.chunks import chunk_pages, page_source, with_document
 
 #: The invented prose has no service words; these stand in for them.
@@ -25,11 +25,33 @@ WORDS = Lexicon(
     done_markers=("the", "and"),
 )
 
+#: What questions ask for beside the words of their benchmark text, and what the lines of charts name.
+ASKED = ("not cooling on gas and electric", "display is on but no power", "too cold, freezing food", "no flame on propane", "warm on shore power", "squeaks")
+CUES = ("no operation no panel", "insufficient cooling all mode", "no gas", "freeze", "insufficient cooling on gas", "no operation has panel", "no ac", "hums")
+
+
+def one_of(values, number: str) -> str:
+    """The value that a number selects, in SQL of both engines; none for the number after the last."""
+    cases = " ".join("WHEN {} THEN '{}'".format(i, v.replace("'", "''")) for i, v in enumerate(values))
+    return f"CASE ({number}) % {len(values) + 1} {cases} ELSE '' END"
+
+
+def first_words(n: int) -> str:
+    return ", ".join(f"split_part(text, ' ', {i})" for i in range(1, n + 1))
+
+
+def chart_text() -> str:
+    """A symptom chart of nine numbered lines, each with a word of the document, a cue and a page."""
+    plain = "translate(split_part(text, ' ', {0}), concat('0123456789.', chr(10), chr(13)), '')"
+    lines = [f"concat('{i}. ', {plain.format(i)}, ' ', {one_of(CUES, f'doc_id + {i}')}, ' page ', CAST(doc_id * {i} % 12 + 1 AS VARCHAR(20)))" for i in range(1, 10)]
+    return f"concat('Symptom and cause. ', concat_ws(chr(10), {', '.join(lines)}))"
+
+
 VIEWS = {
     "users": "SELECT c_custkey AS id, c_name AS username, c_name AS full_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Manager' ELSE 'Technician' END AS role, c_acctbal >= 0 AS is_active FROM {customer}",
     "categories": "SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) + 1 AS id, source AS name FROM {documents} UNION ALL SELECT CAST(999 AS BIGINT), 'Solar' UNION ALL SELECT CAST(1000 AS BIGINT), 'TSB / Recall'",
     "library": "SELECT doc_id AS id, CASE WHEN doc_id % 97 = 0 THEN CAST(1000 AS BIGINT) ELSE CAST(substr(source, 4) AS BIGINT) + 1 END AS category_id, left(split_part(text, chr(10), 1), 60) AS title, concat('documents/', CAST(doc_id AS VARCHAR(20)), '_20240101_', lang, '.pdf') AS file_path, CASE WHEN doc_id % 10 = 0 THEN 'pptx' ELSE 'pdf' END AS file_type, doc_id % 150 + 1 AS uploaded_by, concat('lang-', lang) AS keywords, doc_id % 3 <> 0 AS indexed, CASE WHEN doc_id % 7 = 0 THEN 'Indexed earlier' WHEN doc_id % 7 = 1 THEN '' END AS index_note FROM {documents}",
-    "jobs": "SELECT o_orderkey AS id, concat('WO-', CAST(o_orderkey % 5000 AS VARCHAR(20))) AS wo_number, o_custkey AS user_id, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS category_name, CASE WHEN o_orderkey % 3 = 0 THEN concat('RM', CAST(o_orderkey % 100 AS VARCHAR(20))) END AS model_text, CASE WHEN o_orderstatus = 'O' THEN 'in_progress' ELSE 'complete' END AS status, o_orderdate AS created_date, o_orderdate AS updated_date, concat('price ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)), ' with the unit') AS findings, CASE WHEN o_orderkey % 5 = 0 THEN 'not json' WHEN o_orderkey % 5 = 1 THEN '[]' ELSE concat('[{{\"test\":\"t', CAST(o_orderkey % 7 AS VARCHAR(20)), '\",\"result\":\"Pass\",\"notes\":\"', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'n' END, '\"}}]') END AS step_log, CASE WHEN o_orderkey % 2 = 0 THEN 'plan text' END AS plan_text, concat('concern ', CAST(o_orderkey % 50 AS VARCHAR(20))) AS concern FROM {orders}",
+    "jobs": "SELECT o_orderkey AS id, concat('WO-', CAST(o_orderkey % 5000 AS VARCHAR(20))) AS wo_number, o_custkey AS user_id, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS category_name, CASE WHEN o_orderkey % 3 = 0 THEN concat('RM', CAST(o_orderkey % 100 AS VARCHAR(20))) END AS model_text, CASE WHEN o_orderstatus = 'O' THEN 'in_progress' ELSE 'complete' END AS status, o_orderdate AS created_date, o_orderdate AS updated_date, concat('price ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)), ' with the unit') AS findings, CASE WHEN o_orderkey % 5 = 0 THEN 'not json' WHEN o_orderkey % 5 = 1 THEN '[]' ELSE concat('[{{\"test\":\"t', CAST(o_orderkey % 7 AS VARCHAR(20)), '\",\"result\":\"Pass\",\"notes\":\"', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'n' END, '\"}}', CASE WHEN o_orderkey % 5 = 2 THEN ',{{\"test\":\"second\",\"result\":\"Fail\",\"notes\":\"again\"}}' ELSE '' END, ']') END AS step_log, CASE WHEN o_orderkey % 2 = 0 THEN 'plan text' END AS plan_text, concat('concern ', CAST(o_orderkey % 50 AS VARCHAR(20))) AS concern FROM {orders}",
     "certificates": "SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, p_name AS title, p_brand AS issuer, concat('certificates/', CAST(l_orderkey AS VARCHAR(20))) AS file_path FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag = 'R'",
     "meetings": "SELECT DISTINCT CAST(datediff('day', CAST('2024-01-01' AS DATE), CAST(ts AS DATE)) AS BIGINT) + 1000 AS id, concat('Meeting ', CAST(CAST(ts AS DATE) AS VARCHAR(20))) AS title, CAST(ts AS DATE) AS day FROM {events}",
     "acks": "SELECT event_id AS id, CAST(datediff('day', CAST('2024-01-01' AS DATE), CAST(ts AS DATE)) AS BIGINT) + 1000 AS meeting_id, user_id, ts AS signed_at FROM {events}",
@@ -37,15 +59,19 @@ VIEWS = {
     "chats": "SELECT DISTINCT conv_id AS id, conv_id % 150 + 1 AS user_id, CASE WHEN conv_id % 4 = 0 THEN '' ELSE concat('src', CAST(conv_id % 20 AS VARCHAR(20))) END AS category_name, CASE WHEN conv_id % 3 = 0 THEN 'lang-fr' ELSE '' END AS model_text, concat('Chat ', CAST(conv_id AS VARCHAR(20))) AS title, CASE WHEN conv_id % 13 <> 0 THEN CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(conv_id AS INT) * INTERVAL '1' HOUR END AS updated_date, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_date FROM {conversations}",
     "file_keys": "SELECT concat(CASE WHEN page_id % 5 = 0 THEN 'certificates/' WHEN page_id % 5 = 1 THEN 'safety/docs/' WHEN page_id % 5 = 2 THEN 'other/' ELSE 'documents/' END, CAST(page_id AS VARCHAR(20)), '_20240101_my-', CAST(page_id % 9 AS VARCHAR(20)), CASE WHEN page_id % 2 = 0 THEN '_x.pdf' ELSE '.PNG' END) AS key, page_id FROM {pages}",
     "registry": "SELECT DISTINCT key FROM {file_keys} WHERE page_id % 3 = 0",
-    "questions": "SELECT item_id AS query_id, CASE WHEN item_id % 20 = 19 THEN CAST(NULL AS BIGINT) ELSE item_id % 20 + 1 END AS category_id, CASE WHEN item_id % 4 = 0 THEN 'lang-en' WHEN item_id % 9 = 0 THEN 'lang-de' ELSE '' END AS model_text, concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2), split_part(text, ' ', 3), split_part(text, ' ', 4), split_part(text, ' ', 5)) AS symptom FROM {benchmark}",
+    "questions": "SELECT item_id AS query_id, CASE WHEN item_id % 20 = 19 THEN CAST(NULL AS BIGINT) ELSE item_id % 20 + 1 END AS category_id, CASE WHEN item_id % 4 = 0 THEN 'lang-en' WHEN item_id % 9 = 0 THEN 'lang-de' ELSE '' END AS model_text, concat_ws(' ', " + first_words(8) + ", " + one_of(ASKED, "item_id") + ") AS symptom FROM {benchmark}",
+    "chart_pages": "SELECT doc_id AS document_id, CAST(500 AS INT) AS page, " + chart_text() + " AS text FROM {documents} WHERE doc_id % 4 = 1",
+    "service_notes": "SELECT p_partkey AS id, p_name AS title, " + one_of(DEFAULT.brands, "p_partkey") + " AS keywords, concat(p_name, ' ', " + one_of(DEFAULT.brands, "p_size") + ") AS model_text, concat(" + one_of(DEFAULT.topics, "p_partkey") + ", ' ', p_name, ' ', " + one_of(ASKED, "p_size") + ") AS symptom, concat(" + one_of(DEFAULT.open_markers, "p_partkey") + ", ' ', p_name, ' ', " + one_of(DEFAULT.done_markers, "p_size") + ", ' ', " + one_of(DEFAULT.open_markers, "p_partkey + p_size * 3") + ", ' ', " + one_of(DEFAULT.signals, "p_partkey") + ") AS notes FROM {part}",
+    "safety_docs": "SELECT page_id AS id, concat('Safety ', CAST(page_id AS VARCHAR(20))) AS title, concat('safety/docs/', CAST(page_id AS VARCHAR(20))) AS file_path, 'pdf' AS file_type FROM {pages} WHERE page_id % 5 = 1",
 }
 
 #: What only DuckDB runs; Spark builds these tables with the library's operators.
 DUCK = {
-    "chart_texts": "SELECT CAST(p_size AS BIGINT) AS id, concat('symptom and cause. ', string_agg(concat(CAST(p_partkey % 9 + 1 AS VARCHAR(20)), '. ', p_name, CASE p_partkey % 4 WHEN 0 THEN ' no operation no panel' WHEN 1 THEN ' insufficient cooling all mode' WHEN 2 THEN ' no gas' ELSE ' freeze' END, ' page ', CAST(p_partkey % 40 AS VARCHAR(20))), chr(10) ORDER BY p_partkey)) AS chunk_text FROM {part} GROUP BY p_size",
+    "chart_texts": "SELECT CAST(p_size + 100 * (p_partkey // 2000) AS BIGINT) AS id, concat('symptom and cause. ', string_agg(concat(CAST(p_partkey % 9 + 1 AS VARCHAR(20)), '. ', p_name, CASE p_partkey % 4 WHEN 0 THEN ' no operation no panel' WHEN 1 THEN ' insufficient cooling all mode' WHEN 2 THEN ' no gas' ELSE ' freeze' END, ' page ', CAST(p_partkey % 40 AS VARCHAR(20))), chr(10) ORDER BY p_partkey)) AS chunk_text FROM {part} GROUP BY p_size, p_partkey // 2000",
     "lib_pages": "SELECT document_id, page, text FROM (SELECT doc_id AS document_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS page, unnest(string_split(text, chr(10))) AS text FROM {documents}) WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''",
-    "page_chunks": "SELECT document_id, page, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk_no, unnest(c) AS chunk_text FROM (SELECT document_id, page, CASE WHEN length(text) <= 900 THEN [text] ELSE list_filter(list_transform(range(0, CAST(ceil((length(text) - 900) / 780.0) AS BIGINT) + 1), lambda k: regexp_replace(substr(text, CAST(k * 780 + 1 AS BIGINT), 900), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') END AS c FROM {lib_pages})",
-    "chunks": "SELECT document_id * 100000000 + page * 10000 + chunk_no AS id, document_id, category_id, title, page, chunk_text, keywords FROM {page_chunks} JOIN {library} l ON l.id = document_id",
+    "all_pages": "SELECT * FROM {lib_pages} UNION ALL SELECT * FROM {chart_pages}",
+    "page_chunks": "SELECT document_id, page, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk_no, unnest(c) AS chunk_text FROM (SELECT document_id, page, CASE WHEN length(text) <= 900 THEN [text] ELSE list_filter(list_transform(range(0, CAST(ceil((length(text) - 900) / 780.0) AS BIGINT) + 1), lambda k: regexp_replace(substr(text, CAST(k * 780 + 1 AS BIGINT), 900), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') END AS c FROM {all_pages})",
+    "chunks": "SELECT concat(lpad(CAST(document_id AS VARCHAR), 19, '0'), '-', lpad(CAST(page AS VARCHAR), 10, '0'), '-', lpad(CAST(chunk_no AS VARCHAR), 10, '0')) AS id, document_id, category_id, title, page, chunk_text, keywords FROM {page_chunks} JOIN {library} l ON l.id = document_id",
 }
 _ALL = VIEWS | DUCK
 
@@ -64,8 +90,10 @@ class Views:
     def _make(self, name: str) -> DataFrame:
         if name == "lib_pages":
             return page_source(self.documents.select(F.col("doc_id").alias("document_id"), F.split("text", "\n").alias("pages")))
+        if name == "all_pages":
+            return self.lib_pages.union(self.chart_pages)
         if name == "page_chunks":
-            return chunk_pages(self.lib_pages)
+            return chunk_pages(self.all_pages)
         if name == "chart_texts":
             return self.charts()
         if name == "chunks":
@@ -78,7 +106,8 @@ class Views:
 
     def charts(self) -> DataFrame:
         row = F.expr("concat(CAST(p_partkey % 9 + 1 AS STRING), '. ', p_name, CASE p_partkey % 4 WHEN 0 THEN ' no operation no panel' WHEN 1 THEN ' insufficient cooling all mode' WHEN 2 THEN ' no gas' ELSE ' freeze' END, ' page ', CAST(p_partkey % 40 AS STRING))")
-        rows = self.part.select(F.col("p_size").cast("long").alias("id"), "p_partkey", row.alias("row"))
+        chart = F.expr("CAST(p_size + 100 * (p_partkey DIV 2000) AS BIGINT)")  # some 40 lines each, however many parts there are
+        rows = self.part.select(chart.alias("id"), "p_partkey", row.alias("row"))
         lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "row"))), lambda x: x["row"]), "\n")
         return rows.groupBy("id").agg(F.concat(F.lit("symptom and cause. "), lines).alias("chunk_text"))
 

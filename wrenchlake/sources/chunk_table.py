@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .tables import schema
 
+#: A bucket is what one changed document rewrites; a file is what one task writes.
+ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_FILE = 250_000
+MOST_BUCKETS = 65_536
 
-def bucket_of(document_id: str = "document_id", buckets: int = BUCKETS):
+
+def bucket_of(buckets: int, document_id: str = "document_id"):
     return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
 
 
@@ -19,28 +25,94 @@ def replace_chunks(existing: DataFrame, new: DataFrame, reindexed: DataFrame) ->
     return existing.join(reindexed.select("document_id").distinct(), "document_id", "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
 
 
-def write_chunks(spark: SparkSession, new: DataFrame, reindexed: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+class Folder:
+    """A folder in whatever file system its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark.sparkContext._jvm, path
+        self.where = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def inner(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.where, name)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.where)] if self.fs.exists(self.where) else []
+
+    def drop(self, name: str | None = None) -> None:
+        self.fs.delete(self.inner(name) if name else self.where, True)
+
+
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of buckets under which the table is complete; one, but for the moment in which it is dealt out anew."""
+    return sorted(int(n[8:]) for n in Folder(spark, path).names() if n.startswith("buckets=") and f"_done_{n[8:]}" in Folder(spark, path).names())
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The table's chunks, with their bucket."""
+    table = f"{path}/buckets={generations(spark, path)[-1]}"
+    if any(n.startswith("bucket=") for n in Folder(spark, table).names()):
+        return spark.read.parquet(table)
+    return spark.createDataFrame([], schema("doc_chunks").add("bucket", "integer"))
+
+
+def written(rows: DataFrame, n: int, buckets: int, path: str) -> None:
+    """Writes whole buckets of ``n`` rows in all, each as several files."""
+    files = max(1, math.ceil(n / max(1, min(buckets, n)) / ROWS_PER_FILE))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(files)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(path)
+
+
+def deal_out(spark: SparkSession, rows: DataFrame, n: int, path: str, buckets: int) -> None:
+    """Writes the whole table under another number of buckets, then drops the former one."""
+    table, before = Folder(spark, path), generations(spark, path)
+    table.drop(f"buckets={buckets}")
+    written(rows.withColumn("bucket", bucket_of(buckets)), n, buckets, f"{path}/buckets={buckets}")
+    table.fs.mkdirs(table.inner(f"buckets={buckets}"))
+    table.fs.create(table.inner(f"_done_{buckets}"), True).close()
+    for old in before:
+        table.drop(f"_done_{old}")
+        table.drop(f"buckets={old}")
+
+
+def write_chunks(spark: SparkSession, new: DataFrame, reindexed: DataFrame, path: str, buckets: int | None = None) -> None:
     """Index sink: rewrites only the buckets that hold a re-indexed document.
 
     The new content goes to a staging folder first, since Spark cannot overwrite files that it is reading, and then
-    replaces the touched partitions in one dynamic overwrite; running it again after a failure gives the same table.
+    replaces the touched partitions in one dynamic overwrite; running it again after a failure gives the same table.  The
+    number of buckets follows the table's size (``ROWS_PER_BUCKET``), unless it is given: a table that has outgrown its buckets
+    fourfold is dealt out anew.
     """
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    fresh = new.withColumn("bucket", bucket_of(buckets=buckets))
-    ids = reindexed.select("document_id").distinct()
-    touched = ids.select(bucket_of(buckets=buckets).alias("bucket")).distinct()
+    have = generations(spark, path)
     staged = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
-    if exists:
-        current = spark.read.parquet(path).join(touched, "bucket", "left_semi").select(*fresh.columns)
-        fresh = current.join(ids, "document_id", "left_anti").select(*fresh.columns).unionByName(fresh)
-    fresh.write.parquet(staged)
-    out = spark.read.schema(fresh.schema).parquet(staged)
-    emptied = touched.join(out.select("bucket").distinct(), "bucket", "left_anti") if exists else None
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    if emptied is not None:
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for row in emptied.collect():  # at most one row for each bucket
-            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"bucket={row.bucket}"), True)
-    stage = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-    stage.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(stage, True)
+    ids = reindexed.select("document_id").distinct()
+    if not have:
+        new.write.parquet(staged)
+        fresh = spark.read.schema(new.schema).parquet(staged)
+        n = fresh.count()
+        deal_out(spark, fresh, n, path, buckets or fitting(n))
+    else:
+        count = have[-1]
+        table = Folder(spark, f"{path}/buckets={count}")
+        fresh = new.withColumn("bucket", bucket_of(count))
+        touched = ids.select(bucket_of(count).alias("bucket")).distinct()
+        if any(x.startswith("bucket=") for x in table.names()):
+            current = read_chunks(spark, path).join(touched, "bucket", "left_semi").select(*fresh.columns)
+            fresh = current.join(ids, "document_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+        fresh.write.parquet(staged)
+        out = spark.read.schema(fresh.schema).parquet(staged)
+        emptied = touched.join(out.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most a row for each bucket
+        written(out, out.count(), max(1, touched.count()), table.path)
+        for row in emptied:
+            table.drop(f"bucket={row.bucket}")
+        if buckets is None and any(x.startswith("bucket=") for x in table.names()):
+            whole = read_chunks(spark, path)
+            n = whole.count()  # from the files' footers
+            if fitting(n) >= 4 * count:
+                deal_out(spark, whole.drop("bucket"), n, path, fitting(n))
+    Folder(spark, staged).drop()
+
+
+def fitting(n: int) -> int:
+    """A power of two that gives buckets of ROWS_PER_BUCKET rows at most."""
+    return min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(n, 1) / ROWS_PER_BUCKET))))

@@ -23,6 +23,11 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[2:]) for n in done)
 
 
+def drop_version(spark: SparkSession, path: str, version: int) -> None:
+    fs, where, jvm = _folder(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(where, f"v={version}"), True)
+
+
 def publish_snapshot(df: DataFrame, path: str, min_rows: int = MIN_ROWS) -> int | None:
     """Writes the next version and drops all but the last two; returns its number, or None if the table is too small."""
     spark = df.sparkSession
@@ -31,9 +36,8 @@ def publish_snapshot(df: DataFrame, path: str, min_rows: int = MIN_ROWS) -> int
     have = versions(spark, path)
     new = (have[-1] if have else 0) + 1
     df.write.mode("overwrite").parquet(f"{path}/v={new}")
-    fs, where, jvm = _folder(spark, path)
     for old in have[:-1]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(where, f"v={old}"), True)
+        drop_version(spark, path, old)
     return new
 
 

@@ -10,7 +10,7 @@ SCHEMAS = {
     "users": "id bigint, username string, full_name string, role string, is_active boolean, created_date timestamp_ntz",
     "categories": "id bigint, name string",
     "documents": "id bigint, category_id bigint, title string, file_path string, file_type string, uploaded_by bigint, created_date timestamp_ntz, keywords string, indexed boolean, index_note string",
-    "doc_chunks": "id bigint, document_id bigint, category_id bigint, title string, page int, chunk_text string, keywords string",
+    "doc_chunks": "id string, document_id bigint, category_id bigint, title string, page int, chunk_text string, keywords string",
     "certificates": "id bigint, user_id bigint, title string, issuer string, file_path string, issued_date string, notes string, uploaded_by bigint, created_date timestamp_ntz",
     "safety_documents": "id bigint, title string, file_path string, file_type string, uploaded_by bigint, created_date timestamp_ntz, keywords string",
     "safety_meetings": "id bigint, title string, meeting_date string, file_path string, notes string, created_by bigint, created_date timestamp_ntz",

@@ -1,13 +1,13 @@
 """The incremental writes as streams; each equals its batch form over all input.
 
-All three run under ``foreachBatch`` with a version folder for each micro-batch: a batch that is run again after a failure
-writes the same version, so nothing is counted twice.
+Chat state and job progress are streaming aggregations: Spark keeps the partial state of each key in its state store (RocksDB,
+so that it need not fit the memory), and a micro-batch touches the keys of its rows only.  What a micro-batch changed goes to a
+version folder of the state table; a batch that is run again after a failure finds its version complete or writes it anew, so
+nothing is counted twice.  Versions are merged from time to time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,25 +15,52 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.chunks import chunk_pages, with_document
 from ..operators.jobs import chat_state, job_progress
 from ..sources.chunk_table import write_chunks
+from ..sources.snapshot import drop_version, versions
 
+#: So many versions of a state table are kept beside each other before they become one.
+VERSIONS = 16
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def folded(stream: DataFrame, log: str, checkpoint: str, fold: Callable[[DataFrame], DataFrame], state: str) -> StreamingQuery:
-    """Appends a stream to a log table and keeps ``fold(log)`` as the state table, one version for each micro-batch."""
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        whole = batch.sparkSession.read.schema(batch.schema).parquet(log)
-        fold(whole.select(*batch.columns)).write.mode("overwrite").parquet(f"{state}/v={number}")
+def latest(spark: SparkSession, state: str, key: str) -> DataFrame:
+    """The state table: the newest row of each key."""
+    rows = spark.read.parquet(state)
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "v")]), "v").alias("row"))
+    return newest.select(key, "row.*")
+
+
+def merged_into(state: str, key: str):
+    """A sink for changed rows of a state table: one version for each micro-batch, now and then all versions in one."""
+
+    def each(changed: DataFrame, number: int) -> None:
+        spark = changed.sparkSession
+        have = versions(spark, state)
+        if number not in have:
+            if len(have) >= VERSIONS:
+                old = latest(spark, state, key).join(changed.select(key), key, "left_anti")
+                changed = changed.unionByName(old.select(*changed.columns))
+            changed.write.mode("overwrite").parquet(f"{state}/v={number}")
+        if len(have) >= VERSIONS:
+            for v in have:
+                if v < number:
+                    drop_version(spark, state, v)
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return each
+
+
+def kept_up(folded: DataFrame, key: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Runs a streaming aggregation by ``key`` over what has arrived, and keeps its rows in a state table."""
+    spark = folded.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    return folded.writeStream.outputMode("update").foreachBatch(merged_into(state, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_chat_state(turns: DataFrame, root: str) -> StreamingQuery:
-    return folded(turns, f"{root}/turns", f"{root}/checkpoint", chat_state, f"{root}/chats")
+    return kept_up(chat_state(turns), "chat_id", f"{root}/chats", f"{root}/checkpoint")
 
 
 def stream_job_progress(events: DataFrame, root: str) -> StreamingQuery:
-    return folded(events, f"{root}/events", f"{root}/checkpoint", job_progress, f"{root}/jobs")
+    return kept_up(job_progress(events), "job_id", f"{root}/jobs", f"{root}/checkpoint")
 
 
 def stream_index(pages: DataFrame, documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -43,10 +70,3 @@ def stream_index(pages: DataFrame, documents: DataFrame, path: str, checkpoint:
         write_chunks(batch.sparkSession, with_document(chunk_pages(batch), documents), batch.select("document_id"), path)
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, state: str) -> DataFrame:
-    """The newest version of a state table."""
-    versions = spark.read.parquet(state)
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == newest).drop("v")
