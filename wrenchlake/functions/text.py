@@ -15,6 +15,8 @@ from .lexicon import CHART_CUES, DEFAULT, INTENTS, Lexicon
 
 PAGE_REF = r"(?i)page\s*0*(\d+)"
 CHUNK, OVERLAP = 900, 120
+#: The characters that count as white space.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def text(c: Column | str) -> Column:
@@ -23,7 +25,7 @@ def text(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def words_array(values) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.text import bound, chat_title, is_open_status, strip, text
 
+# The texts of labels, notes and stories below are fixed values: results must hold them word for word.
 STEP = "array<struct<test:string,result:string,notes:string,at:string>>"
 SOURCE = "array<struct<document_id:bigint,title:string,page:int,file_path:string,file_type:string,excerpt:string>>"
 

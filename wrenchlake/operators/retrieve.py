@@ -79,10 +79,12 @@ def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunk_score() -> Column:
-    """Score of a pair from its features; 1 for a question without terms."""
-    count = lambda t: (F.length("hay") - F.length(F.replace("hay", t, F.lit("")))) / F.length(t)
-    gain = lambda t: F.when(F.contains("hay", t), F.when(F.contains("title_kw", t), 4).otherwise(1) + F.least(count(t), F.lit(3)).cast("int")).otherwise(0)
-    total = F.aggregate("terms", F.lit(0), lambda acc, t: acc + gain(t))
+    """Score of a pair from its features; 1 for a question without terms.
+
+    Most terms do not occur: they cost one search each, and only the others are counted (in bytes, which are at hand)."""
+    count = lambda t: ((F.octet_length("hay") - F.octet_length(F.replace("hay", t, F.lit("")))) / F.octet_length(t)).cast("int")
+    found = F.filter("terms", lambda t: F.contains("hay", t))
+    total = F.aggregate(found, F.lit(0), lambda acc, t: acc + F.when(F.contains("title_kw", t), 4).otherwise(1) + F.least(count(t), F.lit(3)))
     total = total + F.when((F.col("model") != "") & F.contains("hay", F.col("model")), 8).otherwise(0) + F.col("signals") - F.when(F.col("is_index"), 3).otherwise(0)
     return F.when(F.size("terms") == 0, 1).otherwise(total)
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..operators import catalog, chunks, compliance, evidence, jobs, retrieve
 from ..sources import chunk_table, files, snapshot, tables
-from ..sources.steps import new_path, stored
+from ..sources.steps import new_path, spread, stored
 from .testviews import WORDS, Views, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,7 +237,7 @@ def _(v):
 @query("brand_lock", "SELECT query_id, count(*) AS n, min(id) AS first_id FROM {scored} GROUP BY 1")
 def _(v):
     r = RetrievalViews(v)
-    owned = retrieve.chunk_features(v.chunks, WORDS).select("id", "category_id", "brands")
+    owned = stored(retrieve.chunk_features(v.chunks, WORDS).select("id", "category_id", "brands"), "owned")
     return retrieve.candidates(r.q.select("query_id", "cat_ids", "asked"), owned).groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
@@ -733,7 +733,7 @@ def _(v):
 
 @query("offline_story", f"SELECT id, {STORY.format(open_sql(), 'concern', 'notes')} AS story FROM (SELECT id, concern, notes, lower(notes) AS t FROM (SELECT id, concern, {JOB_NOTES} AS notes FROM {{step_rows}}))")
 def _(v):
-    return v.jobs.select("id", jobs.offline_story(F.col("concern"), jobs.job_notes(), lexicon=WORDS).alias("story"))
+    return spread(v.jobs).select("id", jobs.offline_story(F.col("concern"), jobs.job_notes(), lexicon=WORDS).alias("story"))
 
 
 CHAT_NOTES = f"""SELECT c.id AS chat_id, coalesce(f.concern, '') AS concern, coalesce(t.tech, '(none)') AS tech, concat_ws(chr(10) || chr(10), CASE WHEN category_name <> '' THEN concat('Category: ', category_name) END, CASE WHEN model_text <> '' THEN concat('Model/System: ', model_text) END, concat('TECH REPORTED (only these are performed tests / readings / status):', chr(10), coalesce(t.tech, '(none)')), CASE WHEN h.coach <> '' THEN concat('COACH SUGGESTIONS (recommended only — do NOT treat as performed unless the tech later confirmed the result):', chr(10), h.coach) END) AS notes

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..operators.chunks import chunk_pages, page_source, with_document
+from ..sources.steps import spread
 
 #: The invented prose has no service words; these stand in for them.
 WORDS = Lexicon(
@@ -99,7 +100,8 @@ class Views:
         if name == "chunks":
             return with_document(self.page_chunks, self.library)
         if name not in VIEWS:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(table) if name == "documents" else table
         sql = VIEWS[name].replace("datediff('day', ", "datediff(DAY, ").replace(" AS TIMESTAMP)", " AS TIMESTAMP_NTZ)")
         used = {t: getattr(self, t) for t in re.findall(r"(?<!\{)\{(\w+)\}", sql)}
         return self.spark.sql(sql, **used)
