@@ -4,7 +4,7 @@ Method: a multi-index Hamming join of b-bit signatures.  A set's signature is ``
 ``CHUNKS`` longs of four entries.  Two signatures that differ in at most ``MOST_ERRORS`` = 2 * CHUNKS - 1 entries have, by
 pigeonhole, a chunk with one error or none; so each chunk is filed four times, each time without one of its entries, and the
 pair meets in one bucket at least.  All pairs under that distance are found; a pair at 85 % misses it with a chance of about
-1e-9.  Links are confirmed on the full sets.
+1.3e-8.  Links are confirmed on the full sets.
 
 Equal sets are one node.  Within a bucket each node is compared with the bucket's smallest node and then with its most typical
 one (the one with the smallest share of shingles that no other node has).  What that leaves in different components of one
@@ -13,8 +13,9 @@ lost, and members of a group that are linked already do not meet.  Components co
 
 Defined results: A-Z is lower-cased; fewer than ``k`` words make one shingle; null, empty and blank texts have no shingle, link
 with nothing and are kept; rows with null doc_id have component null and are kept; equal rows share their component, and
-``drop_near_duplicates`` leaves one row of each; rows with the same doc_id and other texts count as one node; empty tables
-give empty tables.
+``drop_near_duplicates`` leaves one row of each; rows with one doc_id and different texts are judged each by its text, and of
+each group the row with the smallest doc_id (of equal ones, the smallest hash of the text) stays; empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -67,17 +68,17 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, the set's hash (h1, h2) and its signature."""
+    """doc_id, k (hash of the text), n_shingles, the set's hash (h1, h2) and its signature."""
 
     def kernel(batch, texts):
         flips, factors = permutations()
         sets = shingle_sets(texts, k)
         sig = np.stack([signature(s, flips, factors) for s in sets]) if sets else np.empty((0, CHUNKS), np.int64)
         hashes = np.array([set_hash(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-        return {"doc_id": column(batch, "doc_id"), "n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "h1": hashes[:, 0], "h2": hashes[:, 1], **{c: sig[:, i] for i, c in enumerate(SIGNATURE)}}
+        return {"doc_id": column(batch, "doc_id"), "k": column(batch, "k"), "n_shingles": np.array([len(s) for s in sets], dtype=np.int64), "h1": hashes[:, 0], "h2": hashes[:, 1], **{c: sig[:, i] for i, c in enumerate(SIGNATURE)}}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return scan(rows, "doc_id long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SIGNATURE), kernel)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.col("text").cast("string").alias("text"))
+    return scan(rows, "doc_id long, k long, n_shingles long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SIGNATURE), kernel)
 
 
 def differing(a: str, b: str) -> list[Column]:
@@ -143,12 +144,22 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> D
     def kernel(batch, texts):
         sets = shingle_sets(texts, k)
         hashes = np.array([set_hash(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-        return {"node": column(batch, "node"), "g1": hashes[:, 0], "g2": hashes[:, 1], "shingles": [s.tobytes() for s in sets]}
+        return {"id": column(batch, "id"), "h1": hashes[:, 0], "h2": hashes[:, 1], "shingles": [s.tobytes() for s in sets]}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = scan(texts.join(wanted, "node", "left_semi"), "node long, g1 long, g2 long, shingles binary", kernel)
-    own = nodes.select("node", F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    return stored(sets.join(own, ["node", "g1", "g2"], "left_semi").dropDuplicates(["node"]), "sets")
+    own = nodes.select("node", "id", "h1", "h2").join(wanted, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    sets = scan(texts.join(own.select("id").distinct(), "id", "left_semi"), "id long, h1 long, h2 long, shingles binary", kernel)
+    return stored(sets.join(own, ["id", "h1", "h2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+
+def numbered(sets: DataFrame) -> DataFrame:
+    """Adds a node number to the sets (id, h1, h2): the smallest doc_id that has it, or, where other sets have the same one, a
+    negative number of its hash."""
+    twins = stored(sets.groupBy("id").count().where("count > 1").select("id"), "twins")
+    if twins.isEmpty():
+        return sets.withColumn("node", F.col("id"))
+    named = sets.join(twins.withColumn("twin", F.lit(True)), "id", "left")
+    return named.withColumn("node", F.when(F.col("twin"), -1 - F.shiftrightunsigned("h1", 1)).otherwise(F.col("id"))).drop("twin")
 
 
 def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -193,11 +204,18 @@ def joined(links: DataFrame, more: DataFrame, groups: DataFrame) -> tuple[DataFr
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
+    return placed_documents(docs, percent, k).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def placed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """doc_id, k (hash of the text), n_shingles, component_id and the component's own number (two components of texts that share
+    their smallest doc_id have one component_id) of each document."""
     signed = stored(signatures(docs, k), "signatures")
-    nodes = stored(
-        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("n_shingles", *SIGNATURE)]),
+    sets = stored(
+        signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("n_shingles", *SIGNATURE)]),
         "nodes",
     )
+    nodes = numbered(sets)
     filed = nodes.select("node", F.posexplode(bucket_keys()).alias("slot", "key"))
     buckets = stored(filed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "buckets")
     shared = stored(filed.join(buckets, "key"), "filed")
@@ -230,18 +248,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
         rest = stored(x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "rest")
         links, groups = joined(links, stored(confirmed(rest, sets, percent), "confirmed"), groups)
 
-    placed = stored(nodes.select("h1", "h2", "node").join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id")), "placed")
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
+    placed = stored(nodes.select("h1", "h2", "id", "node").join(groups, "node", "left").select("h1", "h2", "id", F.coalesce("component", "node").alias("component")), "placed")
+    if placed.where("component < 0").isEmpty():
+        placed = placed.withColumn("component_id", F.col("component"))
+    else:  # some nodes have no doc_id for a number: components are named after their smallest doc_id
+        least = stored(placed.groupBy("component").agg(F.min("id").alias("component_id")), "least")
+        placed = placed.join(least, "component")
+    out = signed.select("doc_id", "k", "n_shingles", "h1", "h2").join(placed.select("h1", "h2", "component", "component_id"), ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "k", "n_shingles", component.alias("component_id"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """``docs`` with one row of each group of near copies."""
-    name = unused(docs, "keep")
-    keep = stored(near_duplicates(docs, percent, k).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "keep")
-    named = docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id IS NULL"))
+    a, b = unused(docs, "keep"), unused(docs, "keep_text")
+    rows = placed_documents(docs, percent, k).where("doc_id IS NOT NULL AND (n_shingles = 0 OR doc_id = component_id)")
+    # Of a group, the smallest text of its smallest doc_id; texts without a shingle are groups of their own.
+    own = F.when(F.col("n_shingles") == 0, F.col("k"))
+    keep = stored(rows.groupBy("component_id", "component", own.alias("own")).agg(F.min("k").alias(b)).select(F.col("component_id").alias(a), b).distinct(), "keep")
+    named = docs.where("doc_id IS NOT NULL").withColumn(b, F.xxhash64("text"))
+    kept = named.join(keep, (F.col("doc_id").cast("long") == F.col(a)) & (named[b] == keep[b]), "left_semi").dropDuplicates(["doc_id", b]).drop(b)
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
