@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_gam import repeated_words, sample_labels
-from .text import Block, byte_tables, column, mix, scan
+from .text import Block, byte_tables, column, mix, range_hash, scan
 
 BITS = 17
 BUCKETS = 1 << BITS
+CHARS = 4
 MAX_TRAIN_ROWS = 3_000
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -52,17 +53,22 @@ def base_counts(block: Block, texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def hashed(block: Block) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Buckets and documents of the word features (words and word pairs), and of the character features."""
+    """Buckets and documents of the word features (words and word pairs), and of the character features
+    (runs of CHARS characters)."""
     doc, words = block.words()[2], block.word_hashes()
     shift = np.uint64(64 - BITS)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     pairs = mix(words[pair] * np.uint64(3) + words[pair + 1]) >> shift
-    b = block.bytes.astype(np.uint32)
-    runs = (b[:-3] | (b[1:-2] << 8) | (b[2:-1] << 16) | (b[3:] << 24)) if len(b) > 3 else np.empty(0, np.uint32)
-    sizes = np.maximum(block.ends - block.starts - 3, 0)
-    from_ = np.repeat(block.starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    chars = ((runs * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))[from_]
-    return (np.concatenate((words >> shift, pairs)).astype(np.int64), np.concatenate((doc, doc[pair]))), (chars.astype(np.int64), np.repeat(np.arange(block.n), sizes))
+    first, of = characters(block)
+    at = np.flatnonzero(of[:-CHARS] == of[CHARS:]) if len(of) > CHARS else np.empty(0, np.int64)
+    chars = range_hash(byte_tables()["value"][block.bytes], first[at], first[at + CHARS]) >> shift
+    return (np.concatenate((words >> shift, pairs)).astype(np.int64), np.concatenate((doc, doc[pair]))), (chars.astype(np.int64), of[at])
+
+
+def characters(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and document of each character (code point); the space behind a document is its last one."""
+    first = np.flatnonzero((block.bytes & 0xC0) != 0x80)
+    return first, np.searchsorted(block.starts, first, side="right") - 1
 
 
 @dataclass
