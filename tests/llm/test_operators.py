@@ -212,6 +212,23 @@ def test_near_dedup_of_odd_rows(docs, wide, empty):
     assert near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_of_one_id_with_several_texts(spark):
+    other = prose(120, 71)
+    rows = [(5, BASE), (5, other), (6, edited(BASE, 1, 72)), (7, edited(other, 1, 73)), (8, prose(90, 74)), (8, prose(90, 75)), (9, ""), (9, " "), (5, BASE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect())
+    assert got == collections.Counter({(5, 5): 3, (6, 5): 1, (7, 5): 1, (8, 8): 2, (9, 9): 2})
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(df).collect())
+    assert kept == collections.Counter({(i, t): 1 for i, t in {(5, BASE), (5, other), (8, rows[4][1]), (8, rows[5][1]), (9, ""), (9, " ")}})
+
+
+def test_components_at_a_hub(spark):
+    """A hot node's links stay where they are: no shuffle by it reads more than a part of them."""
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1000) for i in range(1, 400)] + [(5000, 5001), (5001, 5002)]
+    got = {r.node: r.component for r in store.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(400), *range(1001, 1400)], 0), 5000: 5000, 5001: 5000, 5002: 5000}
+
+
 def test_signature_distance_counts_entries(spark):
     a, b = [0] * near_dedup.CHUNKS, [0] * near_dedup.CHUNKS
     b[0], b[3] = 0x0001_0000_8000_0001 - (1 << 63) + (1 << 63), -1
@@ -359,6 +376,70 @@ def test_classifiers_without_usable_labels(spark, docs, empty):
     assert rules.words is None and quality_rules.quality_rules(empty, rules).count() == 0
 
 
+def test_character_features_are_runs_of_characters():
+    texts = ["añb\U0001f600cd", "", "abc", "añb\U0001f600", "日本語日本語日"]
+    block = text.Block([t.encode() for t in texts])
+    (_, _), (at, of) = quality_rules.hashed(block)
+    want = [[t[i : i + 4] for i in range(len(t) - 3)] for t in texts]
+    assert np.bincount(of, minlength=len(texts)).tolist() == [len(w) for w in want]
+    bucket = {}
+    for w, b in zip([x for ws in want for x in ws], at.tolist(), strict=True):
+        assert bucket.setdefault(w, b) == b
+    assert at[0] == at[3] and len(set(bucket.values())) == len(bucket)
+
+
+def plain_score(model, values):
+    """The additive model by its definition: the table entry of each feature's bin and of each pair of bins, one by one."""
+    bin_of = lambda cuts, v: sum(c <= v for c in cuts)
+    total = model.base + sum(model.single[f][bin_of(model.cuts[f], v)] for f, v in enumerate(values))
+    total += sum(t[bin_of(model.coarse[i], values[i]), bin_of(model.coarse[j], values[j])] for i, j, t in model.pairs)
+    return 1 / (1 + np.exp(-total))
+
+
+def plain_features(t):
+    """The features that are counts, from the text itself."""
+    w, letters = t.encode().split(), [c for c in t if c.isascii() and c.isalpha()]
+    spread = max(len([x for x in t.encode() if x not in b" \t\n\v\f\r"]), 1)
+    share = lambda chars: sum(t.count(c) for c in chars) / spread
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / max(len(w), 1), share("#*$%&|<>"), sum(c.isupper() for c in letters) / max(len(letters), 1), share("!"), share("0123456789"),
+        None, len(set(w)) / max(len(w), 1), sum(len(x) == 1 for x in w) / max(len(w), 1), share(".,;:?"), sum(x >= 128 for x in t.encode()) / spread, np.log1p(max(map(len, w), default=0)),
+        np.log1p(len(w) / (t.count("\n") + 1)), None,
+    ]
+
+
+def test_quality_scores_equal_the_plain_model(spark, small):
+    documents, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_gam.fit(documents, labels)
+    assert model.pairs and len(model.single) == len(quality_gam.FEATURES)
+    text_of = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    odd = {-1 - i: t or "" for i, t in enumerate(TEXTS)}
+    for t in [*text_of.values(), *odd.values()]:
+        got = quality_gam.features([t.encode()])[0]
+        assert all(b is None or abs(a - b) < 1e-9 for a, b in zip(got, plain_features(t), strict=True)), t[:80]
+        assert abs(model.score(got[None])[0] - plain_score(model, got)) < 1e-9
+    got = quality_gam.op7_quality_classifier(spark, small).collect()
+    assert all(abs(r.score - plain_score(model, quality_gam.features([text_of[r.doc_id].encode()])[0])) < 1e-9 for r in got)
+
+
+def test_quality_scores_of_odd_rows(spark, docs, wide, empty, tmp_path):
+    """Null and empty texts, very long ones, ties, repeated rows, other columns, an empty table: a row in, a row out."""
+    labels = spark.createDataFrame([(i, int(len(TEXTS[i] or "") > 900)) for i in range(len(TEXTS))] + [(9, 1), (None, 1)], "doc_id long, quality int").withColumn("toxic", F.lit(0))
+    for name, df in (("whole", docs), ("wide", wide), ("none", empty)):
+        (df if name == "wide" else df.withColumn("lang", F.lit("en"))).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = quality_gam.op7_quality_classifier(spark, f"{tmp_path}/whole").collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in ROWS)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    score = collections.defaultdict(set)
+    for r in got:
+        score[r.doc_id].add(r.score)
+    assert score[0] == score[1] == score[2] or len(score[0] | score[1]) == 1  # null counts as empty
+    assert len(score[3] | score[4]) == 1 and len(score[9] | score[10]) == 1  # equal texts tie
+    assert counted(quality_gam.op7_quality_classifier(spark, f"{tmp_path}/wide"), "doc_id", "score") == counted(quality_gam.op7_quality_classifier(spark, f"{tmp_path}/whole"), "doc_id", "score")
+    assert quality_gam.op7_quality_classifier(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_filter_keeps_columns(spark, wide):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     out = quality_gam.keep_good(wide, quality_gam.fit(wide, labels), 0.0)
@@ -440,6 +521,11 @@ def test_lm_tells_garbled_and_shuffled_rare_words(spark):
     assert max(got.values()) < 0
 
 
+def test_lm_scores_ignore_other_columns(spark, docs, wide):
+    one, two = ({(r.doc_id, r.n_tokens, round(r.log_likelihood, 6)) for r in lm_score.scores(df).collect()} for df in (docs, wide.withColumns({"k": F.lit(1), "n": F.lit(2), "part": F.lit(3)})))
+    assert one == two
+
+
 # ---- op9
 
 
@@ -584,7 +670,7 @@ def test_url_rules_and_aliases(spark):
         (2, "https://b.example.net/en/q?x=1", ""),
         (3, "http://other.info/page", '<LINK rel="canonical" href="http://a.net/x">'),
         (4, "http://m.other.info/page/", None),
-        (5, "http://both.info/1", '<meta http-equiv="refresh" content="0; url=http://other.info/page"><link rel=canonical href=https://b.example.net/en/q>'),
+        (5, "http://both.info/1", '<meta http-equiv="refresh" content="0; url=http://other.info/page"><link rel=canonical href=https://b.example.net/en/q?x=1>'),
         (6, None, "<p>"),
         (7, "no scheme", None),
         (8, "ftp://EXAMPLE.com/de/a#f", None),
@@ -597,11 +683,80 @@ def test_url_rules_and_aliases(spark):
     assert got[3][3] == got[4][3] == got[5][3] == "allow"  # one component with an allowed member
     assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow")
     assert got[8] == ("example.com", "/de/a", "example.com/de/", "block") and got[9] == ("net", "", None, "allow") and got[10][2:] == (None, "allow")
-    blocked = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages.where("page_id <> 5 AND page_id <> 2")).collect()}
-    assert blocked[3] == blocked[4] == "block"
+    some = pages.where("page_id <> 5 AND page_id <> 2")
+    verdicts = lambda df, **more: {r.page_id: r.verdict for r in url_filter.url_verdicts(df, **more).collect()}
+    assert verdicts(some)[3] == "block" and verdicts(some)[4] == "allow"
+    assert verdicts(some, mirrors=True)[3] == verdicts(some, mirrors=True)[4] == "block"
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
     given = spark.createDataFrame([("http://x.org", "http://a.net/x")], "a string, b string")
-    assert {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, given).collect()}[10] == "allow"
+    assert verdicts(pages.where("page_id in (1, 10)"), edges=given)[10] == "block"
+    twice = pages.union(pages).withColumns({"form": F.lit("f"), "part": F.lit("p"), "rule": F.lit("r")})
+    assert counted(url_filter.url_verdicts(twice), "page_id", "verdict") == collections.Counter({(i, v[3]): 2 for i, v in got.items()})
+    other = [("info", "/page", "block")]
+    assert {r.page_id: r.rule for r in url_filter.url_verdicts(pages, rules=other).collect()}[3] == "info/page"
+
+
+@pytest.mark.parametrize("target", ["../g", "g?y=1", "./a/../b", "/top/x", "//h.org/p", "?q=2", "#frag", "", "mailto:x@y", "HTTPS://Z.Info/a#b", "..", "a/..", "/../x", "g;x=1/./y"])
+def test_link_targets_are_resolved(spark, target):
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    page = "http://Host.info/b/c/d?q=1#f"
+    row = spark.createDataFrame([(page, target)], "p string, t string").select(url_filter.address(url_filter.resolved(F.col("t"), F.col("p"))).alias("u")).first()
+    want = urldefrag(urljoin(page, target))[0] if target and not target.startswith("#") and not target.startswith("mailto:") else None
+    if want is not None:
+        parts = urlsplit(want)
+        want = f"{parts.scheme}://{parts.netloc.lower()}{parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
+    assert row.u == want
+
+
+def test_url_verdicts_over_injected_links(spark):
+    """Random links on pages of many hosts, against a search from every page, and against the SQL."""
+    import duckdb
+
+    from wrenchlake.llm.queries import ORACLE
+
+    r = random.Random(41)
+    hosts = [f"h{i}.info" for i in range(60)] + ["a.net", "x.example.net", "example.com", "q.org"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en/', 'de/', 'fr/', ''])}p{i}" for i in range(160)]
+    html, edges = {}, []
+    for i, u in enumerate(urls):
+        html[u] = "<p>"
+        if r.random() < 0.5:
+            v = r.choice(urls)
+            same = u.split("/")[2] == v.split("/")[2]
+            target = "/" + v.split("/", 3)[3] if same else v if r.random() < 0.7 else v.removeprefix("http:")
+            html[u] = r.choice(['<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='3;url={}'>", '<meta property="og:url" content="{}"/>']).format(target)
+            edges.append((u, v))
+    near = collections.defaultdict(set)
+    for u, v in edges:
+        near[u].add(v)
+        near[v].add(u)
+
+    def ruling(u):
+        host, path = u.split("/")[2], "/" + u.split("/", 3)[3]
+        fits = [(len(h), len(p), w == "allow", w) for h, p, w in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[3] if fits else None
+
+    def verdict(u):
+        if ruling(u):
+            return ruling(u)
+        seen, todo = {u}, [u]
+        while todo:
+            todo = [y for x in todo for y in near[x] if y not in seen and not seen.add(y)]
+        said = {ruling(x) for x in seen}
+        return "block" if "allow" not in said and "block" in said else "allow"
+
+    rows = [(i, u, html[u]) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.verdict for x in url_filter.url_verdicts(pages).collect()}
+    assert got == {i: verdict(u) for i, u in enumerate(urls)}
+    assert sum(v == "block" and ruling(urls[i]) is None for i, v in got.items()) > 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    done = con.execute(ORACLE["op8_url_filters"])
+    names = [c[0] for c in done.description]
+    assert {x[names.index("page_id")]: x[names.index("verdict")] for x in done.fetchall()} == got
 
 
 # ---- op10
@@ -625,6 +780,14 @@ def test_sharding(spark, docs, tmp_path):
     assert sharding.shards(rows.limit(0)).count() == 0
 
 
+def test_sharding_ignores_other_columns_and_takes_few_rows(docs, wide):
+    more = {c: F.lit(1) for c in ("digest", "_range", "_n", "r", "at", "shard", "slot", "fraction", "size")}
+    one = counted(sharding.shards(docs.withColumn("source", F.lit("s"))), "doc_id", "text_crc32", "shard", "slot")
+    assert one == counted(sharding.shards(wide.withColumn("source", F.lit("s")).withColumns(more)), "doc_id", "text_crc32", "shard", "slot")
+    few = sharding.shards(docs.where("doc_id IN (5, 6, 7)").withColumn("source", F.lit(None).cast("string"))).collect()
+    assert len(few) == 3 and all(r.slot == 0 for r in few)
+
+
 def test_sharding_does_not_depend_on_partitions(docs):
     rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("source", F.lit("s"))
     once = {(r.doc_id, r.shard, r.slot) for r in sharding.shards(rows.repartition(1)).collect()}

@@ -11,7 +11,7 @@ from .quality_rules import op1_quality_rules
 from .sharding import op10_stratified_sharding
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
-from .url_filter import op8_url_filters
+from .url_filter import CANONICAL, CONTENT, HREF, OG_URL, REFRESH, REFRESHED, op8_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -31,21 +31,51 @@ ORACLE: dict[str, str] = {}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _low(text: str) -> str:
+    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+
+
+def _rest(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+
+
+def _part(url: str, pattern: str) -> str:
+    return f"regexp_extract({_rest(url)}, '(?s){pattern}', 1)"
+
+
+HOST, PATH, QUERY = "^([^/?#]*)", "^[^/?#]*([^?#]*)", "^[^?#]*(\\?[^#]*)"
+
+
 def _form(url: str) -> str:
-    rest = f"substr({url}, instr({url}, '://') + 3)"
-    host = f"regexp_replace(translate(regexp_extract({rest}, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '^((www|m)\\.)+', '')"
-    path = f"regexp_replace(regexp_extract({rest}, '(?s)^[^/?#]*([^?#]*)', 1), '(\\.html?|/)+$', '')"
-    return f"CASE WHEN instr({url}, '://') > 0 THEN {host} || {path} END"
+    scheme = f"regexp_extract({url}, '(?s)^(.*?)://', 1)"
+    return f"CASE WHEN instr({url}, '://') > 0 THEN concat({_low(scheme)}, '://', {_low(_part(url, HOST))}, coalesce(nullif({_part(url, PATH)}, ''), '/'), {_part(url, QUERY)}) END"
+
+
+def _without_dots(path: str) -> str:
+    done = f"list_reduce(list_concat([''], string_split({path}, '/')[2:]), lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN s = '.' THEN acc ELSE concat(acc, '/', s) END)"
+    return f"concat({done}, CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END)"
+
+
+def _resolved(t: str, page: str) -> str:
+    top = f"concat(regexp_extract({page}, '(?s)^(.*?)://', 1), '://', {_part(page, HOST)})"
+    bare, tail = f"regexp_extract({t}, '(?s)^([^?#]*)', 1)", f"regexp_extract({t}, '(?s)^[^?#]*(.*)', 1)"
+    folder = f"concat(regexp_extract({_part(page, PATH)}, '(?s)^(.*)/', 1), '/')"
+    return f"""CASE WHEN {t} = '' OR {t} LIKE '#%' OR instr({page}, '://') = 0 THEN NULL WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+        WHEN {t} LIKE '//%' THEN concat(regexp_extract({page}, '(?s)^(.*?)://', 1), ':', {t}) WHEN {t} LIKE '/%' THEN concat({top}, {_without_dots(bare)}, {tail}) WHEN {t} LIKE '?%' THEN concat({top}, {_part(page, PATH)}, {t}) ELSE concat({top}, {_without_dots(f'concat({folder}, {bare})')}, {tail}) END"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'(?is)" + pattern.replace('\\"', '"').replace("'", "''") + "'"
 
 
 ORACLE["op8_url_filters"] = f"""
-WITH RECURSIVE p AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, {_form('url')} AS form FROM pages),
-h AS (SELECT page_id, form, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+WITH RECURSIVE h AS (SELECT page_id, url, html, {_form('url')} AS form, coalesce({_low(_part('url', HOST))}, '') AS host, coalesce({_part('url', PATH)}, '') AS path FROM pages),
 r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' END AS rule FROM h),
 j AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruling FROM r),
-tags AS (SELECT form, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE form IS NOT NULL),
-targets AS (SELECT form AS a, regexp_extract(tag, '(?is)(?:href|content)\\s*=\\s*["'']?[^"''>]*?(https?://[^"''>\\s]+)', 1) AS t FROM tags WHERE regexp_matches(tag, '(?is)rel\\s*=\\s*["'']?canonical|http-equiv\\s*=\\s*["'']?refresh|property\\s*=\\s*["'']?og:url')),
-edges AS (SELECT a, {_form('t')} AS b FROM targets WHERE t <> ''),
+tags AS (SELECT url, form, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM h WHERE form IS NOT NULL),
+targets AS (SELECT url, form, CASE WHEN regexp_matches(tag, {_quoted(CANONICAL)}) THEN regexp_extract(tag, {_quoted(HREF)}, 1) WHEN regexp_matches(tag, {_quoted(REFRESH)}) THEN regexp_extract(tag, {_quoted(REFRESHED)}, 1) WHEN regexp_matches(tag, {_quoted(OG_URL)}) THEN regexp_extract(tag, {_quoted(CONTENT)}, 1) ELSE '' END AS t FROM tags),
+full_targets AS (SELECT form AS a, {_resolved('t', 'url')} AS u FROM targets),
+edges AS (SELECT a, {_form('u')} AS b FROM full_targets WHERE u IS NOT NULL),
 both_ways AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
 reach AS (SELECT DISTINCT form AS a, form AS b FROM h WHERE form IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
 found AS (SELECT reach.a AS form, min(CASE WHEN j.ruling = 'allow' THEN 0 ELSE 1 END) AS least FROM reach JOIN j ON j.form = reach.b AND j.ruling IS NOT NULL GROUP BY 1)
