@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it.  All stages but the last return
 the columns of documents.
+
+Defined results: null text counts as empty, and an empty text passes if its score does; very long texts are treated whole; of
+equal rows one stays; rows of one doc_id with different texts are judged each by its text; rows with null doc_id are never near
+duplicates and stay; ties go to the smallest doc_id; other columns are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
