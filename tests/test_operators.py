@@ -162,3 +162,31 @@ def test_index_report_notes(spark):
     made = spark.createDataFrame([(1, 1), (1, 1), (1, 4)], "document_id long, page int")
     got = {r.id: (r.indexed, r.index_note) for r in chunks.index_document_report(docs, made).collect()}
     assert got == {1: (True, "Indexed 3 chunks from 2 pages"), 2: (False, chunks.NOT_PDF), 3: (False, chunks.NO_TEXT)}
+
+
+def test_missing_acks_of_odd_ids(spark):
+    """Null, negative and repeated meeting ids, orphans, repeated and null acknowledgements, as a plain loop has them."""
+    users = [(1, True), (2, True), (3, False), (4, True)]
+    meetings = [(0, "a"), (63, "b"), (64, "c"), (-1, "d"), (-64, "e"), (5000, "f"), (64, "again"), (None, "no id")]
+    acks = [(1, 0), (1, 0), (1, -1), (1, 777), (2, 64), (2, None), (None, 63), (9, 0), (3, 63)]
+    frames = (spark.createDataFrame(users, "id long, is_active boolean"), spark.createDataFrame(meetings, "id long, title string"), spark.createDataFrame(acks, "user_id long, meeting_id long"))
+    got = sorted(map(str, compliance.missing_acks(*frames).collect()))
+    signed = set(acks)
+    want = [f"Row(user_id={u}, meeting_id={m}, title={t!r})" for u, on in users if on for m, t in meetings if m is None or (u, m) not in signed]
+    assert got == sorted(want)
+    plan = compliance.missing_acks(*frames)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    none = spark.createDataFrame([], "id long, title string")
+    assert compliance.missing_acks(frames[0], none, frames[2]).collect() == []
+
+
+def test_visibility_is_held_by_class(spark):
+    """Classes hold each row twice at most, however many managers there are, and expand to what each viewer sees."""
+    users = spark.createDataFrame([(i, "Manager" if i % 2 else ["Tech", None][i % 4 // 2]) for i in range(40)], "id long, role string")
+    rows = spark.createDataFrame([(n, n % 7 if n % 5 else None) for n in range(60)], "id long, user_id long")
+    assert jobs.class_rows(rows).count() == 60 + rows.where("user_id IS NOT NULL").count()
+    assert jobs.visibility(users).count() == 40
+    got = sorted((r.viewer_id, r.id) for r in jobs.visible_to(users, rows).collect())
+    assert got == sorted((u.id, r.id) for u in users.collect() for r in rows.collect() if u.role == "Manager" or r.user_id == u.id)
+    counts = jobs.seen_by(users, jobs.per_class(rows, F.count("*").alias("n"))).collect()
+    assert {r.viewer_id: r.n for r in counts} == {u: sum(x == u for x, _ in got) for u, _ in got}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,13 +25,44 @@ def safety_progress(users: DataFrame, meetings: DataFrame, acks: DataFrame) -> D
     return users.select("id").join(rows, "id", "left").join(real, "id", "left").crossJoin(F.broadcast(total)).select("id", share("signed").alias("progress"), share("met").alias("progress_distinct"))
 
 
+def bits(ids: Column) -> Column:
+    """Aggregate of the ids of one word (``word_of``) as a mask of 64 bits: bit id mod 64 is set."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(ids, F.lit(64)).cast("int")))
+
+
+def word_of(ids: Column) -> Column:
+    return F.shiftright(ids.cast("long"), 6)
+
+
+def ids_of(word: Column, mask: Column) -> Column:
+    """The ids whose bits are set in a mask of 64."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("bit_get", mask, b) == 1)
+    return F.transform(held, lambda b: word * 64 + b)
+
+
+def signed_words(acks: DataFrame) -> DataFrame:
+    """(user_id, signed): a map from word to the mask of the meetings that a user has signed.  Repeats fall together on the map
+    side, and a user's row is an eighth of a byte for each meeting."""
+    words = acks.where("user_id IS NOT NULL AND meeting_id IS NOT NULL").groupBy("user_id", word_of(F.col("meeting_id")).alias("word")).agg(bits(F.col("meeting_id")).alias("mask"))
+    return words.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("signed"))
+
+
 def missing_acks(users: DataFrame, meetings: DataFrame, acks: DataFrame) -> DataFrame:
     """(user_id, meeting_id, title) of each active user's meetings without an acknowledgement.
 
-    The result itself has up to users x meetings rows; what was acknowledged is removed by a join on both keys.
-    """
-    pairs = users.where("is_active").select(F.col("id").alias("user_id")).crossJoin(meetings.select(F.col("id").alias("meeting_id"), "title"))
-    return pairs.join(acks.select("user_id", "meeting_id").distinct(), ["user_id", "meeting_id"], "left_anti").select("user_id", "meeting_id", "title")
+    What a user has signed is taken from the bits of all meetings, and only the bits that are left become rows; users are never
+    paired with meetings.  A meeting without an id cannot be signed, so each user misses it; acknowledgements of unknown
+    meetings or users count for nothing."""
+    held = meetings.where("id IS NOT NULL").groupBy(word_of(F.col("id")).alias("word")).agg(bits(F.col("id")).alias("mask"))
+    every = held.agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("words")).scalar()
+    rows = users.where("is_active").select(F.col("id").alias("user_id")).join(signed_words(acks), "user_id", "left").withColumn("every", every)
+    left = F.transform("every", lambda e: F.struct(e["word"].alias("word"), e["mask"].bitwiseAND(F.bitwise_not(F.coalesce(F.try_element_at("signed", e["word"]), F.lit(0).cast("long")))).alias("mask")))
+    rows = rows.select("user_id", F.explode(F.filter(left, lambda e: e["mask"] != 0)).alias("e"))
+    rows = rows.select("user_id", F.explode(ids_of(F.col("e.word"), F.col("e.mask"))).alias("meeting_id"))
+    named = rows.join(meetings.select(F.col("id").alias("meeting_id"), "title"), "meeting_id").select("user_id", "meeting_id", "title")
+    unnumbered = meetings.where("id IS NULL").agg(F.collect_list(F.struct(F.col("id").cast("long").alias("meeting_id"), "title"))).scalar()
+    odd = users.where("is_active").select(F.col("id").alias("user_id"), F.explode(unnumbered).alias("m")).select("user_id", "m.*")
+    return named.unionByName(odd)
 
 
 def ack_status(users: DataFrame, meetings: DataFrame, acks: DataFrame) -> DataFrame:

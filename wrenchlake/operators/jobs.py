@@ -18,15 +18,37 @@ def with_owner(rows: DataFrame, users: DataFrame, unknown: str = "Unknown") -> D
     return rows.join(names, "user_id", "left").withColumn("owner", F.coalesce("owner", F.lit(unknown)))
 
 
+def visibility(viewers: DataFrame) -> DataFrame:
+    """(viewer_id, sees_all, class_user): the class of rows that each viewer sees.  Managers share one class, that of all rows;
+    everyone else sees the class of their own rows.  One row a viewer, so what all managers see is held once."""
+    everything = F.col("role").eqNullSafe(F.lit("Manager"))
+    return viewers.select(F.col("id").alias("viewer_id"), everything.alias("sees_all"), F.when(~everything, F.col("id")).alias("class_user"))
+
+
+def class_rows(rows: DataFrame) -> DataFrame:
+    """Each row under its classes: that of all rows (class_user null) and that of its owner."""
+    return rows.withColumn("sees_all", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("class_user", F.when(~F.col("sees_all"), F.col("user_id"))).where("sees_all OR class_user IS NOT NULL")
+
+
+def per_class(rows: DataFrame, *aggregates: Column) -> DataFrame:
+    """Aggregates over the rows of each class: (sees_all, class_user, ...)."""
+    every = rows.agg(*aggregates).select(F.lit(True).alias("sees_all"), F.lit(None).cast(rows.schema["user_id"].dataType).alias("class_user"), "*")
+    own = rows.where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("class_user")).agg(*aggregates).withColumn("sees_all", F.lit(False))
+    return every.unionByName(own)
+
+
+def seen_by(viewers: DataFrame, classes: DataFrame) -> DataFrame:
+    """What ``classes`` (a result by class) holds for each viewer."""
+    who = visibility(viewers).alias("w")
+    same = F.col("w.sees_all").eqNullSafe(F.col("c.sees_all")) & F.col("w.class_user").eqNullSafe(F.col("c.class_user"))
+    return who.join(classes.alias("c"), same).select("w.viewer_id", *[f"c.{c}" for c in classes.columns if c not in ("sees_all", "class_user")])
+
+
 def visible_to(viewers: DataFrame, rows: DataFrame) -> DataFrame:
-    """viewer_id with each row that the viewer may see: managers see all, others their own.
+    """viewer_id with each row that the viewer may see: the classes expanded, for those who ask for the rows themselves.
 
-    Two branches: an equi-join for the others, and every row for each manager, which is what the result holds.
-    """
-    who = viewers.select(F.col("id").alias("viewer_id"), "role")
-    own = who.where("role IS DISTINCT FROM 'Manager'").join(rows, F.col("viewer_id") == F.col("user_id"))
-    every = who.where("role = 'Manager'").crossJoin(rows)
-    return own.unionByName(every).select("viewer_id", *rows.columns)
+    The result holds all rows for each manager, so ask for the viewers that are needed; reports work on ``per_class``."""
+    return seen_by(viewers, class_rows(rows)).select("viewer_id", *rows.columns)
 
 
 def latest_job_per_wo(jobs: DataFrame) -> DataFrame:
@@ -35,6 +57,12 @@ def latest_job_per_wo(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def latest_job_per_wo_and_class(jobs: DataFrame) -> DataFrame:
+    """The newest job of each work order among all jobs, and among each user's own: what a manager and what the user sees."""
+    newest = Window.partitionBy("sees_all", "class_user", "wo_number").orderBy(F.desc("updated_date"), F.desc("id"))
+    return class_rows(jobs).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
 def recent(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.desc("updated_date"), F.desc("id")).limit(n)
 

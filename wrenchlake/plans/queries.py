@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..operators import catalog, chunks, compliance, evidence, jobs, retrieve
+from ..operators import catalog, chunks, compliance, evidence, jobs, matching, retrieve
 from ..sources import chunk_table, files, snapshot, tables
 from ..sources.steps import new_path, spread, stored
 from .testviews import WORDS, Views, duck
@@ -254,9 +254,53 @@ def _(v):
     return catalog.safety_doc_search(v.library, "th lang-en").select("id", "title")
 
 
+HAY = "lower(concat_ws(' ', coalesce(title, ''), coalesce(keywords, '')))"
+SEARCHES = "SELECT p_partkey AS search_id, concat(CASE WHEN p_partkey % 40 = 0 THEN ' ' WHEN p_partkey % 3 = 0 THEN 'LANG-en ' ELSE '' END, CASE WHEN p_partkey % 40 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'x' ELSE substr(p_name, 2, 4) END) AS needle FROM {part}"
+FOUND = f"SELECT s.search_id, l.id FROM ({SEARCHES}) s JOIN (SELECT id, {HAY} AS hay FROM {{library}}) l ON len(list_filter(regexp_split_to_array(lower(s.needle), '\\s+'), lambda t: t <> '' AND NOT contains(l.hay, t))) = 0"
+
+
+def part_searches(v) -> DataFrame:
+    return v.spark.sql(SEARCHES, part=v.part)
+
+
+@query("library_searches", FOUND)
+def _(v):
+    return matching.searched(v.library.select("id", F.expr(HAY).alias("text")), part_searches(v))
+
+
+@query("library_searches_by_file", FOUND)
+def _(v):
+    path = new_path(v.spark, "library")
+    v.library.select("id", "title", "keywords").repartitionByRange(32, "keywords", "title").write.parquet(path)
+    signatures = stored(matching.file_signatures(v.spark.read.parquet(path), F.expr(HAY)), "signatures")
+    return matching.search_files(v.spark, path, signatures, part_searches(v), "id", F.expr(HAY))[0]
+
+
 @query("visible_to", "SELECT u.id AS viewer_id, count(*) AS n, min(j.id) AS first_id FROM {users} u JOIN {jobs} j ON u.role = 'Manager' OR j.user_id = u.id GROUP BY 1")
 def _(v):
-    return jobs.visible_to(v.users, v.jobs.select("id", "user_id")).groupBy("viewer_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    classes = jobs.per_class(v.jobs.select("id", "user_id"), F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return jobs.seen_by(v.users, classes).where("n > 0")
+
+
+@query("visible_rows", "SELECT u.id AS viewer_id, j.id FROM {users} u JOIN {jobs} j ON u.role = 'Manager' OR j.user_id = u.id WHERE u.role <> 'Manager' OR u.id = (SELECT min(id) FROM {users} WHERE role = 'Manager')")
+def _(v):
+    first = v.users.where("role = 'Manager'").agg(F.min("id")).scalar()
+    return jobs.visible_to(v.users.where((F.col("role") != "Manager") | (F.col("id") == first)), v.jobs.select("id", "user_id")).select("viewer_id", "id")
+
+
+VISIBLE_LATEST = """SELECT sees_all, class_user, wo_number, id FROM (SELECT true AS sees_all, CAST(NULL AS BIGINT) AS class_user, wo_number, id, updated_date FROM {jobs} UNION ALL SELECT false, user_id, wo_number, id, updated_date FROM {jobs} WHERE user_id IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY sees_all, class_user, wo_number ORDER BY updated_date DESC, id DESC) = 1"""
+
+
+@query("latest_job_per_wo_and_class", VISIBLE_LATEST)
+def _(v):
+    return jobs.latest_job_per_wo_and_class(v.jobs.select("id", "user_id", "wo_number", "updated_date")).select("sees_all", "class_user", "wo_number", "id")
+
+
+@query("latest_visible_jobs", f"SELECT u.id AS viewer_id, count(*) AS work_orders, max(l.id) AS last_id FROM {{users}} u JOIN ({VISIBLE_LATEST}) l ON CASE WHEN u.role = 'Manager' THEN l.sees_all ELSE NOT l.sees_all AND l.class_user = u.id END GROUP BY 1")
+def _(v):
+    latest = jobs.latest_job_per_wo_and_class(v.jobs.select("id", "user_id", "wo_number", "updated_date"))
+    return jobs.seen_by(v.users, latest.groupBy("sees_all", "class_user").agg(F.count("*").alias("work_orders"), F.max("id").alias("last_id")))
 
 
 @query("active_users", "SELECT id, full_name, role FROM {users} WHERE is_active")
@@ -565,6 +609,37 @@ def _(v):
     return v.questions.select("query_id", F.array_join(T.named_brands(F.col("model_text"), F.col("symptom"), lexicon=WORDS), ",").alias("brands"))
 
 
+def word_table(v, rows: list[tuple], schema: str) -> DataFrame:
+    return v.spark.createDataFrame(rows, schema)
+
+
+@query("entries_named", "SELECT id, array_to_string(brands, ',') AS brands FROM {cf} WHERE len(brands) > 0")
+def _(v):
+    entries = word_table(v, [(b, i, list(WORDS.short_brand_needs) if b == WORDS.short_brand else None) for i, b in enumerate(WORDS.brands)], "entry string, place int, needs array<string>")
+    texts = v.chunks.select("id", F.expr(HAY).alias("text"))
+    return matching.entries_named(texts, entries).select("id", F.array_join("named", ",").alias("brands"))
+
+
+@query("part_names_named", "SELECT id, string_agg(entry, ',' ORDER BY entry) AS named FROM (SELECT id, lower(notes) AS t FROM {service_notes}) JOIN (SELECT DISTINCT lower(p_name) AS entry FROM {part}) ON contains(t, entry) GROUP BY 1")
+def _(v):
+    entries = v.part.select(F.lower("p_name").alias("entry")).distinct().select("entry", F.lit(0).alias("place"), F.lit(None).cast("array<string>").alias("needs"))
+    texts = v.service_notes.select("id", F.lower("notes").alias("text"))
+    return matching.entries_named(texts, entries).select("id", F.array_join("named", ",").alias("named"))
+
+
+@query("terms_by_rule", "SELECT query_id AS id, array_to_string(list_sort(terms), ' ') AS terms FROM {qf}")
+def _(v):
+    rules = [(t, ts) for ts in map(T.plain_tokens, WORDS.topics) for t in ts] + [(t, list(WORDS.core_terms)) for t in WORDS.core_triggers]
+    made = matching.terms_by_rule(v.questions.select(F.col("query_id").alias("id"), "model_text", "symptom"), word_table(v, rules, "trigger string, terms array<string>"))
+    return made.select("id", F.array_join(F.array_sort("terms"), " ").alias("terms"))
+
+
+@query("open_by_markers", f"SELECT id, {open_sql(DEFAULT)} AS open FROM (SELECT id, lower(notes) AS t FROM {{service_notes}})")
+def _(v):
+    markers = [(m, True) for m in DEFAULT.open_markers] + [(m, False) for m in DEFAULT.done_markers]
+    return matching.open_by_markers(v.service_notes.select("id", F.col("notes").alias("text")), word_table(v, markers, "marker string, is_open boolean"))
+
+
 @query("chunk_brands", "SELECT id, array_to_string(brands, ',') AS brands FROM {cf}")
 def _(v):
     return RetrievalViews(v).c.select("id", F.array_join("brands", ",").alias("brands"))
