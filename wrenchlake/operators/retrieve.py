@@ -52,10 +52,16 @@ def scoped(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.join(chunks.withColumnRenamed("category_id", "chunk_category"), F.col("_cat") == F.col("chunk_category")).drop("_cat")
 
 
+def of_every_category(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of questions with all chunks, as an equi-join: each question goes to every category that the library has."""
+    known = chunks.select(F.col("category_id").alias("_cat")).distinct().agg(F.collect_list("_cat")).scalar()
+    asked = queries.withColumn("_cat", F.explode(F.concat(known, F.array(F.lit(None).cast("long")))))
+    return asked.join(chunks.withColumnRenamed("category_id", "chunk_category"), F.col("_cat").eqNullSafe(F.col("chunk_category"))).drop("_cat")
+
+
 def in_scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs of question and chunk by category alone; questions without a category pair with every chunk, as they ask."""
-    every = queries.where("cat_ids IS NULL").crossJoin(chunks.withColumnRenamed("category_id", "chunk_category"))
-    return scoped(queries, chunks).unionByName(every)
+    return scoped(queries, chunks).unionByName(of_every_category(queries.where("cat_ids IS NULL"), chunks))
 
 
 def brand_lock() -> Column:
@@ -66,15 +72,15 @@ def brand_lock() -> Column:
 def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs of question and chunk by category and brand.
 
-    Questions with a category, or else with a brand, find their chunks by an equi-join.  Those with neither are asked of the
-    whole library: they are few and sent to it, and each task keeps only its best (``seed_topk``).
+    Questions with a category, or else with a brand, find their chunks by an equi-join.  Those with neither are asked of each
+    category in turn, which is every chunk; ``word_index`` finds their best chunks without that.
     """
     free = queries.where("cat_ids IS NULL")
     shared = F.array_intersect("asked", "brands")
     owned = chunks.where("size(brands) > 0").withColumnRenamed("category_id", "chunk_category").withColumn("_own", F.explode("brands"))
     by_brand = free.where("size(asked) > 0").withColumn("_brand", F.explode("asked")).join(owned, F.col("_brand") == F.col("_own"))
     by_brand = by_brand.where(F.get(shared, F.lit(0)) == F.col("_brand")).drop("_brand", "_own")  # a pair counts under its first brand
-    every = free.where("size(asked) = 0").crossJoin(chunks.withColumnRenamed("category_id", "chunk_category"))
+    every = of_every_category(free.where("size(asked) = 0"), chunks)
     return scoped(queries, chunks).where(brand_lock()).unionByName(by_brand).unionByName(every)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import DEFAULT, Lexicon
-from ..operators import catalog, chunks, compliance, evidence, jobs, matching, retrieve
+from ..operators import catalog, chunks, compliance, evidence, jobs, matching, retrieve, word_index
 from ..sources import chunk_table, files, snapshot, tables
 from ..sources.steps import new_path, spread, stored
 from .testviews import WORDS, Views, duck
@@ -113,12 +113,21 @@ SQL_VIEWS = {
 }
 
 
+#: Questions of the whole library that ask for one long word and a short one.
+SQL_VIEWS["rare_questions"] = "SELECT item_id AS query_id, CAST(NULL AS BIGINT) AS category_id, CASE WHEN item_id % 5 = 0 THEN split_part(text, ' ', 3) ELSE '' END AS model_text, concat_ws(' ', regexp_extract(text, '[a-z]{{10,}}', 0), CASE WHEN item_id % 3 = 0 THEN split_part(text, ' ', 2) ELSE '' END) AS symptom FROM {benchmark}"
+for _name in ("qf", "scored", "seeds"):
+    SQL_VIEWS[f"rare_{_name}"] = SQL_VIEWS[_name].replace("{questions}", "{rare_questions}").replace("{qf}", "{rare_qf}").replace("{scored}", "{rare_scored}")
+
+
 class RetrievalViews:
     """Features, scores and ranking over the test words; features of chunks are computed once and kept."""
 
     def __init__(self, v: Views):
         self.v = v
-        self.q = retrieve.query_features(v.questions, v.categories, WORDS)
+
+    @cached_property
+    def q(self) -> DataFrame:
+        return stored(retrieve.query_features(self.v.questions, self.v.categories, WORDS), "questions")
 
     @cached_property
     def c(self) -> DataFrame:
@@ -527,6 +536,14 @@ def _(v):
     return retrieve.seed_topk(RetrievalViews(v).scored(), K).select("query_id", "rank", "id", "score", "is_index")
 
 
+@query("seeds_by_word_index", "SELECT query_id, rank, id, score, is_index FROM {rare_seeds}")
+def _(v):
+    r = RetrievalViews(v)
+    asked = v.spark.sql(SQL_VIEWS["rare_questions"], benchmark=v.benchmark)
+    q = stored(retrieve.query_features(asked, v.categories, WORDS), "questions")
+    return word_index.seeds(q, r.c, word_index.build(r.c), K).select("query_id", "rank", "id", "score", "is_index")
+
+
 @query("rerank_topk", "SELECT query_id, rank, id, score FROM {best}")
 def _(v):
     return RetrievalViews(v).best()
