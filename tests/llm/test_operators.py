@@ -792,3 +792,25 @@ def test_sharding_does_not_depend_on_partitions(docs):
     rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("source", F.lit("s"))
     once = {(r.doc_id, r.shard, r.slot) for r in sharding.shards(rows.repartition(1)).collect()}
     assert once == {(r.doc_id, r.shard, r.slot) for r in sharding.shards(rows.repartition(7)).collect()}
+
+
+def test_empty_path_and_slash_are_one_url(spark, tmp_path):
+    """Their verdict is the same with and without links elsewhere, and is the SQL's."""
+    import duckdb
+
+    from wrenchlake.llm.queries import ORACLE
+
+    urls = ["http://x.net", "http://x.net/", "http://y.net", "http://z.org", "http://z.org/", "http://example.net?q", "http://example.net/?q", "http://www.x.net#a", "http://www.x.net/#b", "https://x.net", "", None, "http://"]
+    far = "<link rel=canonical href='http://far.org/fr/x'>"
+    for html in ([None] * len(urls), [None, None, far, *[None] * (len(urls) - 3)]):
+        rows = [*zip(range(len(urls)), urls, html, strict=True), (90, "http://far.org/a", far), (91, "http://far.org/fr/x", None)] if any(html) else list(zip(range(len(urls)), urls, html, strict=True))
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = sorted((r.page_id, r.rule, r.verdict) for r in url_filter.url_verdicts(pages).collect())
+        path = str(tmp_path / f"p{sum(map(bool, html))}")
+        pages.coalesce(1).write.parquet(path)
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+        assert got == sorted((r[0], r[3], r[4]) for r in con.execute(ORACLE["op8_url_filters"]).fetchall())
+        verdict = {i: v for i, _, v in got}
+        assert verdict[0] == verdict[1] == "block" and verdict[5] == verdict[6] and verdict[7] == verdict[8] == "block"
+        assert verdict[2] == verdict[9] == verdict[10] == "allow"

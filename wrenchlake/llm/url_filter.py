@@ -10,7 +10,8 @@ URL.  URLs are compared without fragment, with scheme and host in lower case.  `
 differ in scheme, query, a ``www.`` or ``m.`` label, ``.html`` or a last slash; no redirect or link says so, hence it is off.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule, no alias, and is allowed; equal urls share
-their verdict; null html adds no edge; an empty table gives an empty table; rules are checked to be few (``MAX_RULES``).
+their verdict; an empty path and "/" are one URL, so where a rule fits the second only, the first takes its verdict as an alias,
+whatever other pages link to; null html adds no edge; an empty table gives an empty table; rules are checked to be few (``MAX_RULES``).
 """
 
 from __future__ import annotations
@@ -125,13 +126,13 @@ def url_verdicts(pages: DataFrame, edges: DataFrame | None = None, rules: list[t
     judged = ruled(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), form(url).alias("form")), rules)
     judged = judged.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     links = stored(links.distinct(), "edges")
+    # An empty path and "/" are one form, but a rule may fit the second only; all other URLs of one form have one rule.
+    mixed = F.col("path").isin("", "/") | F.lit(mirrors)
     if links.isEmpty():
-        if not mirrors:  # URLs of one form have one rule, so nothing propagates
-            return judged.select("page_id", "host", "path", "rule", F.coalesce("ruling", F.lit("allow")).alias("verdict"))
-        parts = judged.withColumns({"part": F.col("form"), "shared": F.lit(True)})
+        parts = judged.withColumns({"part": F.col("form"), "shared": mixed})
     else:
         groups = stored(components(links).select(F.col("node").alias("form"), F.col("component").alias("part")), "groups")
-        shared = F.col("part").isNotNull() | F.lit(mirrors)
+        shared = F.col("part").isNotNull() | mixed
         parts = judged.join(groups, "form", "left").withColumns({"part": F.coalesce("part", "form"), "shared": shared})
     # Decisions are combined on the map side, so a hot component is a few rows by the time it is shuffled.
     decisions = stored(
