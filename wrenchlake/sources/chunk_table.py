@@ -1,19 +1,29 @@
-"""The chunk table: partitioned by a bucket of the document, replaced document by document."""
+"""The chunk table: partitioned by a bucket of the document, replaced document by document, version by version.
+
+A write puts the new content of the buckets that it touches into a folder of its own and then publishes a version: a small table
+that names, for each bucket, the write that holds it.  Readers follow the last published version, so they see a write whole or
+not at all, whatever becomes of it; the folders of the version before stay for readers that have begun.  Nothing is overwritten
+that a version names, and what a failed write left behind is overwritten by the next.  One writer at a time.
+
+    path/data/w=<write>/bucket=<bucket>/...     chunks
+    path/versions/v=<write>                     (bucket, w) of each bucket; the row of bucket -1 holds (buckets, batch)
+"""
 
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .snapshot import drop_version, versions
 from .tables import schema
 
 #: A bucket is what one changed document rewrites; a file is what one task writes.
 ROWS_PER_BUCKET = 1_000_000
 ROWS_PER_FILE = 250_000
 MOST_BUCKETS = 65_536
+MANIFEST = "bucket int, w long, buckets int, batch long"
 
 
 def bucket_of(buckets: int, document_id: str = "document_id"):
@@ -33,84 +43,118 @@ class Folder:
         self.where = self.jvm.org.apache.hadoop.fs.Path(path)
         self.fs = self.where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def inner(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.where, name)
-
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.where)] if self.fs.exists(self.where) else []
 
-    def drop(self, name: str | None = None) -> None:
-        self.fs.delete(self.inner(name) if name else self.where, True)
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(self.where, name), True)
+
+
+class Version:
+    """A published version: its number, how many buckets the table has, the batch that it came from, and where buckets are."""
+
+    def __init__(self, spark: SparkSession, path: str, number: int):
+        self.number, self.rows = number, spark.read.schema(MANIFEST).parquet(f"{path}/versions/v={number}")
+        meta = self.rows.where("bucket = -1").first()
+        self.buckets, self.batch = meta.buckets, meta.batch
+        self.places = self.rows.where("bucket >= 0").select("bucket", "w")
+
+    def writes(self) -> list[int]:
+        """The writes that hold a part of it; at most one for each bucket."""
+        return sorted(r.w for r in self.places.select("w").distinct().collect())
+
+
+def current(spark: SparkSession, path: str) -> Version | None:
+    have = versions(spark, f"{path}/versions")
+    return Version(spark, path, have[-1]) if have else None
 
 
 def generations(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of buckets under which the table is complete; one, but for the moment in which it is dealt out anew."""
-    return sorted(int(n[8:]) for n in Folder(spark, path).names() if n.startswith("buckets=") and f"_done_{n[8:]}" in Folder(spark, path).names())
+    """The number of buckets of the table, if there is one."""
+    now = current(spark, path)
+    return [now.buckets] if now else []
+
+
+def chunks_of(spark: SparkSession, path: str, version: Version) -> DataFrame | None:
+    """The chunks of a version, with their bucket; None if it has none.  Only folders that it names are listed, and buckets that
+    a later write has replaced are pruned."""
+    folders = [f"{path}/data/w={w}" for w in version.writes()]
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", f"{path}/data").parquet(*folders).withColumn("w", F.col("w").cast("long"))
+    return rows.join(version.places, ["bucket", "w"], "left_semi").select(*[c for c in rows.columns if c not in ("bucket", "w")], "bucket")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The table's chunks, with their bucket."""
-    table = f"{path}/buckets={generations(spark, path)[-1]}"
-    if any(n.startswith("bucket=") for n in Folder(spark, table).names()):
-        return spark.read.parquet(table)
-    return spark.createDataFrame([], schema("doc_chunks").add("bucket", "integer"))
+    """The chunks of the last published version, with their bucket."""
+    rows = chunks_of(spark, path, current(spark, path))
+    return spark.createDataFrame([], schema("doc_chunks").add("bucket", "integer")) if rows is None else rows
 
 
-def written(rows: DataFrame, n: int, buckets: int, path: str) -> None:
-    """Writes whole buckets of ``n`` rows in all, each as several files."""
-    files = max(1, math.ceil(n / max(1, min(buckets, n)) / ROWS_PER_FILE))
+def put(spark: SparkSession, rows: DataFrame, path: str, number: int, touched: int) -> None:
+    """Writes the content of the touched buckets as folder w=number, each bucket as several files if it is large."""
+    whole = rows.count()
+    files = max(1, math.ceil(whole / max(1, min(touched, whole)) / ROWS_PER_FILE))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(files)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(path)
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(f"{path}/data/w={number}")
+
+
+def publish(spark: SparkSession, path: str, number: int, places: DataFrame, buckets: int, batch: int | None) -> None:
+    """Makes a version readable, which its _SUCCESS file does, and drops what the last two versions do not name."""
+    meta = spark.createDataFrame([(-1, None, buckets, batch)], MANIFEST)
+    none = F.lit(None)
+    rows = places.select("bucket", "w", none.cast("int").alias("buckets"), none.cast("long").alias("batch")).unionByName(meta)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={number}")
+    have = versions(spark, f"{path}/versions")
+    for old in have[:-2]:
+        drop_version(spark, f"{path}/versions", old)
+    named = {w for v in have[-2:] for w in Version(spark, path, v).writes()}
+    data = Folder(spark, f"{path}/data")
+    for name in data.names():
+        if name.startswith("w=") and int(name[2:]) not in named:
+            data.drop(name)
 
 
-def deal_out(spark: SparkSession, rows: DataFrame, n: int, path: str, buckets: int) -> None:
-    """Writes the whole table under another number of buckets, then drops the former one."""
-    table, before = Folder(spark, path), generations(spark, path)
-    table.drop(f"buckets={buckets}")
-    written(rows.withColumn("bucket", bucket_of(buckets)), n, buckets, f"{path}/buckets={buckets}")
-    table.fs.mkdirs(table.inner(f"buckets={buckets}"))
-    table.fs.create(table.inner(f"_done_{buckets}"), True).close()
-    for old in before:
-        table.drop(f"_done_{old}")
-        table.drop(f"buckets={old}")
+def held_by(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """(bucket, w) of the buckets that a write has put down."""
+    names = Folder(spark, f"{path}/data/w={number}").names()
+    return spark.createDataFrame([(int(n[7:]), number) for n in names if n.startswith("bucket=")], "bucket int, w long")
 
 
-def write_chunks(spark: SparkSession, new: DataFrame, reindexed: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Index sink: rewrites only the buckets that hold a re-indexed document.
+def write_chunks(spark: SparkSession, new: DataFrame, reindexed: DataFrame, path: str, buckets: int | None = None, batch: int | None = None) -> bool:
+    """Index sink: rewrites only the buckets that hold a re-indexed document, as one version.
 
-    The new content goes to a staging folder first, since Spark cannot overwrite files that it is reading, and then
-    replaces the touched partitions in one dynamic overwrite; running it again after a failure gives the same table.  The
-    number of buckets follows the table's size (``ROWS_PER_BUCKET``), unless it is given: a table that has outgrown its buckets
-    fourfold is dealt out anew.
+    The number of buckets follows the table's size (``ROWS_PER_BUCKET``), unless it is given: a table that has outgrown its
+    buckets fourfold is dealt out anew, as a version too.  ``batch``: a number that rises from write to write; a write whose
+    number the table has reached already does nothing, and returns False.
     """
-    have = generations(spark, path)
-    staged = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
+    now = current(spark, path)
+    if now and batch is not None and now.batch is not None and now.batch >= batch:
+        return False
     ids = reindexed.select("document_id").distinct()
-    if not have:
-        new.write.parquet(staged)
-        fresh = spark.read.schema(new.schema).parquet(staged)
-        n = fresh.count()
-        deal_out(spark, fresh, n, path, buckets or fitting(n))
+    number = (now.number if now else 0) + 1
+    if now is None:
+        count = buckets or fitting(new.count())
+        put(spark, new.withColumn("bucket", bucket_of(count)), path, number, count)
+        publish(spark, path, number, held_by(spark, path, number), count, batch)
     else:
-        count = have[-1]
-        table = Folder(spark, f"{path}/buckets={count}")
+        count = now.buckets
         fresh = new.withColumn("bucket", bucket_of(count))
         touched = ids.select(bucket_of(count).alias("bucket")).distinct()
-        if any(x.startswith("bucket=") for x in table.names()):
-            current = read_chunks(spark, path).join(touched, "bucket", "left_semi").select(*fresh.columns)
-            fresh = current.join(ids, "document_id", "left_anti").select(*fresh.columns).unionByName(fresh)
-        fresh.write.parquet(staged)
-        out = spark.read.schema(fresh.schema).parquet(staged)
-        emptied = touched.join(out.select("bucket").distinct(), "bucket", "left_anti").collect()  # at most a row for each bucket
-        written(out, out.count(), max(1, touched.count()), table.path)
-        for row in emptied:
-            table.drop(f"bucket={row.bucket}")
-        if buckets is None and any(x.startswith("bucket=") for x in table.names()):
-            whole = read_chunks(spark, path)
-            n = whole.count()  # from the files' footers
-            if fitting(n) >= 4 * count:
-                deal_out(spark, whole.drop("bucket"), n, path, fitting(n))
-    Folder(spark, staged).drop()
+        before = chunks_of(spark, path, now)
+        if before is not None:
+            kept = before.join(touched, "bucket", "left_semi").join(ids, "document_id", "left_anti")
+            fresh = kept.select(*fresh.columns).unionByName(fresh)
+        put(spark, fresh, path, number, max(1, touched.count()))
+        places = now.places.join(touched, "bucket", "left_anti").unionByName(held_by(spark, path, number))
+        publish(spark, path, number, places, count, now.batch if batch is None else batch)
+    whole = chunks_of(spark, path, current(spark, path))
+    if now is not None and buckets is None and whole is not None:
+        n = whole.count()
+        if fitting(n) >= 4 * count:
+            put(spark, whole.drop("bucket").withColumn("bucket", bucket_of(fitting(n))), path, number + 1, fitting(n))
+            publish(spark, path, number + 1, held_by(spark, path, number + 1), fitting(n), current(spark, path).batch)
+    return True
 
 
 def fitting(n: int) -> int:

@@ -64,9 +64,10 @@ def stream_job_progress(events: DataFrame, root: str) -> StreamingQuery:
 
 
 def stream_index(pages: DataFrame, documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Pages (document_id, page, text) become chunks; a micro-batch holds all pages of the documents in it."""
+    """Pages (document_id, page, text) become chunks; a micro-batch holds all pages of the documents in it.  Its number goes into
+    the table's version, so a micro-batch that is run again after a failure changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
-        write_chunks(batch.sparkSession, with_document(chunk_pages(batch), documents), batch.select("document_id"), path)
+        write_chunks(batch.sparkSession, with_document(chunk_pages(batch), documents), batch.select("document_id"), path, batch=number)
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
