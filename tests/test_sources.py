@@ -7,7 +7,7 @@ from wrenchlake.operators import catalog, jobs
 from wrenchlake.operators.chunks import chunk_pages, with_document
 from wrenchlake.plans.queries import turns
 from wrenchlake.plans.testviews import Views
-from wrenchlake.sources import chunk_table, files, snapshot, steps, tables
+from wrenchlake.sources import chunk_table, files, snapshot, steps, tables, tiers
 from wrenchlake.streaming import streams
 
 
@@ -141,7 +141,7 @@ def test_streams_equal_batch(spark, tmp_path, small):
     said = turns(v)
     streams.stream_chat_state(as_stream(spark, said, f"{tmp_path}/in"), f"{tmp_path}/out").awaitTermination()
     order = ["chat_id", "user_id", "category_name", "model_text", "updated_date", "messages", "title"]
-    got = streams.latest(spark, f"{tmp_path}/out/chats", "chat_id").select(order)
+    got = streams.read_chats(spark, f"{tmp_path}/out").select(order)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.chat_state(said).select(order).collect()))
 
 
@@ -149,25 +149,73 @@ def test_job_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, 1, "a", "Pass", "", None, "in_progress"), (1, 2, 2, "b", "Fail", "n", "f", "complete"), (2, 3, 1, None, None, None, None, "in_progress")], "job_id long, id long, at long, test string, result string, notes string, findings string, status string")
     streams.stream_job_progress(as_stream(spark, events, f"{tmp_path}/in"), f"{tmp_path}/out").awaitTermination()
     want = jobs.job_progress(events)
-    got = sorted(map(tuple, streams.latest(spark, f"{tmp_path}/out/jobs", "job_id").select(want.columns).collect()))
+    got = sorted(map(tuple, streams.read_jobs(spark, f"{tmp_path}/out").select(want.columns).collect()))
     assert got == sorted(map(tuple, want.collect())) and got[0][1] == 2
 
 
-def test_state_holds_changed_keys_and_merges_versions(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(streams, "VERSIONS", 3)
-    schema = "chat_id long, id long, user_id long, role string, content string, category_name string, model_text string, at long"
+TURN = "chat_id long, id long, user_id long, role string, content string, category_name string, model_text string, at long"
+
+
+def fed(spark, parts, schema, source, stream):
+    """Runs a stream after each arrival."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream(spark.readStream.schema(schema).parquet(source)).awaitTermination()
+
+
+def test_partial_tables_are_merged_in_tiers(spark, tmp_path, monkeypatch):
+    """Tiers stay short, nothing counts twice while a merge is under way or a batch is run again, and results are the batch form's."""
+    monkeypatch.setattr(tiers, "FAN", 3)
     turn = lambda chat, i: (chat, i, 7, "user", f"said {i}", "", None, i)
-    rows = [[turn(c, 1) for c in range(50)]] + [[turn(n, n + 2)] for n in range(6)]
-    source, root = tmp_path / "in", str(tmp_path / "out")
-    for part in rows:
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-        streams.stream_chat_state(spark.readStream.schema(schema).parquet(str(source)), root).awaitTermination()
-    want = jobs.chat_state(spark.createDataFrame([r for part in rows for r in part], schema))
-    got = streams.latest(spark, f"{root}/chats", "chat_id").select(want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    kept = snapshot.versions(spark, f"{root}/chats")
-    assert len(kept) <= 4
-    assert spark.read.parquet(f"{root}/chats").where(F.col("v") == kept[-1]).count() <= 50 and len(kept) < len(rows)
+    parts = [[turn(c, 1) for c in range(50)]] + [[turn(n, n + 2)] for n in range(10)]
+    root = f"{tmp_path}/out"
+    fed(spark, parts, TURN, f"{tmp_path}/in", lambda rows: streams.stream_chat_state(rows, root))
+    want = jobs.chat_state(spark.createDataFrame([r for part in parts for r in part], TURN))
+    now = lambda: sorted(map(tuple, streams.read_chats(spark, root).select(want.columns).collect()))
+    assert now() == sorted(map(tuple, want.collect()))
+    assert tiers.live(spark, f"{root}/chats") == [(2, 8), (0, 9), (0, 10)]
+    again = streams.chat_parts(spark.createDataFrame(parts[10], TURN))
+    tiers.append(again, f"{root}/chats", 10)  # run again
+    again.write.parquet(f"{root}/chats/tier=0/v=7")  # what a merge that failed half-way has not dropped yet
+    assert now() == sorted(map(tuple, want.collect()))
+
+
+def test_expired_chats_leave_the_stream(spark, tmp_path, monkeypatch):
+    """The stream's chats are those that the batch purge keeps, its table shrinks, and a chat that speaks again begins anew."""
+    monkeypatch.setattr(tiers, "FAN", 2)
+    day = 24 * 3600
+    turn = lambda chat, i, at: (chat, i, 7, "user", f"said {i}", "", None, at)
+    parts = [[turn(c, 1, d * day + c) for c in range(20 * d, 20 * d + 20)] for d in range(3)]
+    parts += [[turn(900, d, d * day)] for d in range(20, 34)] + [[turn(0, 99, 34 * day)]]
+    root = f"{tmp_path}/out"
+    counts = []
+    for part in parts:
+        fed(spark, [part], TURN, f"{tmp_path}/in", lambda rows: streams.stream_chat_state(rows, root, streams.RETENTION))
+        counts.append(tiers.read_all(spark, f"{root}/chats").count())
+    every = spark.createDataFrame([r for part in parts for r in part], TURN)
+    chats = jobs.chat_state(every).withColumnRenamed("chat_id", "id")
+    kept = jobs.purge_expired_chats(chats, every, F.lit(34 * day - streams.RETENTION))[0]
+    got = {r.chat_id: r for r in streams.read_chats(spark, root, streams.RETENTION).collect()}
+    assert set(got) == {r.id for r in kept.collect()} == {0, 900}
+    assert got[0].messages == 1 and got[0].title == "said 99"
+    assert max(counts) >= 60 and counts[-1] <= 25
+    stamped = every.withColumn("at", F.timestamp_seconds("at"))
+    parts = streams.added_up(streams.chat_parts(stamped), streams.RETENTION)
+    assert {r.chat_id for r in parts.collect()} == {0, 900}
+
+
+def test_an_event_writes_no_more_as_the_log_grows(spark, tmp_path):
+    schema = "job_id long, id long, at long, test string, result string, notes string, findings string, status string"
+    event = lambda i: (1, i, i, f"test {i}", "Pass", "x" * 50, None, "in_progress")
+    root = f"{tmp_path}/out"
+    sizes = []
+    for part in ([event(0)], [event(i) for i in range(1, 3000)], [event(3001)], [event(3002)]):
+        fed(spark, [part], schema, f"{tmp_path}/in", lambda rows: streams.stream_job_progress(rows, root))
+        newest = max(v for _, v in tiers.live(spark, f"{root}/steps"))
+        sizes.append(sum(f.stat().st_size for t in ("steps", "jobs") for f in (tmp_path / "out" / t).rglob(f"v={newest}/*.parquet")))
+    assert sizes[3] <= 1.2 * sizes[0] and sizes[2] <= 1.2 * sizes[0] < sizes[1]
+    row = streams.read_jobs(spark, root).first()
+    assert row.steps == 3002 and row.updated_date == 3002
 
 
 def test_index_stream_equals_batch(spark, tmp_path, small):

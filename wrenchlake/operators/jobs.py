@@ -139,11 +139,16 @@ def chat_state(turns: DataFrame) -> DataFrame:
     return folded.withColumn("title", chat_title(F.col("message"))).drop("message")
 
 
+def step_log(steps: Column) -> Column:
+    """Steps in order as the JSON that jobs hold."""
+    return F.to_json(F.transform(steps, lambda s: F.struct(s["test"].alias("test"), s["result"].alias("result"), s["notes"].alias("notes"))))
+
+
 def job_progress(events: DataFrame) -> DataFrame:
     """Jobs folded from step events (job_id, id, at, test, result, notes, findings, status)."""
     steps = F.array_sort(F.collect_list(F.when(F.col("test").isNotNull(), F.struct("at", "id", "test", "result", "notes"))))
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", "id", c)))[c]
-    return events.groupBy("job_id").agg(F.size(steps).alias("steps"), F.to_json(F.transform(steps, lambda s: F.struct(s["test"].alias("test"), s["result"].alias("result"), s["notes"].alias("notes")))).alias("step_log"), last("findings").alias("findings"), last("status").alias("status"), F.max("at").alias("updated_date"))
+    return events.groupBy("job_id").agg(F.size(steps).alias("steps"), step_log(steps).alias("step_log"), last("findings").alias("findings"), last("status").alias("status"), F.max("at").alias("updated_date"))
 
 
 def purge_expired_chats(chats: DataFrame, messages: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from ..functions.lexicon import DEFAULT, Lexicon
 from ..operators import catalog, chunks, compliance, evidence, jobs, matching, retrieve, word_index
 from ..sources import chunk_table, files, snapshot, tables
 from ..sources.steps import new_path, spread, stored
+from ..streaming import streams
 from .testviews import WORDS, Views, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -869,6 +870,27 @@ def _(v):
     return jobs.chat_state(turns(v))
 
 
+def as_stream(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows as a stream of a few arrivals; rows of equal keys arrive together."""
+    path = new_path(df.sparkSession, "arrivals")
+    df.repartition(4, *keys).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("chat_state_stream", CHAT_STATE)
+def _(v):
+    root = new_path(v.spark, "chat_stream")
+    streams.stream_chat_state(as_stream(turns(v), "id"), root).awaitTermination()
+    return streams.read_chats(v.spark, root)
+
+
+@query("incremental_index_stream", "SELECT id, document_id, title, page, chunk_text FROM {chunks}")
+def _(v):
+    root = new_path(v.spark, "index_stream")
+    streams.stream_index(as_stream(v.all_pages, "document_id"), v.library, f"{root}/chunks", f"{root}/checkpoint").awaitTermination()
+    return chunk_table.read_chunks(v.spark, f"{root}/chunks").select("id", "document_id", "title", "page", "chunk_text")
+
+
 @query("incremental_index", "SELECT id, document_id, title, page, chunk_text FROM {chunks} WHERE document_id % 10 <> 0 UNION ALL SELECT id, document_id, title, page, chunk_text FROM {chunks} WHERE document_id % 10 = 0")
 def _(v):
     path = new_path(v.spark, "table")
@@ -877,7 +899,20 @@ def _(v):
     return chunk_table.read_chunks(v.spark, path).select("id", "document_id", "title", "page", "chunk_text")
 
 
-@query("job_progress", "SELECT l_orderkey AS job_id, count(*) AS steps, max({{'a': l_linenumber, 'b': l_partkey, 'c': concat('f', l_partkey)}}).c AS findings, max({{'a': l_linenumber, 'b': l_partkey, 'c': CASE WHEN l_linestatus = 'F' THEN 'complete' ELSE 'in_progress' END}}).c AS status, max(l_linenumber) AS updated_date FROM lineitem GROUP BY 1")
+JOB_PROGRESS = "SELECT l_orderkey AS job_id, count(*) AS steps, max({{'a': l_linenumber, 'b': l_partkey, 'c': concat('f', l_partkey)}}).c AS findings, max({{'a': l_linenumber, 'b': l_partkey, 'c': CASE WHEN l_linestatus = 'F' THEN 'complete' ELSE 'in_progress' END}}).c AS status, max(l_linenumber) AS updated_date FROM lineitem GROUP BY 1"
+
+
+def job_events(v) -> DataFrame:
+    return v.lineitem.selectExpr("l_orderkey AS job_id", "l_partkey AS id", "l_linenumber AS at", "concat('t', l_suppkey) AS test", "l_returnflag AS result", "'' AS notes", "concat('f', l_partkey) AS findings", "CASE WHEN l_linestatus = 'F' THEN 'complete' ELSE 'in_progress' END AS status")
+
+
+@query("job_progress", JOB_PROGRESS)
+def _(v):
+    return jobs.job_progress(job_events(v)).select("job_id", F.col("steps").cast("long").alias("steps"), "findings", "status", "updated_date")
+
+
+@query("job_progress_stream", JOB_PROGRESS)
 def _(v):
-    events = v.lineitem.selectExpr("l_orderkey AS job_id", "l_partkey AS id", "l_linenumber AS at", "concat('t', l_suppkey) AS test", "l_returnflag AS result", "'' AS notes", "concat('f', l_partkey) AS findings", "CASE WHEN l_linestatus = 'F' THEN 'complete' ELSE 'in_progress' END AS status")
-    return jobs.job_progress(events).select("job_id", F.col("steps").cast("long").alias("steps"), "findings", "status", "updated_date")
+    root = new_path(v.spark, "job_stream")
+    streams.stream_job_progress(as_stream(job_events(v), "at"), root).awaitTermination()
+    return streams.read_jobs(v.spark, root).select("job_id", F.col("steps").cast("long").alias("steps"), "findings", "status", "updated_date")

@@ -13,13 +13,16 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it does not exist."""
+    fs, where, _ = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions (with a _SUCCESS file), oldest first."""
     fs, where, jvm = _folder(spark, path)
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(where, f"{n}/_SUCCESS"))]
+    done = [n for n in names(spark, path) if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(where, f"{n}/_SUCCESS"))]
     return sorted(int(n[2:]) for n in done)
 
 
