@@ -100,11 +100,34 @@ def chat_label() -> Column:
     return F.concat_ws(" · ", F.left(text("title"), F.lit(60)), F.coalesce(F.nullif("category_name", F.lit("")), F.lit("any")), at)
 
 
+def source_label() -> Column:
+    """A source as plans list it: its title and page."""
+    page = F.coalesce(F.nullif("page", F.lit(0)).cast("string"), F.lit("?"))
+    return F.concat(F.left(F.coalesce(F.nullif("title", F.lit("")), F.lit("Manual")), F.lit(60)), F.lit(" — p."), page)
+
+
+def team_line() -> Column:
+    """A job as the team page lists it; rows come from ``with_owner`` with "?" for unknown users."""
+    parts = [F.concat(F.lit("**WO "), "wo_number", F.lit("**")), F.col("status"), F.col("owner"), F.coalesce("category_name", F.lit("None")), F.left(text("concern"), F.lit(80))]
+    return F.concat_ws(" · ", *parts)
+
+
+def said_by_user(messages: DataFrame) -> DataFrame:
+    """(chat_id, said): all that a chat's user has said, once for each chat."""
+    return messages.where("role = 'user'").groupBy("chat_id").agg(ordered_join("id", text("content"), " ").alias("said"))
+
+
+def turn_ends(messages: DataFrame) -> DataFrame:
+    """(chat_id, id, end): up to which character of ``said_by_user`` the chat had come with each user turn.  A running sum, so a
+    long chat costs a number for each turn, not its text."""
+    so_far = Window.partitionBy("chat_id").orderBy("id", text("content")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return messages.where("role = 'user'").select("chat_id", "id", (F.sum(F.length(text("content")) + 1).over(so_far) - 1).cast("int").alias("end"))
+
+
 def search_text_per_turn(messages: DataFrame) -> DataFrame:
-    """For each user turn: the chat's earlier user messages and this one."""
-    so_far = Window.partitionBy("chat_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    said = F.collect_list(F.when(F.col("role") == "user", text("content"))).over(so_far)
-    return messages.withColumn("search_text", strip(F.array_join(said, " "))).where("role = 'user'").select("chat_id", "id", "search_text")
+    """For each user turn: the chat's earlier user messages and this one, cut from the chat's text for those who ask for it."""
+    rows = turn_ends(messages).join(said_by_user(messages), "chat_id")
+    return rows.select("chat_id", "id", strip(F.left("said", F.col("end"))).alias("search_text"))
 
 
 def first_user_message(messages: DataFrame) -> DataFrame:

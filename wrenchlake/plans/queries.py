@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import DEFAULT, Lexicon
 from ..operators import catalog, chunks, compliance, evidence, jobs, matching, retrieve, word_index
-from ..sources import chunk_table, files, snapshot, tables
+from ..sources import chunk_table, files, readers, snapshot, tables
 from ..sources.steps import new_path, spread, stored
 from ..streaming import streams
 from .testviews import WORDS, Views, duck
@@ -189,6 +189,14 @@ def _(v):
     return files.list_files(v.file_keys.select("key"), "documents/", 300)
 
 
+@query("listed_folders", "SELECT DISTINCT concat('documents/owner=', uploaded_by, '/category=', category_id) AS folder FROM {library} WHERE uploaded_by BETWEEN 10 AND 19")
+def _(v):
+    path = new_path(v.spark, "store")
+    v.library.selectExpr("id", "uploaded_by AS owner", "category_id AS category").repartition("owner", "category").write.partitionBy("owner", "category").parquet(f"{path}/documents")
+    keys = readers.listed(v.spark, path, "documents/owner=1", 1_000_000)  # all keys that begin so
+    return keys.where("key NOT LIKE '%.crc'").select(F.regexp_extract("key", "^(.*)/", 1).alias("folder")).where("folder RLIKE 'owner=1[0-9]/'").distinct()
+
+
 @query("page_source", "SELECT document_id, page, text FROM {lib_pages}")
 def _(v):
     return v.lib_pages
@@ -338,6 +346,16 @@ def _(v):
     return v.chats.select("id", jobs.chat_label().alias("label"))
 
 
+@query("source_labels", "SELECT query_id, rank, concat(left(coalesce(nullif(title, ''), 'Manual'), 60), ' — p.', coalesce(CAST(nullif(page, 0) AS VARCHAR), '?')) AS label FROM {excerpts}")
+def _(v):
+    return evidence.merge_excerpts(RetrievalViews(v).hits()).select("query_id", "rank", jobs.source_label().alias("label"))
+
+
+@query("team_lines", "SELECT id, concat('**WO ', wo_number, '** · ', status, ' · ', coalesce(full_name, '?'), ' · ', coalesce(category_name, 'None'), ' · ', left(coalesce(concern, ''), 80)) AS line FROM (SELECT * FROM {jobs} ORDER BY updated_date DESC, id DESC LIMIT 25) j LEFT JOIN (SELECT id AS owner_id, full_name FROM {users} WHERE id % 7 <> 0) u ON owner_id = user_id")
+def _(v):
+    return jobs.with_owner(jobs.recent(v.jobs, 25), v.users.where("id % 7 <> 0"), "?").select("id", jobs.team_line().alias("line"))
+
+
 @query("index_status", "SELECT id, title, coalesce(nullif(index_note, ''), CASE WHEN indexed THEN 'indexed' ELSE 'not indexed' END) AS status FROM {library}")
 def _(v):
     return catalog.index_status(v.library)
@@ -566,6 +584,16 @@ def _(v):
     return jobs.search_text_per_turn(v.messages)
 
 
+@query("turn_ends", "SELECT m.chat_id, m.id, (SELECT length(string_agg(e.content, ' ' ORDER BY e.id)) FROM {messages} e WHERE e.chat_id = m.chat_id AND e.role = 'user' AND e.id <= m.id) AS \"end\" FROM {messages} m WHERE role = 'user'")
+def _(v):
+    return jobs.turn_ends(v.messages)
+
+
+@query("said_by_user", "SELECT chat_id, string_agg(content, ' ' ORDER BY id) AS said FROM {messages} WHERE role = 'user' GROUP BY 1")
+def _(v):
+    return jobs.said_by_user(v.messages)
+
+
 @query("first_user_message", f"SELECT chat_id, {STRIP.format("arg_min(content, id) FILTER (WHERE role = 'user' AND trim(content) <> '')")} AS concern FROM {{messages}} GROUP BY 1")
 def _(v):
     return jobs.first_user_message(v.messages)
@@ -581,6 +609,26 @@ def _(v):
     return v.library.select("id", "title").orderBy(F.asc_nulls_first("title"), "id")
 
 
+@query("sorted_categories", "SELECT id, name FROM {categories} ORDER BY name NULLS FIRST, id")
+def _(v):
+    return v.categories.orderBy(F.asc_nulls_first("name"), "id")
+
+
+@query("sorted_users", "SELECT id, full_name, username, role, is_active FROM {users} ORDER BY full_name NULLS FIRST, id")
+def _(v):
+    return v.users.select("id", "full_name", "username", "role", "is_active").orderBy(F.asc_nulls_first("full_name"), "id")
+
+
+@query("sorted_meetings", "SELECT id, title, day FROM {meetings} ORDER BY day DESC NULLS LAST, id DESC")
+def _(v):
+    return v.meetings.orderBy(F.desc_nulls_last("day"), F.desc("id"))
+
+
+@query("sorted_messages", "SELECT chat_id, id, content FROM {messages} ORDER BY chat_id, id")
+def _(v):
+    return v.messages.select("chat_id", "id", "content").orderBy("chat_id", "id")
+
+
 @query("head", "SELECT id, full_name FROM {users} ORDER BY full_name, id LIMIT 25")
 def _(v):
     return v.users.orderBy("full_name", "id").limit(25).select("id", "full_name")
