@@ -196,10 +196,13 @@ def test_near_dedup(docs, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
-def test_near_dedup_of_one_large_group(spark):
-    rows = [(i, edited(BASE, i % 9, 5000 + i)) for i in range(240)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_of(rows, 85)
+@pytest.mark.parametrize(("percent", "edits"), [(85, 9), (80, 9), (80, 4)])
+def test_near_dedup_of_one_large_group(spark, percent, edits):
+    """Members just below the threshold, some of which share what they lack and are linked beside the group's centre."""
+    rows = [(i, edited(BASE, i % edits, 5000 + i)) for i in range(240)]
+    rows += [(1000 + i, edited(edited(BASE, 5, 77 + i // 3), 1, 7000 + i)) for i in range(60)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == components_of(rows, percent)
 
 
 def test_near_dedup_of_odd_rows(docs, wide, empty):

@@ -8,8 +8,8 @@ pair meets in one bucket at least.  All pairs under that distance are found; a p
 
 Equal sets are one node.  Within a bucket each node is compared with the bucket's smallest node and then with its most typical
 one (the one with the smallest share of shingles that no other node has).  What that leaves in different components of one
-bucket is compared pair by pair, unless the shingles that only one of the two has already rule the link out; so no link is
-lost, and members of a group that are linked already do not meet.  Components come from alternating star steps.
+bucket is compared pair by pair, unless the shingles that only one of the two has, or those that the two lack of the typical
+node's, already rule the link out; so no link is lost, and members of a group that are linked already do not meet.  Components come from alternating star steps.
 
 Defined results: A-Z is lower-cased; fewer than ``k`` words make one shingle; null, empty and blank texts have no shingle, link
 with nothing and are kept; rows with null doc_id have component null and are kept; equal rows share their component, and
@@ -35,6 +35,9 @@ MOST_ERRORS = 2 * CHUNKS - 1
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 WORDS = 5
 PERCENT = 85
+#: Bits that tell which shingles of a typical set another set lacks.
+LOST_BITS = 1024
+LOST = [f"l{i}" for i in range(LOST_BITS // 64)]
 
 
 def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
@@ -190,6 +193,36 @@ def linkable(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
 
 
+def lost_shingles(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b): how many shingles b has that a lacks (outside), and those of a that b lacks as LOST_BITS bits (l0, ...): a
+    bit is set if a shingle of its hash is missing, so there are never more bits than missing shingles."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sa, sb = column(batch, "sa"), column(batch, "sb")
+            outside, bits = np.zeros(len(sa), dtype=np.int64), np.zeros((len(sa), LOST_BITS), dtype=np.uint8)
+            for i, (x, y) in enumerate(zip(sa, sb, strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                lost = np.setdiff1d(x, y, assume_unique=True)
+                outside[i] = len(y) - (len(x) - len(lost))
+                bits[i, (mix(lost) % np.uint64(LOST_BITS)).astype(np.int64)] = 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"a": column(batch, "a"), "b": column(batch, "b"), "outside": outside, **{c: words[:, j] for j, c in enumerate(LOST)}})
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, outside long, " + ", ".join(f"{c} long" for c in LOST))
+
+
+def reachable(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can overlap enough, given what each has lost of, and has outside, their bucket's typical set: they share
+    at most what neither has lost, and of what lies outside no more than either has beside its own shingles."""
+    lost = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{c}").bitwiseOR(F.col(f"{b}.{c}"))) for c in LOST])
+    most = F.col(f"{a}.typical_size") - lost + F.least(*[F.greatest(F.col(f"{x}.outside") - F.col(f"{x}.own"), F.lit(0)) for x in (a, b)])
+    return (100 + percent) * most >= percent * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+
+
 def joined(links: DataFrame, more: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components after further links, which join whole components: only those go through the rounds again."""
     if more.isEmpty():
@@ -241,10 +274,14 @@ def placed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
         second = near(open_.join(typical, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), linkable("x", "y", percent))
         more = stored(confirmed(stored(second, "stars"), sets, percent), "confirmed")
         links, groups = joined(links, more, groups)
-        open_ = still_open(shared, groups)
-        full = stored(open_.join(facts, "node"), "open")
+        open_ = still_open(shared, groups).join(typical.withColumnRenamed("first", "typical"), "key")
+        lost = stored(lost_shingles(stored(open_.select(F.col("typical").alias("a"), F.col("node").alias("b")).distinct(), "pairs"), sets), "lost")
+        sizes = facts.select(F.col("node").alias("typical"), F.col("n_shingles").alias("typical_size"))
+        full = open_.join(facts, "node").join(sizes, "typical").join(lost.withColumnsRenamed({"a": "typical", "b": "node"}), ["typical", "node"])
+        full = stored(full, "open")
         x, y = full.alias("x"), full.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & linkable("x", "y", percent) & close("x", "y", percent) & (F.col("x.slot") == first_slot("x", "y"))
+        can = linkable("x", "y", percent) & reachable("x", "y", percent) & close("x", "y", percent)
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & can & (F.col("x.slot") == first_slot("x", "y"))
         rest = stored(x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "rest")
         links, groups = joined(links, stored(confirmed(rest, sets, percent), "confirmed"), groups)
 
