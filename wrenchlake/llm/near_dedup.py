@@ -35,6 +35,8 @@ MOST_ERRORS = 2 * CHUNKS - 1
 SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
 WORDS = 5
 PERCENT = 85
+#: Rows that carry sets in an Arrow batch.
+SETS_A_BATCH = 256
 #: Bits that tell which shingles of a typical set another set lacks.
 LOST_BITS = 1024
 LOST = [f"l{i}" for i in range(LOST_BITS // 64)]
@@ -141,6 +143,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def stored_few(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` of rows that carry whole sets: they pass to Python few at a time, so a batch stays small."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(SETS_A_BATCH))
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the texts of their own documents."""
 
@@ -262,20 +275,20 @@ def placed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
     stars = stored(near(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "stars")
     wanted = shared.select("node").distinct()
     sets = full_sets(docs, nodes, wanted, k)
-    links = stored(confirmed(stars, sets, percent), "confirmed")
+    links = stored_few(confirmed(stars, sets, percent), "confirmed")
     groups = stored(components(links), "groups")
 
     # Nodes of one bucket that the stars left in different components: first a second star around the bucket's most typical
     # node, then every remaining pair that can still be linked.
     open_ = still_open(shared, groups)
     if not open_.isEmpty():
-        facts = stored(open_.select("node").distinct().join(facts, "node").join(own_shingles(sets.join(open_.select("node").distinct(), "node", "left_semi")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
+        facts = stored_few(open_.select("node").distinct().join(facts, "node").join(own_shingles(sets.join(open_.select("node").distinct(), "node", "left_semi")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0))), "facts")
         typical = stored(open_.join(facts.select("node", "own", "n_shingles"), "node").groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n_shingles"), "node"))["node"].alias("first")), "typical")
         second = near(open_.join(typical, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), linkable("x", "y", percent))
-        more = stored(confirmed(stored(second, "stars"), sets, percent), "confirmed")
+        more = stored_few(confirmed(stored(second, "stars"), sets, percent), "confirmed")
         links, groups = joined(links, more, groups)
         open_ = still_open(shared, groups).join(typical.withColumnRenamed("first", "typical"), "key")
-        lost = stored(lost_shingles(stored(open_.select(F.col("typical").alias("a"), F.col("node").alias("b")).distinct(), "pairs"), sets), "lost")
+        lost = stored_few(lost_shingles(stored(open_.select(F.col("typical").alias("a"), F.col("node").alias("b")).distinct(), "pairs"), sets), "lost")
         sizes = facts.select(F.col("node").alias("typical"), F.col("n_shingles").alias("typical_size"))
         full = open_.join(facts, "node").join(sizes, "typical").join(lost.withColumnsRenamed({"a": "typical", "b": "node"}), ["typical", "node"])
         full = stored(full, "open")
@@ -283,7 +296,7 @@ def placed_documents(docs: DataFrame, percent: int, k: int) -> DataFrame:
         can = linkable("x", "y", percent) & reachable("x", "y", percent) & close("x", "y", percent)
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & can & (F.col("x.slot") == first_slot("x", "y"))
         rest = stored(x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "rest")
-        links, groups = joined(links, stored(confirmed(rest, sets, percent), "confirmed"), groups)
+        links, groups = joined(links, stored_few(confirmed(rest, sets, percent), "confirmed"), groups)
 
     placed = stored(nodes.select("h1", "h2", "id", "node").join(groups, "node", "left").select("h1", "h2", "id", F.coalesce("component", "node").alias("component")), "placed")
     if placed.where("component < 0").isEmpty():
