@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.steps import stored
-from .matching import matches
+from .matching import gram_table, matches
 from .retrieve import ranked, score_candidates, seed_topk
 
 #: A word: a run of letters and digits, or any other character that is not white space.
@@ -33,10 +33,12 @@ def words_of(c: Column) -> Column:
 
 @dataclass
 class WordIndex:
-    """words: (word, id, n, titled); dictionary: (word, chunks); facts: (id, document_id, page, is_index, static, hay)."""
+    """words: (word, id, n, titled); dictionary: (word, chunks); grams: (id, gram) of its words; facts: (id, document_id, page,
+    is_index, static, hay)."""
 
     words: DataFrame
     dictionary: DataFrame
+    grams: DataFrame
     facts: DataFrame
 
 
@@ -46,8 +48,10 @@ def build(chunks: DataFrame) -> WordIndex:
     words = said.groupBy("word", "id").agg(F.count("*").cast("int").alias("n"), F.max(F.col("_at") < F.col("_t")).alias("titled"))
     words = stored(words.repartitionByRange("word", "id").sortWithinPartitions("word", "id"), "words")
     dictionary = stored(words.groupBy("word").agg(F.count("*").alias("chunks")), "dictionary")
+    grams = gram_table(dictionary.select(F.col("word").alias("id"), F.col("word").alias("text")))
+    grams = stored(grams.repartitionByRange("gram").sortWithinPartitions("gram"), "grams")
     static = F.col("signals") - F.when(F.col("is_index"), 3).otherwise(0)
-    return WordIndex(words, dictionary, chunks.select("id", "document_id", "page", "is_index", static.alias("static"), "hay"))
+    return WordIndex(words, dictionary, grams, chunks.select("id", "document_id", "page", "is_index", static.alias("static"), "hay"))
 
 
 def times(needle: Column, c: Column) -> Column:
@@ -61,7 +65,7 @@ def longest_word(model: Column) -> Column:
 
 def terms_in_dictionary(needles: DataFrame, index: WordIndex) -> DataFrame:
     """(needle, word, times, chunks): the words that hold each needle, and how many chunks have the word."""
-    found = matches(index.dictionary.select(F.col("word").alias("id"), F.col("word").alias("text")), needles, times=times(F.col("needle"), F.col("text")))
+    found = matches(index.dictionary.select(F.col("word").alias("id"), F.col("word").alias("text")), needles, index.grams, times=times(F.col("needle"), F.col("text")))
     return found.withColumnRenamed("id", "word").join(index.dictionary, "word").select("needle", "word", "times", "chunks")
 
 
