@@ -641,6 +641,43 @@ def test_decontamination_equals_search_at_all_places(spark):
     assert collections.Counter((x.doc_id, x.contaminated, tuple(x.item_ids), x.longest) for x in got) == contaminated(rows, items)
 
 
+@pytest.mark.parametrize("together", [40, 1 << 19])
+def test_items_with_common_beginnings(monkeypatch, together):
+    monkeypatch.setattr(decontamination, "TOGETHER", together)
+    r = random.Random(5)
+    for shared, vocabulary in ((10, 4), (11, 40), (15, 40), (30, 3)):
+        words = [f"w{i}" for i in range(vocabulary)]
+        said = lambda n: [r.choice(words) for _ in range(n)]  # noqa: B023, E731
+        start = said(shared)
+        items = [start + said(r.randrange(12)) for _ in range(30)] + [said(5) + start, start[2:9], start[:6], said(9)]
+        texts = [said(9) + start + said(9) for _ in range(3)] + [start * 3, [], start, items[3] + items[4], said(40)]
+        for t in list(texts):
+            t = t.copy()
+            for _ in range(2):
+                if t:
+                    t[r.randrange(len(t))] = "other"
+            texts.append(t)
+        block = text.Block([" ".join(t).encode() for t in texts], lower=True)
+        doc, n = block.words()[2], np.arange(block.n)
+        found = decontamination.Seeds([(i, 0, len(t), " ".join(t).encode()) for i, t in enumerate(items)])
+        got = found.overlaps(block.word_hashes(), doc, np.searchsorted(doc, n), np.searchsorted(doc, n, side="right"), 13)
+        want = [(d, i, a, b) for d, t in enumerate(texts) for i, item in enumerate(items) for a, b in all_overlaps(t, item)]
+        assert sorted((d, i, a, b) for d, i, _, a, b in got.tolist()) == sorted(want) and want
+
+
+def test_common_beginnings_are_compared_once():
+    start = [f"s{i}" for i in range(15)]
+    items = [start + [f"i{j}_{i}" for i in range(15)] for j in range(3000)]
+    texts = [[f"d{j}_{i}" for i in range(20)] + start + ["end"] * 15 for j in range(50)]
+    block = text.Block([" ".join(t).encode() for t in texts], lower=True)
+    doc, n = block.words()[2], np.arange(block.n)
+    seeds = decontamination.Seeds([(i, 0, len(t), " ".join(t).encode()) for i, t in enumerate(items)])
+    first, last = np.searchsorted(doc, n), np.searchsorted(doc, n, side="right")
+    assert sum(len(t.matches(seeds.words, block.word_hashes(), doc)[0]) for t in seeds.stretches(13)) == 5 * 50
+    parts = list(seeds.parts(block.word_hashes(), doc, first, last, 13))
+    assert sum(map(len, parts)) == 3000 * 50 and {tuple(x) for x in np.concatenate(parts)[:, 3:].tolist()} == {(20, 35)}
+
+
 def test_long_items_count_as_wholes(spark):
     long_ = {n: [f"i{n}_{j}" for j in range(n)] for n in (50_000, 50_001, 200_000)}
     bench = spark.createDataFrame([(n, " ".join([*w, "the"])) for n, w in long_.items()], "item_id long, text string")

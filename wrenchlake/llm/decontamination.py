@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds: finds benchmark passages in documents, also where words were replaced.
 
-Method: fixed masks pick some words of a short span and ignore the others; the hashes of what they pick are joined between
-benchmark items and documents.  Around each hit the words on the same diagonal (document place less item place) are
-compared one by one.  A stretch of ``min_words`` words (all words of a shorter item) with at most ``SUBSTITUTIONS``
+Method: fixed masks pick some words of a span and ignore the others; the hashes of what they pick are joined between
+benchmark items and documents, and around each hit the words on the same diagonal (document place less item place) are
+compared one by one.  Equal stretches of all items are one class: joined and compared once, and put at their places in the
+items only where they match; so a beginning that thousands of items share costs what one costs until then.  A stretch of ``min_words`` words (all words of a shorter item) with at most ``SUBSTITUTIONS``
 substitutions, wherever they are, belongs to an overlap; stretches that touch are one overlap, which is reported without
 substitutions at its ends.  A stretch under 13 words may have fewer substitutions in proportion: one from 7 words on, none
 below.  With the default masks every such stretch is hit.
@@ -21,22 +22,45 @@ doc_id are reported with null doc_id; an empty benchmark contaminates nothing.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import KEYS
 from .store import stored
-from .text import Block, column, mix, scan, unused
+from .text import Block, blocks, column, mix, ranges, unused, windows
 
-#: Which words of a span count: fixed masks.
-MASKS = ("111011", "1101011", "10111")
 MIN_WORDS = 13
 SUBSTITUTIONS = 2
+#: Words of an exact part that a mask picks at most, and pairs or rows that are looked at together.
+WEIGHT = 16
+TOGETHER = 1 << 19
 BLOCK_WORDS = 1_000_000
 PIECE = 50_000
 SHARED = 1_000
 
 
+def allowed(size: int) -> int:
+    """Substitutions in a stretch of ``size`` words."""
+    return min(SUBSTITUTIONS, SUBSTITUTIONS * size // MIN_WORDS)
+
+
+def masks(size: int) -> list[str]:
+    """Fixed masks for stretches of ``size`` words.  Without the substitutions at its ends a stretch is shorter by their number,
+    begins and ends with equal words, and has the others inside; of as many parts and one more, one is free of them.  A mask
+    picks both ends and one part."""
+    out = []
+    for cut in range(allowed(size) + 1):
+        n, parts = size - cut, allowed(size) - cut + 1
+        ends = [1 + (n - 2) * i // parts for i in range(parts + 1)]
+        for a, b in zip(ends, ends[1:], strict=False):
+            out.append("".join("1" if i in (0, n - 1) or a <= i < min(b, a + WEIGHT) else "0" for i in range(n)))
+    return out
+
+
+MASKS = masks(MIN_WORDS)
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of what the mask picks at each place (the last places, where the span does not fit, are left out)."""
     n = len(words) - len(mask) + 1
@@ -47,74 +71,149 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+class Stretches:
+    """The stretches of ``length`` words in the pieces of window size ``size``.  Those of equal words with equal room beside them
+    are one class, so what many items share is verified once; classes that always follow one another are a chain."""
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, of: np.ndarray, size: int, length: int):
+        self.size, self.length, self.cut = size, length, size - length
+        at, h = windows(words, doc, length)
+        piece = doc[at]
+        left, right = np.minimum(at - first[piece], self.cut), np.minimum(last[piece] - at - length, self.cut)
+        kept = of[piece] & (left + right >= self.cut)
+        at, code = at[kept], (left * (SUBSTITUTIONS + 1) + right)[kept]
+        key = mix(h[kept] + code.astype(np.uint64))
+        _, rep, of_key, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        # Classes go by their first place; a class's places follow one another.
+        by = np.argsort(rep)
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        of_place = rank[of_key]
+        order = np.argsort(of_place, kind="stable")
+        self.places, self.n = at[order], n[by]
+        self.starts = np.cumsum(self.n) - self.n
+        self.rep, self.left, self.right = at[rep[by]], left[kept][rep[by]], right[kept][rep[by]]
+        self.span = len(words) + 1
+        self.key = of_place[order] * self.span + self.places
+        self.head = np.arange(len(by))
+        if len(by):
+            classes = np.full(len(words) + 1, -1, dtype=np.int64)
+            classes[at] = of_place
+            following = np.where(np.append(doc, -1)[self.places + 1] == doc[self.places], classes[self.places + 1], -1)
+            low, high = np.minimum.reduceat(following, self.starts), np.maximum.reduceat(following, self.starts)
+            linked = (low == high) & (low >= 0) & (self.n[low] == self.n)
+            opens = np.concatenate(([True], ~linked[:-1]))
+            self.head = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+        self.bits = min(23, 5 + len(by).bit_length())
+        self.tables = []
+        for mask in masks(size):
+            if len(mask) == length and len(by):
+                seeds = seed_hashes(words, mask)[self.rep]
+                order = np.argsort(seeds, kind="stable")
+                held = np.zeros(1 << self.bits, dtype=bool)
+                held[(seeds >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+                self.tables.append((mask, seeds[order], order, held))
+
+    def matches(self, own: np.ndarray, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, class) of the documents' stretches that equal a class of the pieces' words ``own`` but for the substitutions."""
+        pairs = [np.empty(0, np.int64)]
+        for mask, seeds, classes, held in self.tables:
+            h = seed_hashes(words, mask)
+            if not len(h):
+                continue
+            at = np.flatnonzero(held[(h >> np.uint64(64 - self.bits)).astype(np.int64)] & (doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]))
+            lo, hi = np.searchsorted(seeds, h[at]), np.searchsorted(seeds, h[at], side="right")
+            ends = np.cumsum(hi - lo)
+            total = int(ends[-1]) if len(ends) else 0
+            for x in range(0, total, TOGETHER):
+                number = np.arange(x, min(x + TOGETHER, total))
+                i = np.searchsorted(ends, number, side="right")
+                c, s = classes[hi[i] - (ends[i] - number)], at[i]
+                wrong = np.zeros(len(s), dtype=np.int64)
+                for j in range(self.length):
+                    differs = words[s + j] != own[self.rep[c] + j]
+                    wrong += differs * (SUBSTITUTIONS + 1 if j in (0, self.length - 1) else 1)
+                # What is equal throughout is found as stretches of the shortest length.
+                good = (wrong <= allowed(self.size) - self.cut) & ((wrong > 0) | (self.cut == allowed(self.size)))
+                pairs.append(s[good] * len(self.rep) + c[good])
+        found = np.unique(np.concatenate(pairs))
+        return found // max(len(self.rep), 1), found % max(len(self.rep), 1)
+
+    def stretches(self, own: np.ndarray, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Rows of (document, head of the chain, its place, start and end of the windows, first and last + 1 equal word)."""
+        s, c = self.matches(own, words, doc)
+        d = doc[s]
+        # A window may reach beyond the equal words at both ends where piece and document have room.
+        least = np.maximum(0, self.cut - np.minimum(self.right[c], last[d] - s - self.length))
+        most = np.minimum(self.left[c], s - first[d])
+        s, c, d, least, most = (x[least <= most] for x in (s, c, d, least, most))
+        head = self.head[c]
+        rows = np.stack([d, head, s - (self.rep[c] - self.rep[head]), s - most, s - least + self.size, s, s + self.length], axis=1)
+        return joined(rows, 3)
+
+
+def joined(rows: np.ndarray, keys: int) -> np.ndarray:
+    """Rows of ``keys`` keys, window start and end, first and last + 1 word, with those of one key whose windows touch made one."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort(rows[:, keys::-1].T)]
+    opens = np.concatenate(([True], (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)))
+    group, step = np.cumsum(opens), int(rows[:, keys + 1].max() - rows[:, keys].min()) + 1
+    reach = np.maximum.accumulate(rows[:, keys + 1] + group * step)
+    opens[1:] |= rows[1:, keys] + group[1:] * step > reach[:-1]
+    at = np.flatnonzero(opens)
+    columns = [np.maximum.reduceat(rows[:, keys + 1], at), np.minimum.reduceat(rows[:, keys + 2], at), np.maximum.reduceat(rows[:, keys + 3], at)]
+    return np.column_stack([rows[at, : keys + 1], *columns])
+
+
 class Seeds:
     """A block of pieces of benchmark items (item, first word in the item, words of the whole item, text): their words' hashes,
-    and the sorted seeds with the places they come from."""
+    and the stretches that overlaps consist of, by the hashes of what the masks pick."""
 
     def __init__(self, pieces: list[tuple[int, int, int, bytes]]):
         block = Block([t for *_, t in pieces], lower=True)
-        doc = block.words()[2]
+        self.doc = block.words()[2]
         self.words = block.word_hashes()
         self.items, self.offsets, self.whole = (np.array([p[i] for p in pieces], dtype=np.int64) for i in range(3))
-        self.first = np.searchsorted(doc, np.arange(block.n))
-        self.last = np.searchsorted(doc, np.arange(block.n), side="right")
-        self.doc = doc
-        self.bits = min(24, 5 + len(self.words).bit_length())
-        self.tables = []
-        for mask in self.masks(np.unique(self.whole)):
-            h = seed_hashes(self.words, mask)
-            at = np.flatnonzero(doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]) if len(h) else np.empty(0, np.int64)
-            if "0" not in mask and mask not in MASKS:  # an item too short for the masks, as a whole
-                at = at[(self.first[doc[at]] == at) & (self.whole[doc[at]] == len(mask))]
-            order = at[np.argsort(h[at], kind="stable")]
-            held = np.zeros(1 << self.bits, dtype=bool)
-            held[(h[order] >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-            self.tables.append((mask, h[order], order, held))
-
-    @staticmethod
-    def masks(sizes: np.ndarray) -> list[str]:
-        longest = max(map(len, MASKS))
-        return [*MASKS, *("1" * int(n) for n in sizes if 0 < n < longest and "1" * int(n) not in MASKS)]
-
-    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (diagonal start in the block's words, piece, document) of all seeds that documents and pieces share."""
-        pairs = []
-        for mask, seeds, places, held in self.tables:
-            h = seed_hashes(words, mask)
-            if not len(h) or not len(seeds):
-                continue
-            at = np.flatnonzero(held[(h >> np.uint64(64 - self.bits)).astype(np.int64)] & (doc[: len(h)] == doc[len(mask) - 1 :][: len(h)]))
-            lo, hi = np.searchsorted(seeds, h[at]), np.searchsorted(seeds, h[at], side="right")
-            n = hi - lo
-            which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            item = self.doc[places[which]]
-            pairs.append(np.stack([np.repeat(at, n) - (places[which] - self.first[item]), item, np.repeat(doc[at], n)], axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 3), np.int64)
-        return found
-
-    def overlaps(self, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, int]]:
+        self.first = np.searchsorted(self.doc, np.arange(block.n))
+        self.last = np.searchsorted(self.doc, np.arange(block.n), side="right")
+        self.tables: dict[int, list[Stretches]] = {}
+
+    def stretches(self, min_words: int) -> list[Stretches]:
+        if min_words not in self.tables:
+            sizes = np.minimum(self.whole, min_words)
+            made = [(int(n), n - cut) for n in np.unique(sizes[sizes > 0]).tolist() for cut in range(allowed(n) + 1)]
+            self.tables[min_words] = [Stretches(self.words, self.doc, self.first, self.last, sizes == n, n, length) for n, length in made]
+        return self.tables[min_words]
+
+    def parts(self, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int):
+        """What ``overlaps`` returns, in parts of about ``TOGETHER`` rows."""
+        every = [(t, t.stretches(self.words, words, doc, first, last)) for t in self.stretches(min_words)]
+        every = [(t, rows) for t, rows in every if len(rows)]
+        weight = sum((np.bincount(rows[:, 0], weights=t.n[rows[:, 1]], minlength=len(first)) for t, rows in every), np.zeros(len(first)))
+        part = ((np.cumsum(weight) - weight) // TOGETHER).astype(np.int64)
+        for i in np.unique(part[weight > 0]):
+            chosen = [(t, rows[part[rows[:, 0]] == i]) for t, rows in every]
+            # A document that meets more places than one part holds takes the pieces by turns.
+            turns = -(-int(weight[part == i].sum()) // (2 * TOGETHER))
+            bounds = self.first[np.linspace(0, len(self.first), turns + 1).astype(np.int64)[1:-1]].tolist()
+            for lo, hi in zip([0, *bounds], [*bounds, len(self.words)], strict=True):
+                got = joined(np.concatenate([self.placed(t, rows, lo, hi) for t, rows in chosen]), 3)
+                d, piece, start = got[:, 0], got[:, 1], got[:, 2]
+                yield np.column_stack([d, self.items[piece], start - first[d] - self.offsets[piece], got[:, 5] - first[d], got[:, 6] - first[d]])
+
+    def placed(self, table: Stretches, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Stretches at each of their places from ``lo`` to ``hi``: (document, piece, diagonal start in the block's words, ...)."""
+        a, b = (np.searchsorted(table.key, rows[:, 1] * table.span + x) for x in (lo, hi))
+        each = np.repeat(rows, b - a, axis=0)
+        place = table.places[ranges(a, b)]
+        piece = self.doc[place]
+        return np.column_stack([each[:, 0], piece, each[:, 2] - (place - self.first[piece]), each[:, 3:]])
+
+    def overlaps(self, words: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, min_words: int) -> np.ndarray:
         """(document, item, diagonal, first and last + 1 word in the document) of each overlap.  The diagonal is the document
         word that faces the item's first word, so it is the same for all pieces of an item."""
-        out = []
-        for start, piece, d in self.hits(words, doc):
-            lo, hi = max(start, first[d]), min(start + self.last[piece] - self.first[piece], last[d])
-            offset = self.first[piece] - start
-            same = words[lo:hi] == self.words[lo + offset : hi + offset]
-            size = min(min_words, self.whole[piece])
-            if len(same) < size:
-                continue
-            missed = np.concatenate(([0], np.cumsum(~same)))
-            near = np.flatnonzero(missed[size:] - missed[:-size] <= allowed(size))
-            for run in np.split(near, np.flatnonzero(np.diff(near) > size) + 1) if len(near) else ():
-                kept = run[0] + np.flatnonzero(same[run[0] : run[-1] + size])
-                diagonal = start - first[d] - self.offsets[piece]
-                out.append((int(d), int(self.items[piece]), int(diagonal), int(lo - first[d] + kept[0]), int(lo - first[d] + kept[-1]) + 1))
-        return out
-
-
-def allowed(size: int) -> int:
-    """Substitutions in a stretch of ``size`` words."""
-    return min(SUBSTITUTIONS, SUBSTITUTIONS * size // MIN_WORDS)
+        return np.concatenate([np.empty((0, 5), np.int64), *self.parts(words, doc, first, last, min_words)])
 
 
 def benchmark_words(benchmark: DataFrame) -> DataFrame:
@@ -157,7 +256,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS)
         got = block.orderBy("item", "at").toArrow()
         texts = [t.encode() for t in got.column("text").to_pylist()]
         pieces = list(zip(got.column("item").to_pylist(), got.column("at").to_pylist(), got.column("whole").to_pylist(), texts, strict=True))
-        found = found.union(scan(rows, OVERLAPS, overlap_kernel(context.broadcast(pieces), min_words)))
+        found = found.union(rows.mapInArrow(overlap_rows(context.broadcast(pieces), min_words), OVERLAPS))
     # Overlaps that touch on one diagonal are one: those of neighbouring pieces of a long item, and those of equal rows.
     diagonal = Window.partitionBy(*KEYS, "item", "diagonal").orderBy("first", "last")
     reach = F.max("last").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
@@ -170,26 +269,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS)
 OVERLAPS = "k1 long, k2 long, item long, diagonal int, first int, last int"
 
 
-def overlap_kernel(seeds, min_words: int):
-    cell: list = []
-
-    def kernel(batch, texts):
-        if not cell:
-            cell.append(Seeds(seeds.value))
-        block = Block(texts, lower=True)
-        doc = block.words()[2]
-        first, last = np.searchsorted(doc, np.arange(block.n)), np.searchsorted(doc, np.arange(block.n), side="right")
-        found = np.array(cell[0].overlaps(block.word_hashes(), doc, first, last, min_words), dtype=np.int64).reshape(-1, 5)
-        return {
-            "k1": column(batch, "k1").to_numpy()[found[:, 0]],
-            "k2": column(batch, "k2").to_numpy()[found[:, 0]],
-            "item": found[:, 1],
-            "diagonal": found[:, 2].astype(np.int32),
-            "first": found[:, 3].astype(np.int32),
-            "last": found[:, 4].astype(np.int32),
-        }
-
-    return kernel
+def overlap_rows(seeds, min_words: int):
+    """Partitions of rows to their overlaps, handed on in parts, however many there are."""
+
+    def run(batches):
+        held = None
+        for batch, texts in blocks(batches):
+            held = held or Seeds(seeds.value)
+            block = Block(texts, lower=True)
+            doc = block.words()[2]
+            first, last = np.searchsorted(doc, np.arange(block.n)), np.searchsorted(doc, np.arange(block.n), side="right")
+            k1, k2 = column(batch, "k1").to_numpy(), column(batch, "k2").to_numpy()
+            for found in held.parts(block.word_hashes(), doc, first, last, min_words):
+                d, item, *rest = found.T
+                yield pa.RecordBatch.from_pydict({"k1": k1[d], "k2": k2[d], "item": item} | {c: x.astype(np.int32) for c, x in zip(("diagonal", "first", "last"), rest, strict=True)})
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
