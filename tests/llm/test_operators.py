@@ -312,6 +312,28 @@ def test_bpe_streams_in_constant_memory():
     assert most <= b.window + 2
 
 
+def test_bpe_of_very_long_words(library):
+    """Words of megabytes, one of them within a text, and what is held beside the texts."""
+    r = random.Random(3)
+    plain, coded = ("".join(r.choice(s) for _ in range(1 << 21)) for s in ("etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz0123456789+/"))
+    b = bpe.Bpe(bpe.default_vocabulary())
+    texts = [plain, f"a word {coded} and more"]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for t, got in zip(texts, b.digests([t.encode() for t in texts], keep=False), strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got.ids == [] and got.finish() == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_bpe_merges_lowest_rank_first(library):
+    r = random.Random(4)
+    b = bpe.Bpe(bpe.default_vocabulary())
+    for n in (1, 2, 3, 40, 300):
+        for _ in range(50):
+            word = "".join(r.choice("aeilnorst"[: r.randrange(1, 10)]) for _ in range(n))
+            symbols = [b.inner[c] for c in word.encode()[:-1]] + [b.last[word.encode()[-1]]]
+            assert b.merge(symbols) == library.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_lookahead_of_a_small_merge_list():
     assert bpe.sufficient_lookahead([("b", "c")]) == 1
     assert bpe.sufficient_lookahead([("b", "c"), ("a", "b")]) == 2  # "ab" is one token, "abc" splits it

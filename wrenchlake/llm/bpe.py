@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,11 @@ NEWER_LOWER = [
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 ]
 CACHED_WORDS = 300_000
+CACHED_IDS = 4_000_000
 PIECE_BYTES = 1 << 16
 TOGETHER = 32
 NO_RANK = 1 << 60
+PLACE = (1 << 40) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -173,7 +176,7 @@ class Bpe:
         self.made = [vocab[a + b] for a, b in merges]
         self.size = {i: len(t) - len(self.suffix) if self.suffix and t.endswith(self.suffix) else len(t) for t, i in vocab.items()}
         self.lookahead = sufficient_lookahead(merges, self.suffix)
-        self.window = max(window or 0, 2 * self.lookahead + 64)
+        self.window = max(window or 8 * self.lookahead, 2 * self.lookahead + 64)
         self.patterns = word_patterns()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs = np.array(sorted(self.rank), dtype=np.int64)
@@ -194,41 +197,57 @@ class Bpe:
         return bytes(known[c] for c in (token[: -len(self.suffix)] if end else token)) + b" " * end
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Applies the merges to a short list of symbols, lowest rank first, leftmost first."""
-        rank, made = self.rank.get, self.made
+        """Applies the merges to a list of symbols, lowest rank first, leftmost first: a heap of pairs over linked symbols."""
+        rank, made, n = self.rank.get, self.made, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ranks = [rank(a << 20 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == NO_RANK:
-                break
-            i = ranks.index(least)
-            ids[i] = made[least]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] << 20 | ids[i + 1], NO_RANK)
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], NO_RANK)
-        return ids
+        heap = [r << 40 | i for i, r in enumerate(ranks) if r != NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            least = heapq.heappop(heap)
+            i, r = least & PLACE, least >> 40
+            j = after[i]
+            # Pairs that other merges have changed since are passed over.
+            if ids[i] < 0 or j == n or rank(ids[i] << 20 | ids[j], NO_RANK) != r:
+                continue
+            new, ids[j] = made[r], -1
+            ids[i] = new
+            j = after[i] = after[j]
+            if j < n:
+                before[j] = i
+                r = rank(new << 20 | ids[j], NO_RANK)
+                if r != NO_RANK:
+                    heapq.heappush(heap, r << 40 | i)
+            j = before[i]
+            if j >= 0:
+                r = rank(ids[j] << 20 | new, NO_RANK)
+                if r != NO_RANK:
+                    heapq.heappush(heap, r << 40 | j)
+        return [i for i in ids if i >= 0]
 
     def transduce(self, symbols):
         """Ids of one word from an iterable of its bytes, each as soon as it is final; holds ``window`` symbols at most."""
         held: list[int] = []
-        inner = self.inner
         symbols = iter(symbols)
-        ahead = next(symbols, None)
-        while ahead is not None:
-            b, ahead = ahead, next(symbols, None)
-            held.append(inner[b] if ahead is not None else self.last[b])
-            if ahead is not None and len(held) >= self.window:
-                end, done = 0, 0
-                ids = self.merge(held.copy())
-                for i in ids:
-                    if end + self.size[i] > len(held) - self.lookahead:
-                        break
-                    end += self.size[i]
-                    done += 1
-                yield from ids[:done]
-                del held[:end]
+        ahead = list(islice(symbols, 1))
+        while ahead:
+            need = max(1, self.window - len(held))
+            read = ahead + list(islice(symbols, need))
+            # The last byte that was read waits, as it may be the word's last.
+            ahead = read[need:]
+            held += map(self.inner.__getitem__, read[:need] if ahead else read[:-1])
+            if not ahead:
+                held.append(self.last[read[-1]])
+                break
+            end, done = 0, 0
+            ids = self.merge(held.copy())
+            for i in ids:
+                if end + self.size[i] > len(held) - self.lookahead:
+                    break
+                end += self.size[i]
+                done += 1
+            yield from ids[:done]
+            del held[:end]
         yield from self.merge(held)
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -288,8 +307,8 @@ class Bpe:
         """Ids of texts, one text behind another, and where each text's ids start.
 
         Works on chunks (runs without ASCII white space), whose ids are kept between calls: CACHED_WORDS of them and what the
-        texts themselves need, whatever the corpus."""
-        if len(self.chunks.at) > CACHED_WORDS:
+        texts themselves need, whatever the corpus; no more once they hold CACHED_IDS."""
+        if len(self.chunks.at) > CACHED_WORDS or self.chunks.used > CACHED_IDS:
             self.chunks = Runs()
         block = Block(texts)
         chunks = block.bytes.tobytes().split()
@@ -308,7 +327,7 @@ class Bpe:
             ids = [self.encode_chunk(c) for c in special]
             self.chunks.add(special, np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids]))
             new = [c for c in new if c not in self.chunks.at]
-        if len(self.words.at) > CACHED_WORDS or not self.words.at:
+        if len(self.words.at) > CACHED_WORDS or self.words.used > CACHED_IDS or not self.words.at:
             self.words = Runs()
             self.words.add(["\n"], np.empty(0, np.int32), np.zeros(1, np.int64))
         found = self.split(normal(b"\n".join(new).decode("utf-8", "replace")))
@@ -337,9 +356,9 @@ class Bpe:
             out += [self.special[part]] if part in self.special else self.encode_piece(part) if part else []
         return out
 
-    def digests(self, texts: list[bytes]) -> list[Digest]:
-        """Each text's tokens, read in pieces of about PIECE_BYTES."""
-        out = [Digest(self) for _ in texts]
+    def digests(self, texts: list[bytes], keep: bool = True) -> list[Digest]:
+        """Each text's tokens, read in pieces of about PIECE_BYTES; ``keep``: with the ids themselves."""
+        out = [Digest(self, keep) for _ in texts]
         pieces = [(i, p) for i, t in enumerate(texts) for p in cut(t)]
         at = 0
         while at < len(pieces):
@@ -348,12 +367,22 @@ class Bpe:
                 size += len(pieces[end][1])
                 end += 1
             ids, cuts = self.ids_of([p for _, p in pieces[at:end]])
-            shown, spelled = self.decimals.join(ids, cuts), self.spelled[not self.has_decoder].join(ids, cuts)
-            for (i, _), a, b, x, y in zip(pieces[at:end], cuts.tolist(), cuts[1:].tolist(), shown, spelled, strict=False):
-                out[i].take(ids[a:b], x, y)
+            owners = [out[i] for i, _ in pieces[at:end]]
+            # One word may be longer than a piece: its ids go on in runs.
+            runs = range(0, len(ids), PIECE_BYTES) if len(owners) == 1 else ()
+            for x in runs:
+                self.hand_on(ids, np.array([x, min(x + PIECE_BYTES, len(ids))]), owners)
+            if not runs:
+                self.hand_on(ids, cuts, owners)
             at = end
         return out
 
+    def hand_on(self, ids: np.ndarray, cuts: np.ndarray, digests: list[Digest]) -> None:
+        ids, cuts = ids[cuts[0] : cuts[-1]], cuts - cuts[0]
+        shown, spelled = self.decimals.join(ids, cuts), self.spelled[not self.has_decoder].join(ids, cuts)
+        for digest, a, b, x, y in zip(digests, cuts[:-1].tolist(), cuts[1:].tolist(), shown, spelled, strict=True):
+            digest.take(ids[a:b], x, y)
+
 
 def cut(text: bytes):
     """A text's pieces: PIECE_BYTES and what is left of the word there."""
@@ -372,16 +401,17 @@ SPACE_BYTE = re.compile(rb"[\t-\r ]").search
 
 class Digest:
     """What is kept of a text's tokens, taken piece by piece: their number, the SHA-256 of the ids in decimal one space apart and
-    of the decoded text, and the ids."""
+    of the decoded text, and the ids if wanted."""
 
-    def __init__(self, bpe: Bpe):
-        self.n, self.ids, self.ids_sha, self.text_sha, self.decoder = 0, [], hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
+    def __init__(self, bpe: Bpe, keep: bool = True):
+        self.keep, self.n, self.ids, self.ids_sha, self.text_sha, self.decoder = keep, 0, [], hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
 
     def take(self, ids: np.ndarray, shown: bytes, spelled: bytes) -> None:
         self.ids_sha.update(shown if self.n else shown[1:])
         self.text_sha.update(self.decoder.take(spelled).encode())
         self.n += len(ids)
-        self.ids.append(ids)
+        if self.keep:
+            self.ids.append(ids)
 
     def finish(self) -> tuple[int, str, str]:
         self.text_sha.update(self.decoder.finish().encode())
@@ -453,7 +483,7 @@ def digested(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     cell: list = []
 
     def kernel(batch, texts):
-        parts = held(cell, path).digests(texts)
+        parts = held(cell, path).digests(texts, ids)
         n, ids_sha, text_sha = zip(*[p.finish() for p in parts], strict=True)
         out = {"doc_id": column(batch, "doc_id"), "n_tokens": list(n), "ids_sha256": list(ids_sha), "decoded_sha256": list(text_sha)}
         if not ids:
