@@ -137,5 +137,5 @@ def seeds(questions: DataFrame, chunks: DataFrame, index: WordIndex, k: int = 14
     a category or a brand narrows down, by an equi-join."""
     free = F.col("cat_ids").isNull() & (F.size("asked") == 0)
     found, rest = seeds_by_index(questions.where(free), index, k, most)
-    scanned = score_candidates(questions.where(~free).unionByName(rest), chunks)
+    scanned = score_candidates(questions.where(~free).unionByName(rest), chunks, max(k, 8))
     return found.unionByName(seed_topk(scanned, k), allowMissingColumns=True)
