@@ -1,12 +1,13 @@
 """The chunk table: partitioned by a bucket of the document, replaced document by document, version by version.
 
-A write puts the new content of the buckets that it touches into a folder of its own and then publishes a version: a small table
-that names, for each bucket, the write that holds it.  Readers follow the last published version, so they see a write whole or
+A write puts new chunks into a folder of its own and then publishes a version: a small table that names, for each bucket, the writes
+that hold it.  Only a bucket that holds a re-indexed document, or has ``FAN`` writes, is written anew as a whole; to the others new
+documents are added.  Readers follow the last published version, so they see a write whole or
 not at all, whatever becomes of it; the folders of the version before stay for readers that have begun.  Nothing is overwritten
 that a version names, and what a failed write left behind is overwritten by the next.  One writer at a time.
 
     path/data/w=<write>/bucket=<bucket>/...     chunks
-    path/versions/v=<write>                     (bucket, w) of each bucket; the row of bucket -1 holds (buckets, batch)
+    path/versions/v=<write>                     (bucket, w) of each bucket and write; the row of bucket -1 holds (buckets, batch)
 """
 
 from __future__ import annotations
@@ -17,17 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .snapshot import drop_version, versions
+from .steps import stored
 from .tables import schema
 
 #: A bucket is what one changed document rewrites; a file is what one task writes.
 ROWS_PER_BUCKET = 1_000_000
 ROWS_PER_FILE = 250_000
 MOST_BUCKETS = 65_536
+#: Writes that hold a part of a bucket before they become one.
+FAN = 16
+#: So many full buckets are written by the tasks that have their rows, without a shuffle by bucket.
+AS_THEY_ARE = 64
 MANIFEST = "bucket int, w long, buckets int, batch long"
 
 
 def bucket_of(buckets: int, document_id: str = "document_id"):
-    return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
+    """By the hash that shuffles by document go by, so that a task after such a shuffle holds few buckets."""
+    return F.pmod(F.hash(document_id), F.lit(buckets)).cast("int")
 
 
 def replace_chunks(existing: DataFrame, new: DataFrame, reindexed: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ class Version:
         self.places = self.rows.where("bucket >= 0").select("bucket", "w")
 
     def writes(self) -> list[int]:
-        """The writes that hold a part of it; at most one for each bucket."""
+        """The writes that hold a part of it; at most ``FAN`` for each bucket."""
         return sorted(r.w for r in self.places.select("w").distinct().collect())
 
 
@@ -91,12 +98,16 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], schema("doc_chunks").add("bucket", "integer")) if rows is None else rows
 
 
-def put(spark: SparkSession, rows: DataFrame, path: str, number: int, touched: int) -> None:
-    """Writes the content of the touched buckets as folder w=number, each bucket as several files if it is large."""
-    whole = rows.count()
-    files = max(1, math.ceil(whole / max(1, min(touched, whole)) / ROWS_PER_FILE))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(files)))
-    dealt.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(f"{path}/data/w={number}")
+def put(spark: SparkSession, rows: DataFrame, path: str, number: int) -> None:
+    """Writes rows as folder w=number, each bucket as several files if it is large.
+
+    Small buckets are gathered first.  Large ones are not, unless they are many: shuffling them once more would cost as much as
+    writing them, and what a task has of a bucket is a file of its own."""
+    whole, touched = rows.agg(F.count("*"), F.count_distinct("bucket")).first()
+    each = whole / max(1, touched)
+    if each < ROWS_PER_FILE or touched > AS_THEY_ARE:
+        rows = rows.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(max(1, math.ceil(each / ROWS_PER_FILE)))))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(f"{path}/data/w={number}")
 
 
 def publish(spark: SparkSession, path: str, number: int, places: DataFrame, buckets: int, batch: int | None) -> None:
@@ -122,7 +133,7 @@ def held_by(spark: SparkSession, path: str, number: int) -> DataFrame:
 
 
 def write_chunks(spark: SparkSession, new: DataFrame, reindexed: DataFrame, path: str, buckets: int | None = None, batch: int | None = None) -> bool:
-    """Index sink: rewrites only the buckets that hold a re-indexed document, as one version.
+    """Index sink: adds chunks, and rewrites only the buckets that hold a re-indexed document, as one version.
 
     The number of buckets follows the table's size (``ROWS_PER_BUCKET``), unless it is given: a table that has outgrown its
     buckets fourfold is dealt out anew, as a version too.  ``batch``: a number that rises from write to write; a write whose
@@ -131,28 +142,30 @@ def write_chunks(spark: SparkSession, new: DataFrame, reindexed: DataFrame, path
     now = current(spark, path)
     if now and batch is not None and now.batch is not None and now.batch >= batch:
         return False
-    ids = reindexed.select("document_id").distinct()
     number = (now.number if now else 0) + 1
     if now is None:
         count = buckets or fitting(new.count())
-        put(spark, new.withColumn("bucket", bucket_of(count)), path, number, count)
+        put(spark, new.withColumn("bucket", bucket_of(count)), path, number)
         publish(spark, path, number, held_by(spark, path, number), count, batch)
     else:
         count = now.buckets
         fresh = new.withColumn("bucket", bucket_of(count))
-        touched = ids.select(bucket_of(count).alias("bucket")).distinct()
+        ids = stored(reindexed.select("document_id").distinct(), "ids")
+        touched = now.places.groupBy("bucket").count().where(F.col("count") >= FAN).select("bucket")
         before = chunks_of(spark, path, now)
         if before is not None:
+            held = before.select("document_id", "bucket").distinct().join(ids, "document_id", "left_semi")
+            touched = stored(touched.union(held.select("bucket")).distinct(), "touched")
             kept = before.join(touched, "bucket", "left_semi").join(ids, "document_id", "left_anti")
             fresh = kept.select(*fresh.columns).unionByName(fresh)
-        put(spark, fresh, path, number, max(1, touched.count()))
+        put(spark, fresh, path, number)
         places = now.places.join(touched, "bucket", "left_anti").unionByName(held_by(spark, path, number))
         publish(spark, path, number, places, count, now.batch if batch is None else batch)
     whole = chunks_of(spark, path, current(spark, path))
     if now is not None and buckets is None and whole is not None:
         n = whole.count()
         if fitting(n) >= 4 * count:
-            put(spark, whole.drop("bucket").withColumn("bucket", bucket_of(fitting(n))), path, number + 1, fitting(n))
+            put(spark, whole.drop("bucket").withColumn("bucket", bucket_of(fitting(n))), path, number + 1)
             publish(spark, path, number + 1, held_by(spark, path, number + 1), fitting(n), current(spark, path).batch)
     return True
 
