@@ -17,8 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..sources.steps import stored
-from .matching import gram_table, matches
+from .matching import TRAVEL, gram_table, matches
 from .retrieve import ranked, score_candidates, seed_topk
 
 #: A word: a run of letters and digits, or any other character that is not white space.
@@ -33,8 +34,8 @@ def words_of(c: Column) -> Column:
 
 @dataclass
 class WordIndex:
-    """words: (word, id, n, titled); dictionary: (word, chunks); grams: (id, gram) of its words; facts: (id, document_id, page,
-    is_index, static, hay)."""
+    """words: (word, no, n, titled); dictionary: (word, chunks); grams: (id, gram) of its words; facts: (no, static, and what scoring
+    needs of a chunk).  A chunk's number stands for its id."""
 
     words: DataFrame
     dictionary: DataFrame
@@ -42,16 +43,39 @@ class WordIndex:
     facts: DataFrame
 
 
+#: What ``score_candidates`` needs of a chunk.
+SCORED = ("id", "document_id", "category_id", "page", "is_index", "hay", "title_kw", "brands", "signals")
+
+
+def counted(words: Column, titled: Column) -> Column:
+    """(word, n, titled) of each distinct one of a chunk's words, as an array: each run of the sorted words is one."""
+
+    def runs(x: Column) -> Column:
+        word = lambda i: F.get(x["w"], i)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(x["w"]) - 1, F.lit(0))), lambda i: (i == 0) | (word(i) != word(i - 1)))
+        entry = lambda s: lambda i, k: F.struct(word(i).alias("word"), (F.coalesce(F.get(s, k + 1), F.size(x["w"])) - i).alias("n"), F.array_contains(x["t"], word(i)).alias("titled"))
+        return bound(starts, lambda s: F.transform(s, entry(s)))
+
+    return bound(F.struct(F.sort_array(words).alias("w"), titled.alias("t")), runs)
+
+
 def build(chunks: DataFrame) -> WordIndex:
-    """The index of chunks with their features.  Words are sorted over files, so a lookup reads the row groups of its words."""
-    said = chunks.select("id", F.size(words_of(F.col("title_kw"))).alias("_t"), F.posexplode(words_of(F.col("hay"))).alias("_at", "word"))
-    words = said.groupBy("word", "id").agg(F.count("*").cast("int").alias("n"), F.max(F.col("_at") < F.col("_t")).alias("titled"))
-    words = stored(words.repartitionByRange("word", "id").sortWithinPartitions("word", "id"), "words")
+    """The index of chunks with their features, of which a copy without the original texts is kept as ``facts``.
+
+    A chunk's words are counted in its own row and sorted within the part of the library that a task reads, so they are neither
+    shuffled nor do they carry their chunk's id; the words of a part lie together, and a lookup reads their row groups in each part."""
+    static = F.col("signals") - F.when(F.col("is_index"), 3).otherwise(0)
+    facts = stored(chunks.select(*SCORED, static.alias("static"), F.monotonically_increasing_id().alias("no")), "facts")
+    # The outer form, as Spark would else compute the words once more to see whether there are any.
+    said = facts.select("no", F.inline_outer(counted(words_of(F.col("hay")), words_of(F.col("title_kw"))))).where("word IS NOT NULL")
+    # A number in two parts of few values each, which a file keeps as places in a list.
+    parts = said.select("word", F.shiftright("no", 12).alias("block"), (F.col("no") % 4096).cast("int").alias("at"), "n", "titled")
+    words = stored(parts.sortWithinPartitions("word", "block", "at"), "words")
+    words = words.select("word", (F.col("block") * 4096 + F.col("at")).alias("no"), "n", "titled")
     dictionary = stored(words.groupBy("word").agg(F.count("*").alias("chunks")), "dictionary")
     grams = gram_table(dictionary.select(F.col("word").alias("id"), F.col("word").alias("text")))
     grams = stored(grams.repartitionByRange("gram").sortWithinPartitions("gram"), "grams")
-    static = F.col("signals") - F.when(F.col("is_index"), 3).otherwise(0)
-    return WordIndex(words, dictionary, grams, chunks.select("id", "document_id", "page", "is_index", static.alias("static"), "hay"))
+    return WordIndex(words, dictionary, grams, facts)
 
 
 def times(needle: Column, c: Column) -> Column:
@@ -77,16 +101,18 @@ def asked_needles(questions: DataFrame) -> DataFrame:
 
 
 def index_hits(questions: DataFrame, asked: DataFrame, held: DataFrame, index: WordIndex) -> DataFrame:
-    """(query_id, id, points) of every chunk that has a term of the question, or its model."""
-    wanted = held.join(asked.select("needle").distinct(), "needle", "left_semi")
-    hits = index.words.join(wanted.select("word", "needle", "times"), "word").groupBy("needle", "id").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.max("titled").alias("titled"))
+    """(query_id, no, points) of every chunk that has a term of the question, or its model."""
+    wanted = stored(held.join(asked.select("needle").distinct(), "needle", "left_semi").select("word", "needle", "times"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= TRAVEL else wanted  # so the index stays where it is
+    hits = index.words.join(wanted, "word").groupBy("needle", "no").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.max("titled").alias("titled"))
     hits = stored(hits, "hits")
     points = F.when(F.col("titled"), 4).otherwise(1) + F.least("n", F.lit(3).cast("long"))
-    by_term = asked.where("NOT is_model").join(hits, "needle").select("query_id", "id", points.alias("points"))
+    by_term = asked.where("NOT is_model").join(hits, "needle").select("query_id", "no", points.alias("points"))
     models = questions.where("model <> ''").select("query_id", "model")
-    by_model = asked.where("is_model").join(hits, "needle").select("query_id", "id").join(models, "query_id").join(index.facts.select("id", "hay"), "id")
-    by_model = by_model.where(F.contains("hay", F.col("model"))).select("query_id", "id", F.lit(8).cast("long").alias("points"))
-    return by_term.unionByName(by_model).groupBy("query_id", "id").agg(F.sum("points").alias("points"))
+    by_model = stored(asked.where("is_model").join(hits, "needle").select("query_id", "no").join(models, "query_id"), "models")  # of known size, before texts are read
+    by_model = by_model.join(index.facts.select("no", "hay"), "no")
+    by_model = by_model.where(F.contains("hay", F.col("model"))).select("query_id", "no", F.lit(8).cast("long").alias("points"))
+    return by_term.unionByName(by_model).groupBy("query_id", "no").agg(F.sum("points").alias("points"))
 
 
 def seeds_by_index(questions: DataFrame, index: WordIndex, k: int = 14, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +125,8 @@ def seeds_by_index(questions: DataFrame, index: WordIndex, k: int = 14, most: in
     few = costs.where(F.col("cost") <= most).select("query_id")
     rest = questions.join(costs.where(F.col("cost") > most).select("query_id"), "query_id", "left_semi")
     mine = questions.join(few, "query_id", "left_semi")
-    facts, n = index.facts.drop("hay"), max(k, 8)
-    hits = stored(index_hits(mine, asked.join(few, "query_id", "left_semi"), held, index).join(facts, "id").select("query_id", "id", "document_id", "page", "is_index", (F.col("points") + F.col("static")).alias("score")), "scored")
+    facts, n = index.facts.select("no", "id", "document_id", "page", "is_index", "static"), max(k, 8)
+    hits = stored(stored(index_hits(mine, asked.join(few, "query_id", "left_semi"), held, index), "points").join(facts, "no").select("query_id", "id", "document_id", "page", "is_index", (F.col("points") + F.col("static")).alias("score")), "scored")
 
     # A question whose k-th hit does not beat the largest static part looks at the head of the list by static part, as far as
     # its own hits could push the k-th chunk down; one without terms, or without a positive score, at the first chunks by id.
